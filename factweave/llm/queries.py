@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, quality
+from factweave.llm import bpe, chat, maintext, quality, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,28 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.main_text(table(spark, sf_dir, "pages"))
+
+
+@registered
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all turns and of the text under the loss mask, read back from the formatted windows."""
+    return chat.read_back(chat.windows(chat.with_escape_case(spark, table(spark, sf_dir, "conversations"))))
+
+
+@registered
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), is_query="vec_id % 50 = 0")
+
+
+ORACLE["op6_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
