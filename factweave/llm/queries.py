@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, chat, decontaminate, maintext, quality, topk
+from factweave.llm import bpe, chat, decontaminate, maintext, minhash, quality, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that overlap, with the place of the overlap."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept, for every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
