@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factweave.llm import bpe, chat, decontaminate, maintext, minhash, quality, topk
+from factweave.llm import bpe, chat, decontaminate, linededup, maintext, minhash, quality, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and whether it is kept, for every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
+@registered
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines, links to other line texts and a digest of what is kept, for every document."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
