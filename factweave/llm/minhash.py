@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm import textarrays as ta
 from factweave.llm.components import stars
+from factweave.llm.shared import release
 
 K = 64
 #: Sets of up to so many values are listed by single values, too.
@@ -193,6 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5) -> Dat
     members = blocks.unionAll(blocks.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("root", "block")
     members = members.join(members.groupBy("block").agg(F.count("*").alias("size")), "block")
     members = members.join(nodes.select("node", "first_id"), "node").checkpoint()
+    release(docs.sparkSession)
 
     def take_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in ta.blocks(batches):
@@ -204,6 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text")).join(members, "first_id")
     sets = texts.select("block", "size", "node", "text").mapInArrow(take_sets, "block long, size long, node long, values binary")
     roots = stars(links_within_blocks(sets, threshold))
+    release(docs.sparkSession)
     nodes = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = nodes.join(groups, "root").select("node", "component_id")
@@ -217,5 +220,6 @@ def keep_first(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFram
 
     Rows with a null doc_id stay. Of several rows with the kept doc_id all stay.
     """
-    gone = near_duplicates(docs, threshold, width).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_duplicates(docs, threshold, width).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct().checkpoint()
+    release(docs.sparkSession)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
