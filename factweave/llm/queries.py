@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, chat, decontaminate, linededup, maintext, minhash, quality, topk
+from factweave.llm import bpe, chat, decontaminate, linededup, maintext, minhash, quality, substrings, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines, links to other line texts and a digest of what is kept, for every document."""
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@registered
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans, and a digest of what is left, for every document."""
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"), length=200)
