@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.shared import release
+from factweave.llm.shared import release, written
 
 #: Shorter lines are compared for equality only: segments keep eight characters.
 MIN_LENGTH = 24
@@ -67,12 +67,19 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within the distance, once."""
-    long_texts = texts_of(docs).where(F.col("length") >= MIN_LENGTH)
-    index = long_texts.select(F.col("h").alias("a"), F.col("length").alias("length_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    probe = long_texts.select(F.col("h").alias("b"), F.col("length").alias("length_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    pairs = index.join(probe, "key").where("a <> b AND (length_a < length_b OR a < b)").select("a", "b").distinct()
-    side = lambda name: long_texts.select(F.col("h").alias(name), F.col("line").alias(f"line_{name}"), F.col("first").alias(f"first_{name}"))
+    """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within the distance, once.
+
+    The distinct texts are written once, as they are read for the index, for the probes and for the candidates.
+    """
+    texts = written(texts_of(docs).where(F.col("length") >= MIN_LENGTH))
+    index = texts.select(F.col("h").alias("a"), F.col("length").alias("length_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
+    probe = texts.select(F.col("h").alias("b"), F.col("length").alias("length_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
+    pairs = index.join(probe, "key").where("a <> b AND (length_a < length_b OR a < b)").select("a", "b").distinct().checkpoint()
+    release(docs.sparkSession)
+    wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
+    few = texts.select("h", "line", "first").join(wanted, "h").checkpoint()
+    release(docs.sparkSession)
+    side = lambda name: few.select(F.col("h").alias(name), F.col("line").alias(f"line_{name}"), F.col("first").alias(f"first_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.withColumn("edits", F.levenshtein("line_a", "line_b", distance)).where("edits >= 0").select("a", "b", "first_a", "first_b", "edits")
 

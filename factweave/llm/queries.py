@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, chat, decontaminate, linededup, maintext, minhash, quality, substrings, topk
+from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, quality, substrings, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, removed bytes and spans, and a digest of what is left, for every document."""
     return substrings.repeated_spans(table(spark, sf_dir, "documents"), length=200)
+
+
+@registered
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and context-tree score of every document."""
+    return ctw.scores(table(spark, sf_dir, "documents"))

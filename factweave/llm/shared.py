@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The same rows, written as compressed Parquet in the shared folder and read again."""
+    folder = shared_folder(frame.sparkSession)
+    frame.write.option("compression", "zstd").parquet(folder)
+    release(frame.sparkSession)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver collects garbage."""
     gc.collect()
