@@ -26,8 +26,10 @@ from factweave.llm import textarrays as ta
 
 GRAM = 32
 #: Bytes of text that form a block of documents.
-BLOCK = 16_000_000
-#: Runs sorted at once; a hot anchor's are sorted together.
+BLOCK = 8_000_000
+#: Bytes of text worked on at once.
+SLICE = 1_500_000
+#: Runs sorted at once; those of a hot anchor are sorted together.
 ROWS = 4_000
 
 
@@ -42,9 +44,11 @@ def smaller_neighbours(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(position)
     held = np.r_[position, -1]
     before, after = np.arange(n) - 1, np.arange(n) + 1
-    for near, none in ((before, -1), (after, n)):
-        while len(late := np.flatnonzero((near != none) & (held[near] > position))):
+    for near in (before, after):  # both ends, -1 and n, find the -1 at the end of held
+        late = np.flatnonzero(held[near] > position)
+        while len(late):
             near[late] = near[near[late]]
+            late = late[held[near[late]] > position[late]]
     return before, after
 
 
@@ -68,26 +72,34 @@ def runs(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, dict[str
     none = np.zeros(0, np.int64)
     if n < reach:
         return data, offsets, {k: none for k in ("begin", "stop", "anchor", "doc")} | {"gram": none.astype(np.uint64)}
-    begins = np.arange(n)
-    gram = ta.span_hashes(data, begins, begins + GRAM)
+    gram = gram_hashes(data)
     bits = np.uint64(max(1, int(n).bit_length()))
-    key = (gram >> bits << bits) | begins.astype(np.uint64)  # of equal grams the first counts
+    low = np.uint64((1 << int(bits)) - 1)
+    key = gram & ~low
+    key |= np.arange(n, dtype=np.uint64)  # of equal grams the first counts
     span, least = 1, key
     while span * 2 <= reach:
         least = np.minimum(least[: len(least) - span], least[span:])
         span *= 2
     least = np.minimum(least[: n - reach + 1], least[reach - span : n - span + 1])
-    anchor = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    sizes = np.diff(offsets)
-    whole = np.flatnonzero(sizes >= length)
-    count = sizes[whole] - length + 1
-    ends = np.cumsum(count)
-    start = np.repeat(offsets[whole] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-    doc = np.repeat(whole, count)
-    place = anchor[start]
-    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(start) else none
-    last = np.r_[first[1:] - 1, len(start) - 1] if len(start) else none
-    return data, offsets, {"begin": start[first], "stop": start[last] + length, "anchor": place[first], "doc": doc[first], "gram": gram[place[first]]}
+    # a run begins where the anchor changes and where a text begins; its last window is the text's last one at most
+    begin = np.unique(np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1, offsets[:-1][offsets[:-1] < len(least)]])
+    doc = np.searchsorted(offsets, begin, side="right") - 1
+    last = np.minimum(np.r_[begin[1:], len(least)] - 1, offsets[doc + 1] - length)
+    fine = last >= begin
+    begin, last, doc = begin[fine], last[fine], doc[fine]
+    anchor = (least[begin] & low).astype(np.int64)
+    return data, offsets, {"begin": begin, "stop": last + length, "anchor": anchor, "doc": doc, "gram": ta.mixed(gram[anchor])}
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on, doubled up from single bytes."""
+    out, span, factor = ta.BYTE_CODE[data], 1, 0x9E3779B97F4A7C15
+    while span < GRAM:
+        out = out[:-span] * np.uint64(factor) + out[span:]
+        factor, span = factor * factor % 2**64, span * 2
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
 
 
 def run_names(data: np.ndarray, found: dict[str, np.ndarray], ids: np.ndarray | None, offsets: np.ndarray) -> np.ndarray:
@@ -103,7 +115,7 @@ def ids_of(part: pa.RecordBatch) -> np.ndarray:
 
 
 def sliced(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    return ta.blocks(table.combine_chunks().to_batches())
+    return ta.blocks(table.combine_chunks().to_batches(), most=SLICE)
 
 
 def matched_windows(gram: np.ndarray, before: np.ndarray, text: list[bytes], length: int, first_too: bool) -> np.ndarray:

@@ -20,7 +20,8 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: A fixed random odd number for each byte.
+BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -79,7 +80,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     powers = np.cumprod(np.full(len(data), _BASE, np.uint64), dtype=np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * powers, dtype=np.uint64, out=sums[1:])
+    np.cumsum(BYTE_CODE[data] * powers, dtype=np.uint64, out=sums[1:])
     inverse = np.cumprod(np.full(len(data) + 1, _BASE_INVERSE, np.uint64), dtype=np.uint64)
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
