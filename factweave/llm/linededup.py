@@ -2,7 +2,8 @@
 
 Equal lines are one text. A text of MIN_LENGTH characters or more is cut into distance + 1 segments; at most `distance`
 edits leave one of them whole. Segments are indexed by text length, number and content; a text probes, for each length
-it may be linked with, the substrings that the position and the edits left allow. Candidates are verified by Spark's
+it may be linked with, the substrings that the position and the edits left allow. A pair that shares a segment is a candidate
+unless the parities of its words differ in more places than the edits can change. Candidates are verified by Spark's
 edit distance with a threshold, which computes a band of that width and stops beyond it.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
@@ -66,15 +67,22 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return line_rows(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("did", "version", "pos")).alias("first")).withColumn("length", F.length("line"))
 
 
+def signature(text: Column) -> Column:
+    """64 parities of a text's words by hash. An edit changes, splits or joins words: three of them at most, so three parities."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))
+    return F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(bit(w)))
+
+
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
     """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within the distance, once.
 
     The distinct texts are written once, as they are read for the index, for the probes and for the candidates.
     """
-    texts = written(texts_of(docs).where(F.col("length") >= MIN_LENGTH))
-    index = texts.select(F.col("h").alias("a"), F.col("length").alias("length_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    probe = texts.select(F.col("h").alias("b"), F.col("length").alias("length_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    pairs = index.join(probe, "key").where("a <> b AND (length_a < length_b OR a < b)").select("a", "b").distinct().checkpoint()
+    texts = written(texts_of(docs).where(F.col("length") >= MIN_LENGTH).withColumn("sign", signature(F.col("line"))))
+    index = texts.select(F.col("h").alias("a"), F.col("sign").alias("sign_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
+    probe = texts.select(F.col("h").alias("b"), F.col("sign").alias("sign_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
+    may_be = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 3 * distance)
+    pairs = index.join(probe, "key").where(may_be).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
     few = texts.select("h", "line", "first").join(wanted, "h").checkpoint()
