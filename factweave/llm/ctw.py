@@ -34,11 +34,11 @@ from factweave.llm.shared import release
 #: Context bytes. Six bytes with the coded one leave 16 bits of a word for the number of the text.
 DEPTH = 5
 #: Texts and bytes worked on at once.
-MOST_TEXTS = 60_000
+MOST_TEXTS, SLICE = 60_000, 1_500_000
 #: Bytes of text in a block of documents, and for each bucket.
 BLOCK, PER_BUCKET = 16_000_000, 16_000_000
 #: Distinct pairs that a task holds before it sends them.
-HELD = 6_000_000
+HELD = 2_000_000
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
 LN2 = math.log(2)
@@ -204,7 +204,7 @@ def stream(texts: pa.Array) -> Stream:
 
 
 def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stream]]:
-    for block in ta.blocks(batches):
+    for block in ta.blocks(batches, most=SLICE):
         for at in range(0, block.num_rows, MOST_TEXTS):
             part = block.slice(at, MOST_TEXTS)
             yield part, stream(part.column("text"))
