@@ -3,7 +3,7 @@
 Equal lines are one text. A text of MIN_LENGTH characters or more is cut into distance + 1 segments; at most `distance`
 edits leave one of them whole. Segments are indexed by text length, number and content; a text probes, for each length
 it may be linked with, the substrings that the position and the edits left allow. A pair that shares a segment is a candidate
-unless the parities of its words differ in more places than the edits can change. Candidates are verified by Spark's
+unless parities of its words or counts of letters differ more than the edits can change. Candidates are verified by Spark's
 edit distance with a threshold, which computes a band of that width and stops beyond it.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
@@ -67,10 +67,29 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return line_rows(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("did", "version", "pos")).alias("first")).withColumn("length", F.length("line"))
 
 
+#: Letters that are counted in signatures.
+COUNTED = "etanioru"
+
+
 def signature(text: Column) -> Column:
-    """64 parities of a text's words by hash. An edit changes, splits or joins words: three of them at most, so three parities."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))
-    return F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(bit(w)))
+    """32 parities of a text's words by hash, and counts of eight letters modulo 16, in one number.
+
+    An edit changes, splits or joins words: three of them at most, so three parities; and it changes two counts by one.
+    """
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(32)) + 32)
+    words = F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(bit(w)))
+    for k, letter in enumerate(COUNTED):
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        words = words.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
+    return words
+
+
+def may_be_close(a: Column, b: Column, distance: int) -> Column:
+    """Whether signatures leave it open that two texts are within the distance."""
+    parities = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= 3 * distance
+    digit = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(15)
+    apart = [F.least(F.pmod(digit(a, k) - digit(b, k), F.lit(16)), F.pmod(digit(b, k) - digit(a, k), F.lit(16))) for k in range(len(COUNTED))]
+    return parities & (sum(apart[1:], apart[0]) <= 2 * distance)
 
 
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -81,8 +100,8 @@ def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
     texts = written(texts_of(docs).where(F.col("length") >= MIN_LENGTH).withColumn("sign", signature(F.col("line"))))
     index = texts.select(F.col("h").alias("a"), F.col("sign").alias("sign_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
     probe = texts.select(F.col("h").alias("b"), F.col("sign").alias("sign_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    may_be = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 3 * distance)
-    pairs = index.join(probe, "key").where(may_be).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    open_pairs = (F.col("a") != F.col("b")) & may_be_close(F.col("sign_a"), F.col("sign_b"), distance)
+    pairs = index.join(probe, "key").where(open_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
     few = texts.select("h", "line", "first").join(wanted, "h").checkpoint()
