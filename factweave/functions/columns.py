@@ -5,6 +5,7 @@ Patterns are Java ones; (?U) gives \\w, \\s, \\d and \\b their Unicode meaning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 C_STRING = r'"([^"\\]*(?:\\.[^"\\]*)*)"'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def lines_of(text: Column) -> Column:
     """array<string> of lines; the end of the last line begins no other one."""
     parts = F.split(text, LINE_ENDS)
@@ -43,30 +49,34 @@ def without_comment(line: Column) -> Column:
         spaced = F.substring(text, at - 1, F.lit(1)).rlike(r"(?U)\s")
         return F.when(at == 1, F.lit("")).when((at > 1) & spaced, F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", "")).otherwise(text)
 
-    return cut(cut(strip(line), "#"), "//")
+    return let(let(strip(line), lambda x: cut(x, "#")), lambda x: cut(x, "//"))
 
 
 def clean_value(text: Column) -> Column:
     """Stripped, without semicolons at the end and without one pair of quotes around it."""
-    bare = F.regexp_replace(strip(text), ";+$", "")
-    quoted = (F.length(bare) >= 2) & F.substring(bare, 1, 1).isin("'", '"') & (F.substring(bare, 1, 1) == F.substring(bare, -1, 1))
-    return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+    def unquoted(bare: Column) -> Column:
+        quoted = (F.length(bare) >= 2) & F.substring(bare, 1, 1).isin("'", '"') & (F.substring(bare, 1, 1) == F.substring(bare, -1, 1))
+        return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+
+    return let(F.regexp_replace(strip(text), ";+$", ""), unquoted)
 
 
 def to_port(text: Column) -> Column:
-    port = F.nullif(F.regexp_extract(text, r"\d{1,5}", 0), F.lit("")).cast("int")
-    return F.when(port.between(0, 65535), port)
+    return let(F.nullif(F.regexp_extract(text, r"\d{1,5}", 0), F.lit("")).cast("int"), lambda port: F.when(port.between(0, 65535), port))
 
 
 def address_and_port(raw: Column) -> Column:
     """struct<address, port> of "[v6]:port", "host:port" or "port"."""
-    value = F.regexp_replace(clean_value(raw), "https?://", "")
-    split_off = value.contains(":") & ~value.rlike(r"^\d+$")
-    host = F.regexp_extract(value, r"^(.*):([^:]*)$", 1)
-    port = F.regexp_extract(value, r"^(.*):([^:]*)$", 2)
-    bracketed = value.startswith("[") & value.contains("]:")
-    address = F.when(bracketed, F.regexp_replace(host, r"^[\[\]]+|[\[\]]+$", "")).when(split_off, F.nullif(host, F.lit("")))
-    return F.struct(address.alias("address"), F.when(split_off, to_port(port)).otherwise(to_port(value)).alias("port"))
+
+    def parsed(value: Column) -> Column:
+        split_off = value.contains(":") & ~value.rlike(r"^\d+$")
+        host = F.regexp_extract(value, r"^(.*):([^:]*)$", 1)
+        bracketed = value.startswith("[") & value.contains("]:")
+        address = F.when(bracketed, F.regexp_replace(host, r"^[\[\]]+|[\[\]]+$", "")).when(split_off, F.nullif(host, F.lit("")))
+        return F.struct(address.alias("address"), to_port(F.when(split_off, F.regexp_extract(value, r"^(.*):([^:]*)$", 2)).otherwise(value)).alias("port"))
+
+    return let(F.regexp_replace(clean_value(raw), "https?://", ""), parsed)
 
 
 def c_strings(text: Column) -> Column:
@@ -198,28 +208,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its "." and ".." segments worked off, left to right."""
+    steps = F.aggregate(
+        F.split(F.regexp_replace(path, "^/", ""), "/"), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
+    )
+    joined = F.concat(F.lit("/"), F.array_join(steps, "/"))
+    return let(joined, lambda j: F.when(path.rlike(r"(^|/)\.\.?$") & ~j.endswith("/"), F.concat(j, F.lit("/"))).otherwise(j))
+
+
 def normalized_url(base: Column, candidate: Column) -> Column:
     """Absolute http(s) URL without its fragment, or null. Absolute, host-relative, root-relative, query-only and relative ones."""
-    value = strip(candidate)
-    bare = F.regexp_replace(value, "#.*$", "")
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    tail = F.regexp_extract(bare, r"(\?.*)$", 1)
-    target = F.when(bare.startswith("/"), F.regexp_replace(bare, r"\?.*$", "")).otherwise(F.concat(folder, F.regexp_replace(bare, r"\?.*$", "")))
-    # "." and ".." segments, left to right
-    steps = F.aggregate(
-        F.split(F.regexp_replace(target, "^/", ""), "/"), F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
-    )
-    closed = F.when(target.rlike(r"(^|/)\.\.?$"), "/").otherwise("")
-    joined = F.concat(F.lit("/"), F.array_join(steps, "/"))
-    resolved = F.concat(site, F.when(joined.endswith("/"), joined).otherwise(F.concat(joined, closed)), tail)
-    absolute = F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, bare)).when(bare.startswith("?"), F.concat(site, path, bare)).otherwise(resolved)
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+
+    def resolved(bare: Column) -> Column:
+        tail, own = F.regexp_extract(bare, r"(\?.*)$", 1), F.regexp_replace(bare, r"\?.*$", "")
+        relative = F.concat(site, let(F.when(bare.startswith("/"), own).otherwise(F.concat(folder, own)), without_dots), tail)
+        return F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, bare)).when(bare.startswith("?"), F.concat(site, path, bare)).otherwise(relative)
+
+    value = strip(candidate)
     skipped = (value == "") | value.rlike("^(javascript:|mailto:|tel:|#)")
-    return F.when(~skipped & absolute.rlike("(?i)^https?://"), absolute)
+    return let(let(F.regexp_replace(value, "#.*$", ""), resolved), lambda url: F.when(~skipped & url.rlike("(?i)^https?://"), url))
 
 
 def snapshot_name(url: Column) -> Column:

@@ -176,7 +176,7 @@ def startup_commands(sources: DataFrame) -> DataFrame:
     box = F.array_position("lower", F.lit("busybox"))
     command = F.when((box > 0) & (F.get("lower", box.cast("int")) == "httpd"), "busybox httpd")
     for name in V.SERVER_COMMANDS:
-        command = command.when(F.exists("lower", lambda t, n=name: F.element_at(F.split(t, "/"), -1) == n), name)
+        command = command.when(F.array_contains(F.transform("lower", lambda t: F.element_at(F.split(t, "/"), -1)), name), name)
     rows = rows.withColumn("command", command).where("command IS NOT NULL")
     option = lambda *names: C.option_value(F.col("argv"), list(names))
     rows = rows.select("bundle_id", "command", "argv", option("-c", "-f").alias("config_path"), option("-h").alias("document_root"), option("-p").alias("port"), option("-E").alias("error_log"), option("-r").alias("auth_realm"), F.struct("source_file", "line_no").alias("seq"), _evidence(F.lit("startup_command_token")).alias("evidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,13 @@ def local_session(app: str = "factweave", cores: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Use the shared folder named in spark.checkpoint.dir; only a local session without one gets its own."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
