@@ -199,4 +199,4 @@ def summary(contexts: DataFrame) -> DataFrame:
     for name, table in tables.items():
         part = table.select("doc_id", F.lit(name).alias("table"))
         rows = part if rows is None else rows.unionAll(part)
-    return rows.groupBy("doc_id").pivot("table", list(tables)).agg(F.count("*")).na.fill(0)
+    return rows.groupBy("doc_id").pivot("table", list(tables)).agg(F.count(F.lit(1))).na.fill(0)

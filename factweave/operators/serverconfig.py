@@ -216,5 +216,5 @@ def summary(sources: DataFrame) -> DataFrame:
     for name, table in TABLES.items():
         part = table(sources).select("bundle_id", F.lit(name).alias("table"))
         counts = part if counts is None else counts.unionAll(part)
-    counts = counts.groupBy("bundle_id").pivot("table", list(TABLES)).agg(F.count("*")).na.fill(0)
+    counts = counts.groupBy("bundle_id").pivot("table", list(TABLES)).agg(F.count(F.lit(1))).na.fill(0)
     return counts.join(out, "bundle_id", "left").join(ports, "bundle_id", "left")

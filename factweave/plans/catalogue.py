@@ -341,10 +341,12 @@ def page_auth_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontend.hints(corpora.form_pages(spark, sf_dir), V.AUTH_WORDS).select("source_file", "kind", "value", "source")
 
 
-@query("H6 Q38", f"WITH {PG} SELECT source_file, 0 AS state_hints FROM p WHERE FALSE")
+@query("H6 H8 H10 V5", "SELECT o_orderkey AS source_file, CASE o_orderkey % 3 WHEN 0 THEN 'reboot' WHEN 1 THEN 'save' ELSE 'upgrade' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'a:/reboot.asp' WHEN 1 THEN 'button text:Save all' ELSE '<meta content=''0; url=/upgrade''>' END AS source FROM orders")
 def page_state_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hints at state changes: form actions give none, and these pages have no other."""
-    return frontend.hints(corpora.form_pages(spark, sf_dir), V.STATE_WORDS).groupBy("source_file").agg(F.count("*").cast("int").alias("state_hints"))
+    """Hints at state changes in links, captions and meta tags derived from orders."""
+    text = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN '<a href="/reboot.asp">x</a>' WHEN 1 THEN '<button>Save all</button>' ELSE '<meta content="0; url=/upgrade">' END""")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_file"), text.alias("content"))
+    return frontend.hints(rows, V.STATE_WORDS).select(F.col("source_file").cast("long").alias("source_file"), "kind", "source")
 
 
 @query("X17 X18 A5 V8", f"WITH {PG} SELECT source_file, 'lan' || (k % 5) AS name, 'nvram_get' AS function, 'medium' AS confidence FROM p UNION ALL SELECT source_file, '<% nvram_get(\"lan' || (k % 5) || '\") %>', 'template_expression', 'low' FROM p")
@@ -410,7 +412,7 @@ def bin_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.tagged(corpora.contexts(spark, sf_dir), "route").select("doc_id", "value")
 
 
-@contexts_query("P2", "SELECT DISTINCT doc_id, 'login failed.' AS value FROM f WHERE p % 5 = 1")
+@contexts_query("P2", "SELECT DISTINCT doc_id, CASE p % 5 WHEN 1 THEN 'login failed.' ELSE 'HTTP_COOKIE' END AS value FROM f WHERE p % 5 IN (1, 2)")
 def bin_auth_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings that speak of authentication."""
     return binary.tagged(corpora.contexts(spark, sf_dir), "auth").select("doc_id", "value")
@@ -456,7 +458,7 @@ def bin_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.constraints(corpora.contexts(spark, sf_dir)).select("doc_id", "function", "kind", "target", "operator", "value")
 
 
-@contexts_query("P16 J3 A20 Q23", "SELECT doc_id, name, addr, CAST(1 AS INTEGER) AS callee_count FROM f WHERE p % 5 <> 4 OR n % 4 <> 3 OR p % 4 < 2 GROUP BY ALL")
+@contexts_query("P16 J3 A20 Q23", "SELECT DISTINCT doc_id, name, addr, CAST(1 AS INTEGER) AS callee_count FROM f JOIN (SELECT DISTINCT doc_id, addr FROM f WHERE p % 5 <> 4 OR n % 4 <> 3 OR p % 4 < 2) USING (doc_id, addr)")
 def bin_candidate_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that use a tagged string or a known interface, or are handlers."""
     return binary.candidate_functions(corpora.contexts(spark, sf_dir)).select("doc_id", "name", "addr", "callee_count").distinct()
