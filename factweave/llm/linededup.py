@@ -68,11 +68,11 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 #: Letters that are counted in signatures.
-COUNTED = "etanioru"
+COUNTED = "abcdefhiklmnopru"
 
 
 def signature(text: Column) -> Column:
-    """32 parities of a text's words by hash, and counts of eight letters modulo 16, in one number.
+    """32 parities of a text's words by hash, and counts of sixteen letters modulo 4, in one number.
 
     An edit changes, splits or joins words: three of them at most, so three parities; and it changes two counts by one.
     """
@@ -80,15 +80,16 @@ def signature(text: Column) -> Column:
     words = F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(bit(w)))
     for k, letter in enumerate(COUNTED):
         count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
-        words = words.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
+        words = words.bitwiseOR(F.shiftleft(count.bitwiseAND(3).cast("long"), 2 * k))
     return words
 
 
 def may_be_close(a: Column, b: Column, distance: int) -> Column:
     """Whether signatures leave it open that two texts are within the distance."""
     parities = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= 3 * distance
-    digit = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(15)
-    apart = [F.least(F.pmod(digit(a, k) - digit(b, k), F.lit(16)), F.pmod(digit(b, k) - digit(a, k), F.lit(16))) for k in range(len(COUNTED))]
+    # two counts modulo 4 are 0, 1 or 2 apart on the circle: at most as far as the counts themselves
+    turned = lambda k: F.pmod(F.shiftright(a, 2 * k).bitwiseAND(3) - F.shiftright(b, 2 * k).bitwiseAND(3), F.lit(4))
+    apart = [F.when(turned(k) == 3, 1).otherwise(turned(k)) for k in range(len(COUNTED))]
     return parities & (sum(apart[1:], apart[0]) <= 2 * distance)
 
 
