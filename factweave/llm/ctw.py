@@ -331,7 +331,7 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
     def answer(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
         wanted = [unpacked(x) for x in asked.column("asked").to_pylist()]
         if not wanted:
-            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "answers": pa.array([], pa.binary())})
+            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "asked": pa.array([], pa.binary()), "answers": pa.array([], pa.binary())})
         bucket = asked.column("bucket")[0].as_py()
         held = [unpacked(x) for x in model.column("keys").to_pylist()], [unpacked(x, False) for x in model.column("counts").to_pylist()]
         keys, counts = merged([*held[0], *wanted], [*held[1], *(np.zeros(len(x), np.int64) for x in wanted)])
@@ -346,15 +346,18 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
             value = counts.astype("<f4") if counts.max(initial=0) < 2**24 else counts.astype("<f8")
         pack = zstandard.ZstdCompressor(level=1).compress
         out = [bytes([value.itemsize]) + pack(np.ascontiguousarray(value[np.searchsorted(keys, x)]).tobytes()) for x in wanted]
-        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "answers": pa.array(out, pa.binary())})
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "asked": asked.column("asked"), "answers": pa.array(out, pa.binary())})
 
     def add_up(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = own_keys(texts)
-        replies = dict(zip(answers.column("bucket").to_pylist(), answers.column("answers").to_pylist(), strict=True))
-        values = [np.zeros(len(x)) for x in keys]
+        keys, values = [], []
+        bucket = answers.column("bucket").to_numpy()
         for kind in (0, 1):
-            for b, at in dealt(keys[kind], kind, n):
-                values[kind][at] = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[b][1:]), f"<f{replies[b][0]}")
+            own = answers.filter(pa.array((bucket >= n) == kind))
+            flat = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in own.column("asked").to_pylist())])
+            value = np.concatenate([np.zeros(0), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), f"<f{x[0]}") for x in own.column("answers").to_pylist())])
+            order = np.argsort(flat)
+            keys.append(flat[order])
+            values.append(value[order])
         out = []
         for part, s in streams(texts.combine_chunks().to_batches()):
             joint = np.sort(s.keys << np.uint64(16) | s.doc.astype(np.uint64))
@@ -372,6 +375,6 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
         return pa.concat_tables(out)
 
     asked = by_block.applyInArrow(ask, "block long, bucket long, asked binary")
-    replies = asked.groupBy("bucket").cogroup(model.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(answer, "block long, bucket long, answers binary")
+    replies = asked.groupBy("bucket").cogroup(model.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(answer, "block long, bucket long, asked binary, answers binary")
     scored = by_block.cogroup(replies.groupBy("block")).applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
