@@ -46,7 +46,7 @@ def release(spark: SparkSession) -> None:
 
     It does so when the driver collects garbage; the first collection only lets go of the plans that held them.
     """
-    for _ in range(3):
+    for _ in range(6):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
