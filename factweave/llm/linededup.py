@@ -1,10 +1,19 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-Equal lines are one text. A text of MIN_LENGTH characters or more is cut into distance + 1 segments; at most `distance`
-edits leave one of them whole. Segments are indexed by text length, number and content; a text probes, for each length
-it may be linked with, the substrings that the position and the edits left allow. A pair that shares a segment is a candidate
-unless parities of its words or counts of letters differ more than the edits can change. Candidates are verified by Spark's
-edit distance with a threshold, which computes a band of that width and stops beyond it.
+Equal lines are one text. The edits that a link may have grow with the length of the shorter text, by the bands of BANDS:
+2 below 128 characters, 4, 6, and 8 from 256 up.
+
+A text of the first band, of MIN_LENGTH characters or more, is cut into edits + 1 segments; the edits leave one of them
+whole. Segments are indexed by text length, number and content; a text probes, for each length it may be linked with, the
+substrings that the position and the edits left allow. A pair that shares a segment is a candidate unless parities of its
+words or counts of letters differ more than the edits can change.
+
+Longer texts would need hundreds of probes. They are candidates by pairs of neighbouring words: an edit changes three of
+them at most, so of two linked texts each has all but 3 x edits pairs of the other, and they share one of their
+3 x edits + 1 first ones in any fixed order. Rare ones come first, by counts in a sample. Texts with no more
+than 3 x edits different pairs (no blanks, or few words again and again) are joined among each other by segments.
+
+Candidates are verified by Spark's edit distance with a threshold, which computes a band of that width and stops beyond it.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
 
@@ -15,6 +24,8 @@ Empty tables give no rows. Extra columns pass through; `n_lines`, `n_removed` an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +33,27 @@ from factweave.llm.shared import release, written
 
 #: Shorter lines are compared for equality only: segments keep eight characters.
 MIN_LENGTH = 24
+#: First length of each band, and by what the distance is multiplied in it.
+BANDS = ((0, 1), (128, 2), (192, 3), (256, 4))
+LONG = BANDS[1][0]
+#: No text has as many characters.
+ENDLESS = 2**30
+#: Places for counts of word pairs, and texts in the sample that they are counted in.
+PLACES, SAMPLE = 2**17, 30_000
+
+
+def bands(distance: int) -> list[tuple[int, int, int]]:
+    """First and last length of each band, and its edits."""
+    ends = [low - 1 for low, _ in BANDS[1:]] + [ENDLESS]
+    return [(low, high, distance * times) for (low, times), high in zip(BANDS, ends, strict=True)]
+
+
+def allowed(length: Column, distance: int) -> Column:
+    """The edits that a link may have if its shorter text has this length."""
+    out = F.lit(distance)
+    for low, _, edits in bands(distance)[1:]:
+        out = F.when(length >= low, edits).otherwise(out)
+    return out
 
 
 def segment(length: Column, number: int, of: int) -> tuple[Column, Column]:
@@ -40,15 +72,15 @@ def index_keys(text: Column, length: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def probe_keys(text: Column, length: Column, distance: int) -> Column:
-    """A key for each substring that may equal a segment of a text up to `distance` shorter."""
+def probe_keys(text: Column, length: Column, distance: int, low: int, high: int) -> Column:
+    """A key for each substring that may equal a segment of a text up to `distance` shorter, of low to high characters."""
     keys = []
     for less in range(distance + 1):
         other = (length - less).cast("int")
         for i in range(distance + 1):
             start, size = segment(other, i, distance + 1)
             for shift in range(max(-i, less - (distance - i)), min(i, less + (distance - i)) + 1):
-                keys.append(F.when(other >= MIN_LENGTH, F.xxhash64(other, F.lit(i), F.substr(text, start + shift, size))))
+                keys.append(F.when(other.between(low, high), F.xxhash64(other, F.lit(i), F.substr(text, start + shift, size))))
     return F.array_compact(F.array(*keys))
 
 
@@ -93,23 +125,84 @@ def may_be_close(a: Column, b: Column, distance: int) -> Column:
     return parities & (sum(apart[1:], apart[0]) <= 2 * distance)
 
 
+def letters(text: Column) -> Column:
+    """Counts of sixteen letters modulo 16, in one number."""
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate(COUNTED):
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * k))
+    return out
+
+
+def letters_close(a: Column, b: Column, edits: Column | int) -> Column:
+    """Whether counts of letters leave it open that two texts are within so many edits."""
+    turned = lambda k: F.pmod(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15), F.lit(16))
+    apart = [F.least(turned(k), 16 - turned(k)) for k in range(len(COUNTED))]
+    return sum(apart[1:], apart[0]) <= 2 * edits
+
+
+def word_pairs(text: Column) -> Column:
+    """56-bit hashes of the different pairs of neighbouring words; the end counts as a word."""
+    words = F.split(text, " ")
+    return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 8)))
+
+
+def rarity(texts: DataFrame) -> bytes:
+    """A number under 128 for each place, which grows with the count of the word pairs that have it."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod("h", F.lit(every)) == 0).select(F.explode(word_pairs(F.col("line"))).alias("pair"))
+    out = bytearray(PLACES)
+    for place, n in some.groupBy(F.pmod("pair", F.lit(PLACES)).cast("int").alias("place")).count().collect():
+        out[place] = min(127, round(6 * math.log2(1 + n)))
+    return bytes(out)
+
+
+def by_segments(texts: DataFrame, low: int, high: int, edits: int, sign: str) -> DataFrame:
+    """a, b for candidates of which the shorter has low to high characters."""
+    index = texts.where(F.col("length").between(low, high)).select(F.col("h").alias("a"), F.col(sign).alias("sign_a"), F.explode(index_keys(F.col("line"), F.col("length"), edits)).alias("key"))
+    probe = texts.where(F.col("length").between(low, high + edits)).select(F.col("h").alias("b"), F.col(sign).alias("sign_b"), F.explode(probe_keys(F.col("line"), F.col("length"), edits, low, high)).alias("key"))
+    close = may_be_close if sign == "sign" else letters_close
+    return index.join(probe, "key").where((F.col("a") != F.col("b")) & close(F.col("sign_a"), F.col("sign_b"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def by_word_pairs(texts: DataFrame, distance: int) -> DataFrame:
+    """a, b for candidates that share one of their first pairs of words."""
+    counts = F.lit(rarity(texts))
+    place = lambda p: F.ascii(F.substring(counts, F.pmod(p, F.lit(PLACES)).cast("int") + 1, F.lit(1)).cast("string"))
+    ordered = F.sort_array(F.transform(word_pairs(F.col("line")), lambda p: F.shiftleft(place(p).cast("long"), 56).bitwiseOR(p)))
+    keys = texts.select("h", "letters", "length", F.explode(F.slice(ordered, F.lit(1), 3 * allowed(F.col("length"), distance) + 1)).alias("key"))
+    side = lambda name: keys.select("key", F.col("h").alias(name), F.col("letters").alias(f"letters_{name}"), F.col("length").alias(f"length_{name}"))
+    edits = allowed(F.least("length_a", "length_b"), distance)
+    open_pairs = (F.col("a") < F.col("b")) & (F.abs(F.col("length_a") - F.col("length_b")) <= edits) & letters_close(F.col("letters_a"), F.col("letters_b"), edits)
+    return side("a").join(side("b"), "key").where(open_pairs).select("a", "b")
+
+
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within the distance, once.
+    """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within its band's distance, once.
 
-    The distinct texts are written once, as they are read for the index, for the probes and for the candidates.
+    The distinct texts are written once, as they are read for each kind of candidates and for verification.
     """
-    texts = written(texts_of(docs).where(F.col("length") >= MIN_LENGTH).withColumn("sign", signature(F.col("line"))))
-    index = texts.select(F.col("h").alias("a"), F.col("sign").alias("sign_a"), F.explode(index_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    probe = texts.select(F.col("h").alias("b"), F.col("sign").alias("sign_b"), F.explode(probe_keys(F.col("line"), F.col("length"), distance)).alias("key"))
-    open_pairs = (F.col("a") != F.col("b")) & may_be_close(F.col("sign_a"), F.col("sign_b"), distance)
-    pairs = index.join(probe, "key").where(open_pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    (_, short, _), *longer = bands(distance)
+    line, length = F.col("line"), F.col("length")
+    signed = texts_of(docs).where(length >= MIN_LENGTH).withColumns({"sign": F.when(length <= short + distance, signature(line)), "letters": F.when(length > short, letters(line))})
+    texts = written(signed)
+    long = texts.where(length > short)
+    few = long.where(F.size(word_pairs(line)) <= 3 * allowed(length, distance)).select("h", "line", "length", "letters").checkpoint()
+    pairs = by_segments(texts, MIN_LENGTH, short, distance, "sign").distinct().checkpoint()
+    release(docs.sparkSession)
+    if not long.isEmpty():
+        pairs = pairs.unionAll(by_word_pairs(long, distance).distinct().checkpoint())
+        release(docs.sparkSession)
+    for band in longer if not few.isEmpty() else ():
+        pairs = pairs.unionAll(by_segments(few, *band, "letters"))
+    pairs = pairs.distinct().checkpoint()
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    few = texts.select("h", "line", "first").join(wanted, "h").checkpoint()
+    met = texts.select("h", "line", "first", "length").join(wanted, "h").checkpoint()
     release(docs.sparkSession)
-    side = lambda name: few.select(F.col("h").alias(name), F.col("line").alias(f"line_{name}"), F.col("first").alias(f"first_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.withColumn("edits", F.levenshtein("line_a", "line_b", distance)).where("edits >= 0").select("a", "b", "first_a", "first_b", "edits")
+    side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("line", "first", "length")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", F.levenshtein("line_a", "line_b", longer[-1][2]))
+    return both.where((F.col("edits") >= 0) & (F.col("edits") <= allowed(F.least("length_a", "length_b"), distance))).select("a", "b", "first_a", "first_b", "edits")
 
 
 def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:

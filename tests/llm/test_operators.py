@@ -226,6 +226,34 @@ def test_line_dedup(spark, none):
     assert {r.doc_id for r in linededup.keep_fresh(frame).select("doc_id").collect()} >= {None, 98} and linededup.keep_fresh(frame).where("doc_id = 99").count() == 0
 
 
+def test_long_lines_allow_more_edits(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    kinds = [lambda n: " ".join(word() for _ in range(n // 5)), lambda n: "".join(rng.choice("abcdé") for _ in range(n)), lambda n: "the of " * (n // 7)]
+    lines = set()
+    for n in (100, 120, 124, 126, 128, 130, 160, 188, 194, 220, 252, 258, 300, 400):
+        for kind in kinds:
+            base = kind(n)
+            lines.add(base)
+            for _ in range(6):
+                line = base
+                for _ in range(rng.randrange(1, 11)):
+                    i = rng.randrange(len(line))
+                    line = rng.choice([line[:i] + line[i + 1 :], line[:i] + rng.choice("xyz ") + line[i:], line[:i] + rng.choice("xyz ") + line[i + 1 :]])
+                lines.add(line)
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    most = lambda a, b: next(e for low, e in ((256, 8), (192, 6), (128, 4), (0, 2)) if min(len(a), len(b)) >= low)
+    expected = Counter()
+    for k, a in enumerate(lines):
+        for b in lines[:k]:
+            if abs(len(a) - len(b)) <= 8 and (n := edits(a, b)) <= most(a, b):
+                expected[tuple(sorted((lines.index(a), lines.index(b)))), n] += 1
+    assert sum(n > 2 for _, n in expected) > 50
+    found = linededup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert Counter((tuple(sorted((r.first_a.did, r.first_b.did))), r.edits) for r in found) == expected
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in rng.normal(size=20)], 1) for k in range(300)]
