@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from factweave.llm.shared import release, written
 
-#: Shorter lines are compared for equality only: segments keep eight characters.
-MIN_LENGTH = 24
+#: Shorter lines are compared for equality only: two edits turn any of them into any other.
+MIN_LENGTH = 3
 #: First length of each band, and by what the distance is multiplied in it.
 BANDS = ((0, 1), (128, 2), (192, 3), (256, 4))
 LONG = BANDS[1][0]
@@ -184,11 +184,11 @@ def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
     """
     (_, short, _), *longer = bands(distance)
     line, length = F.col("line"), F.col("length")
-    signed = texts_of(docs).where(length >= MIN_LENGTH).withColumns({"sign": F.when(length <= short + distance, signature(line)), "letters": F.when(length > short, letters(line))})
+    signed = texts_of(docs).where(length >= max(MIN_LENGTH, distance + 1)).withColumns({"sign": F.when(length <= short + distance, signature(line)), "letters": F.when(length > short, letters(line))})
     texts = written(signed)
     long = texts.where(length > short)
     few = long.where(F.size(word_pairs(line)) <= 3 * allowed(length, distance)).select("h", "line", "length", "letters").checkpoint()
-    pairs = by_segments(texts, MIN_LENGTH, short, distance, "sign").distinct().checkpoint()
+    pairs = by_segments(texts, max(MIN_LENGTH, distance + 1), short, distance, "sign").distinct().checkpoint()
     release(docs.sparkSession)
     if not long.isEmpty():
         pairs = pairs.unionAll(by_word_pairs(long, distance).distinct().checkpoint())

@@ -254,6 +254,13 @@ def test_long_lines_allow_more_edits(spark):
     assert Counter((tuple(sorted((r.first_a.did, r.first_b.did))), r.edits) for r in found) == expected
 
 
+def test_short_lines_are_linked(spark):
+    lines = ["ab", "ac", "abc", "abd", "xyz", "abxyc", "Aton thonat and.", "Atin thonat, and.", "Ouéou tionoiment.", "Ouéou | tionoiment.", "q" * 23, "q" * 24, "q" * 26, "short line here", "other"]
+    expected = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if min(len(lines[a]), len(lines[b])) >= 3 and edits(lines[a], lines[b]) <= 2}
+    found = linededup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.first_a.did, r.first_b.did))) for r in found} == expected and len(found) == len(expected) >= 6
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in rng.normal(size=20)], 1) for k in range(300)]
