@@ -15,10 +15,11 @@ kept. Empty tables give no rows. Extra columns are ignored by repeated_spans() a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ from factweave.llm import textarrays as ta
 
 GRAM = 32
 #: Bytes of text that form a block of documents.
-BLOCK = 8_000_000
+BLOCK = 6_000_000
 #: Bytes of text worked on at once.
-SLICE = 1_500_000
+SLICE = 600_000
 #: Runs sorted at once; those of a hot anchor are sorted together.
 ROWS = 4_000
 
@@ -52,16 +53,18 @@ def smaller_neighbours(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def previous_factors(windows: np.ndarray) -> np.ndarray:
-    """For each row the row of an equal string at an earlier position that is next to it in suffix order, or -1."""
+def previous_factors(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the length of its longest previous factor (the longest prefix that begins an earlier row, too), and such a row (-1: none)."""
     order = suffix_order(windows)
     before, after = smaller_neighbours(order)
-    out = np.full(len(order), -1)
+    factor, source = np.zeros(len(order), np.int64), np.full(len(order), -1)
     for near, none in ((before, -1), (after, len(order))):
         at = np.flatnonzero(near != none)
-        same = (windows[order[at]] == windows[order[near[at]]]).all(axis=1)
-        out[order[at[same]]] = order[near[at[same]]]
-    return out
+        differs = windows[order[at]] != windows[order[near[at]]]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), windows.shape[1])
+        longer = common > factor[order[at]]
+        factor[order[at[longer]]], source[order[at[longer]]] = common[longer], order[near[at[longer]]]
+    return factor, source
 
 
 def runs(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -102,12 +105,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
-def run_names(data: np.ndarray, found: dict[str, np.ndarray], ids: np.ndarray | None, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each run's bytes and of its anchor's place in them; with the texts' ids, of its own place, too."""
-    name = ta.mixed(ta.span_hashes(data, found["begin"], found["stop"]) + (found["anchor"] - found["begin"]).astype(np.uint64))
-    if ids is not None:
-        name = ta.mixed(ta.mixed(name ^ ids[found["doc"]].view(np.uint64)) + (found["begin"] - offsets[found["doc"]]).astype(np.uint64))
-    return name.view(np.int64)
+def run_names(raw: memoryview, found: dict[str, np.ndarray], ids: np.ndarray | None, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit name of each run's bytes and of its anchor's place in them; with the texts' ids, of its own place, too."""
+    digest = xxhash.xxh3_128_digest
+    own = found["anchor"] - found["begin"]
+    if ids is None:
+        return [digest(raw[a:b], seed=k) for a, b, k in zip(found["begin"].tolist(), found["stop"].tolist(), own.tolist(), strict=True)]
+    place = found["begin"] - offsets[found["doc"]]
+    return [digest(b"%d %d " % (d, p) + raw[a:b], seed=k) for a, b, k, d, p in zip(found["begin"].tolist(), found["stop"].tolist(), own.tolist(), ids[found["doc"]].tolist(), place.tolist(), strict=True)]
 
 
 def ids_of(part: pa.RecordBatch) -> np.ndarray:
@@ -130,10 +135,11 @@ def matched_windows(gram: np.ndarray, before: np.ndarray, text: list[bytes], len
     for offset in range(most + 1):
         rows = np.flatnonzero((before >= offset) & (before - offset + length <= sizes))
         if len(rows) > 1:
-            factor = previous_factors(np.concatenate([names[rows], board[rows, most - offset : most - offset + length]], axis=1))
-            out[rows[factor >= 0], offset] = True
+            factor, source = previous_factors(np.concatenate([names[rows], board[rows, most - offset : most - offset + length]], axis=1))
+            whole = factor == 8 + length
+            out[rows[whole], offset] = True
             if first_too:
-                out[rows[factor[factor >= 0]], offset] = True
+                out[rows[source[whole]], offset] = True
     return out
 
 
@@ -143,10 +149,11 @@ def spans_of(mask: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataFrame:
-    """doc_id, text, and spans (array of begin and stop in UTF-8 bytes) of all bytes in windows that stand elsewhere, too.
+def covered(docs: DataFrame, finish: Callable[[bytes, list[int]], tuple], schema: str, length: int = 200, first_too: bool = True) -> DataFrame:
+    """doc_id and finish(bytes of the text, spans) of every document. Spans: begin, stop, begin, stop ... of all bytes in windows that stand elsewhere, too.
 
-    With first_too=False the first copy of a window is left out.
+    With first_too=False the first copy of a window is left out. finish runs in the task that has the spans, so texts leave
+    it once, as what finish makes of them; schema names its columns.
     """
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK))
@@ -163,7 +170,7 @@ def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataF
     def send(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
         wanted = np.sort(shared.column("gram").to_numpy()).view(np.int64)
         out = {k: [] for k in ("gram", "name", "before", "run", "n", "doc", "begin")}
-        seen: dict[int, int] = {}
+        seen: dict[bytes, int] = {}
         for part in sliced(texts):
             data, offsets, found = runs(part.column("text"), length)
             ids = ids_of(part)
@@ -172,7 +179,7 @@ def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataF
             keep = np.flatnonzero(wanted[at] == own) if len(wanted) else np.zeros(0, np.int64)
             found = {k: v[keep] for k, v in found.items()}
             raw = data.tobytes()
-            names = run_names(data, found, None if first_too else ids, offsets).tolist()
+            names = run_names(memoryview(raw), found, None if first_too else ids, offsets)
             for name, gram, begin, stop, anchor, doc, at in zip(names, found["gram"].view(np.int64).tolist(), *(found[k].tolist() for k in ("begin", "stop", "anchor")), ids[found["doc"]].tolist(), (found["begin"] - offsets[found["doc"]]).tolist(), strict=True):
                 if name in seen:
                     out["n"][seen[name]] += 1
@@ -181,15 +188,15 @@ def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataF
                     for k, v in (("gram", gram), ("name", name), ("before", anchor - begin), ("run", raw[begin:stop]), ("n", 1), ("doc", doc), ("begin", at)):
                         out[k].append(v)
         block = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
-        return pa.table({"block": pa.array([block] * len(out["n"]), pa.int64()), "gram": pa.array(out["gram"], pa.int64()), "name": pa.array(out["name"], pa.int64()), "before": pa.array(out["before"], pa.int32()), "run": pa.array(out["run"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "doc": pa.array(out["doc"], pa.int64()), "begin": pa.array(out["begin"], pa.int64())})
+        return pa.table({"block": pa.array([block] * len(out["n"]), pa.int64()), "gram": pa.array(out["gram"], pa.int64()), "name": pa.array(out["name"], pa.binary()), "before": pa.array(out["before"], pa.int32()), "run": pa.array(out["run"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "doc": pa.array(out["doc"], pa.int64()), "begin": pa.array(out["begin"], pa.int64())})
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(table: pa.Table) -> pa.RecordBatch:
             # runs of several blocks that are equal are one run, whose windows all stand elsewhere
-            name = table.column("name").to_numpy()
+            name = np.array(table.column("name").to_pylist(), "V16")
             first = place = np.arange(len(name))
             if first_too:
-                _, first, place, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+                _, first, place, times = np.unique(name.view("u8,u8"), return_index=True, return_inverse=True, return_counts=True)
             before = table.column("before").to_numpy().astype(np.int64)
             text = table.column("run").to_pylist()
             some = matched_windows(table.column("gram").to_numpy()[first], before[first], [text[k] for k in first.tolist()], length, first_too)
@@ -214,17 +221,15 @@ def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataF
             yield solved(pa.Table.from_batches(held))
 
     def unite(key: tuple, texts: pa.Table, solved: pa.Table) -> pa.Table:
-        names = solved.column("name").to_numpy()
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        flags = np.unpackbits(np.frombuffer(b"".join(solved.column("bits").to_pylist()), np.uint8).reshape(len(names), -1), axis=1)[order].astype(bool) if len(names) else np.zeros((0, 1), bool)
-        ids, kept, spans = [], [], []
+        place = {name: k for k, name in enumerate(solved.column("name").to_pylist())}
+        bits = np.frombuffer(b"".join(solved.column("bits").to_pylist()), np.uint8).reshape(len(place), -1) if place else np.zeros((0, 1), np.uint8)
+        out = []
         for part in sliced(texts):
             data, offsets, found = runs(part.column("text"), length)
-            own = run_names(data, found, None if first_too else ids_of(part), offsets)
-            at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
-            hit = np.flatnonzero(names[at] == own) if len(names) else np.zeros(0, np.int64)
-            run, offset = np.nonzero(flags[at[hit]])
+            raw = memoryview(data.tobytes())
+            at = np.array([place.get(name, -1) for name in run_names(raw, found, None if first_too else ids_of(part), offsets)], np.int64)
+            hit = np.flatnonzero(at >= 0)
+            run, offset = np.nonzero(np.unpackbits(bits[at[hit]], axis=1))
             anchor, begin, stop = found["anchor"][hit[run]], found["begin"][hit[run]], found["stop"][hit[run]]
             start = anchor - offset
             start = start[(start >= begin) & (start + length <= stop)]
@@ -232,32 +237,27 @@ def covered(docs: DataFrame, length: int = 200, first_too: bool = True) -> DataF
             np.add.at(depth, start, 1)
             np.add.at(depth, start + length, -1)
             mask = np.cumsum(depth[:-1]) > 0
-            ids += part.column("doc_id").to_pylist()
-            kept += part.column("text").to_pylist()
-            spans += [spans_of(mask[a:b]).ravel().tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                out.append((doc, *finish(bytes(raw[a:b]), spans_of(mask[a:b]).ravel().tolist())))
+        types = [pa.int64() if x.split()[1] == "long" else pa.string() for x in schema.split(", ")]
+        columns = zip(*out, strict=True) if out else [[]] * (1 + len(types))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *types], strict=True)], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
     by_block = rows.groupBy("block")
     grams = by_block.applyInArrow(anchors, "block long, gram long, n long")
     shared = grams.withColumn("all", F.sum("n").over(Window.partitionBy("gram"))).where(F.col("all") > 1).select("block", "gram")
-    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "block long, gram long, name long, before int, run binary, n int, doc long, begin long")
-    solved = sent.repartition("gram").sortWithinPartitions("gram", "doc", "begin").mapInArrow(resolve, "block long, name long, bits binary")
-    return by_block.cogroup(solved.groupBy("block")).applyInArrow(unite, "doc_id long, text string, spans array<long>")
+    sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, "block long, gram long, name binary, before int, run binary, n int, doc long, begin long")
+    solved = sent.repartition("gram").sortWithinPartitions("gram", "doc", "begin").mapInArrow(resolve, "block long, name binary, bits binary")
+    return by_block.cogroup(solved.groupBy("block")).applyInArrow(unite, f"doc_id long, {schema}")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256: every byte in a stretch of `length` bytes that starts anywhere else is removed."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = text.encode()
-                out.append((len(raw), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, hashlib.sha256(without(raw, spans)).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def finish(raw: bytes, spans: list[int]) -> tuple:
+        return len(raw), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, hashlib.sha256(without(raw, spans)).hexdigest()
 
-    return covered(docs, length).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return covered(docs, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
 
 
 def without(raw: bytes, spans: list[int]) -> bytes:
@@ -268,10 +268,4 @@ def without(raw: bytes, spans: list[int]) -> bytes:
 
 def keep_first_copies(docs: DataFrame, length: int = 200) -> DataFrame:
     """doc_id and text without the later copies of stretches of `length` bytes; the first copy of each, by doc_id and place, stays."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [without(t.encode(), s).decode(errors="ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return covered(docs, length, first_too=False).mapInArrow(work, "doc_id long, text string")
+    return covered(docs, lambda raw, spans: (without(raw, spans).decode(errors="ignore"),), "text string", length, first_too=False)
