@@ -32,6 +32,24 @@ MOST_WORDS = 400_000
 LAST = np.iinfo(np.int64).max
 
 
+#: Code points that `regex` takes for letters and for numbers, and the tokenizers library doesn't.
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
+    "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Capital letters that Python doesn't lower and the library does: first, last, and how far their small letters are.
+LATER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+LOWERED = {c: c + apart for first, last, apart in LATER_CAPITALS for c in range(first, last + 1)}
+
+
+def class_of(ranges: str) -> str:
+    """What stands in the brackets of a regex class of these code points."""
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in ranges.split())
+
+
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices start, start + 1 ... of every span, end to end."""
     ends = np.cumsum(sizes)
@@ -59,17 +77,25 @@ class Vocabulary:
         self.added = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.added_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
         pattern = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.piece, self.piece_or_end = regex.compile(pattern), regex.compile(f"\\n|{pattern}")
+        letters, numbers = class_of(LATER_LETTERS), class_of(LATER_NUMBERS)
+        careful = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{letters}{numbers}]]").replace(r"[\p{L}]", rf"[\p{{L}}--[{letters}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{numbers}]]")
+        self.usual, self.careful = regex.compile(f"\\n|{pattern}"), regex.compile(f"(?V1)\\n|{careful}")
+        self.later = regex.compile(f"[{letters}{numbers}{''.join(map(chr, LOWERED))}]")
         names = {i: t for t, i in (vocab | self.added).items()}
         strings = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.string_sizes = np.array([len(x) for x in strings], np.int64)
         self.string_starts = np.cumsum(self.string_sizes) - self.string_sizes
         self.string_bytes = np.frombuffer(b"".join(strings), np.uint8)
 
-    @staticmethod
-    def lowered(text: str) -> str:
-        """The normal form, each letter lowered on its own: a capital sigma at a word's end becomes the plain one."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def pieces(self, text: str) -> list[bytes]:
+        """The pieces of a text in normal form, and its line ends.
+
+        Each letter is lowered on its own: a capital sigma at a word's end becomes the plain one.
+        """
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not self.later.search(text):
+            return list(map(str.encode, self.usual.findall(text)))
+        return list(map(str.encode, self.careful.findall(text.translate(LOWERED))))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; LAST if it has none."""
@@ -111,8 +137,7 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and the number of each word's ids."""
         plain = [b"" if b"<|" in word else word for word in words]
-        found = self.piece_or_end.findall(self.lowered(b"\n".join(plain).decode("utf-8", "replace")))
-        flat = list(map(str.encode, found))
+        flat = self.pieces(b"\n".join(plain).decode("utf-8", "replace"))
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
         data = np.frombuffer(b"".join(flat), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -139,7 +164,7 @@ class Vocabulary:
             if part in self.added:
                 out.append(np.array([self.added[part]]))
             elif part:
-                pieces = [x.encode() for x in self.piece.findall(self.lowered(part))]
+                pieces = self.pieces(part)
                 data = np.frombuffer(b"".join(pieces), np.uint8)
                 sizes = np.array([len(x) for x in pieces], np.int64)
                 symbols = self.inner[data]
@@ -173,17 +198,24 @@ class Encoder:
         """Ids of all texts end to end, and len(texts) + 1 offsets into them."""
         raw, _ = ta.text_buffers(texts)
         found = ta.tokens(texts)
-        hashes, first, place = np.unique(ta.span_hashes(raw, found.starts, found.ends), return_index=True, return_inverse=True)
+        sizes = found.ends - found.starts
+        _, first, place = np.unique(ta.span_hashes(raw, found.starts, found.ends), return_index=True, return_inverse=True)
+        # words of one hash are one word only if their bytes agree
+        other = np.flatnonzero(sizes != sizes[first[place]])
+        alike = np.flatnonzero(sizes == sizes[first[place]])
+        other = np.union1d(other, alike[~ta.equal_spans(raw, found.starts[alike], found.starts[first[place[alike]]], sizes[alike])])
+        place[other] = len(first) + np.arange(len(other))
+        first = np.r_[first, other]
         if len(self.known) > MOST_WORDS:
             self.known = {}
-        fresh = [k for k, h in enumerate(hashes.tolist()) if h not in self.known]
+        whole = raw.tobytes()
+        words = [whole[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)]
+        fresh = list({word for word in words if word not in self.known})
         if fresh:
-            whole = raw.tobytes()
-            ids, counts = self.words.encode_words([whole[a:b] for a, b in zip(found.starts[first[fresh]].tolist(), found.ends[first[fresh]].tolist(), strict=True)])
+            ids, counts = self.words.encode_words(fresh)
             stops = np.cumsum(counts).tolist()
-            parts = [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-            self.known |= zip(hashes[fresh].tolist(), parts, strict=True)
-        own = [self.known[h] for h in hashes.tolist()]
+            self.known |= zip(fresh, [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True)
+        own = [self.known[word] for word in words]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
         starts = np.cumsum(sizes) - sizes
