@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, quality, substrings, topk
 
@@ -211,7 +212,7 @@ def test_line_dedup(spark, none):
         for p, line in enumerate(t.split("\n")):
             if line.strip():
                 first.setdefault(line, (k, p))
-    long = [x for x in first if len(x) >= linededup.MIN_LENGTH]
+    long = [x for x in first if len(x) >= 3]
     links = {x: [y for y in long if x != y and edits(x, y) <= 2] for x in long}
     assert sum(map(len, links.values())) > 20
     got = {r.doc_id: r for r in linededup.dedup_lines(frame).collect()}
@@ -223,35 +224,31 @@ def test_line_dedup(spark, none):
         assert (r.n_lines, r.n_removed, r.n_links) == (sum(bool(x.strip()) for x in lines), sum(goes), sum(len(links.get(x, ())) for x in lines))
     assert (got[None].text, got[None].n_lines) == (None, 0)
     assert linededup.dedup_lines(none).count() == 0
-    assert {r.doc_id for r in linededup.keep_fresh(frame).select("doc_id").collect()} >= {None, 98} and linededup.keep_fresh(frame).where("doc_id = 99").count() == 0
+    fresh = {r.doc_id for r in linededup.keep_fresh(frame).select("doc_id").collect()}
+    assert fresh >= {None, 98} and 99 not in fresh
 
 
-def test_long_lines_allow_more_edits(spark):
+@pytest.mark.parametrize("distance", [1, 2, 4])
+def test_edit_distance_in_a_band(spark, distance):
     rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
-    kinds = [lambda n: " ".join(word() for _ in range(n // 5)), lambda n: "".join(rng.choice("abcdé") for _ in range(n)), lambda n: "the of " * (n // 7)]
-    lines = set()
-    for n in (100, 120, 124, 126, 128, 130, 160, 188, 194, 220, 252, 258, 300, 400):
-        for kind in kinds:
-            base = kind(n)
-            lines.add(base)
-            for _ in range(6):
-                line = base
-                for _ in range(rng.randrange(1, 11)):
-                    i = rng.randrange(len(line))
-                    line = rng.choice([line[:i] + line[i + 1 :], line[:i] + rng.choice("xyz ") + line[i:], line[:i] + rng.choice("xyz ") + line[i + 1 :]])
-                lines.add(line)
-    lines = sorted(lines)
-    rng.shuffle(lines)
-    most = lambda a, b: next(e for low, e in ((256, 8), (192, 6), (128, 4), (0, 2)) if min(len(a), len(b)) >= low)
-    expected = Counter()
-    for k, a in enumerate(lines):
-        for b in lines[:k]:
-            if abs(len(a) - len(b)) <= 8 and (n := edits(a, b)) <= most(a, b):
-                expected[tuple(sorted((lines.index(a), lines.index(b)))), n] += 1
-    assert sum(n > 2 for _, n in expected) > 50
-    found = linededup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
-    assert Counter((tuple(sorted((r.first_a.did, r.first_b.did))), r.edits) for r in found) == expected
+    pairs = []
+    for _ in range(150):
+        a = "".join(rng.choice("ab é\U0001f600\n") for _ in range(rng.randrange(0, 30)))
+        b = a
+        for _ in range(rng.randrange(distance + 3)):
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice([b[:i] + b[i + 1 :], b[:i] + rng.choice("xb ") + b[i:], b[:i] + rng.choice("xb ") + b[i + 1 :]])
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within(F.col("a"), F.col("b"), distance).alias("n")).collect()
+    assert any(r.n == distance for r in got) and any(r.n is None for r in got)
+    assert [r.n for r in got] == [n if (n := edits(a, b)) <= distance else None for a, b in pairs]
+
+
+def test_repeated_rows_count_once(spark):
+    one = "a line that stands here\nand another one that stands"
+    rows = [(1, one), (1, one), (2, "a line that stands hero"), (2, "a line that stands hero")]
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed, r.n_links) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, one, 2, 0, 1), (2, "", 1, 1, 1)}
 
 
 def test_short_lines_are_linked(spark):
@@ -349,6 +346,14 @@ def test_bpe(docs, none):
         expected = real.encode(text or "", add_special_tokens=False).ids
         assert ids[at[k] : at[k + 1]].tolist() == expected
         assert data[bounds[k] : bounds[k + 1]].tobytes().decode() == real.decode(expected, skip_special_tokens=False)
+    # every code point outside the large blocks of ideographs and syllables, and words that a rolling hash would confuse
+    points = [f"a{chr(c)}b 1{chr(c)}" for c in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x17000), *range(0x18A00, 0x19300), *range(0x1AFF0, 0x1FC00), 0x2B73A, 0x323B0, 0x3D000, 0x10FFFF]]
+    ab = "a"
+    while len(ab) < 1024:
+        ab += ab.translate({97: 98, 98: 97})
+    points.append(ab + " " + ab.translate({97: 98, 98: 97}))
+    ids, at = encoder.encode(pa.array(points, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in real.encode_batch(points, add_special_tokens=False)]
     got = bpe.encoded(docs, path)
     assert got.columns == ["doc_id", "text", "lang", "block", "score", "ids", "n_tokens"]
     back = {r.doc_id: r.text for r in bpe.decoded(got, path).collect()}
