@@ -1,61 +1,28 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-Equal lines are one text. The edits that a link may have grow with the length of the shorter text, by the bands of BANDS:
-2 below 128 characters, 4, 6, and 8 from 256 up.
+Equal lines are one text. Two texts are linked if they are within `distance` edits (of characters).
 
-A text of the first band, of MIN_LENGTH characters or more, is cut into edits + 1 segments; the edits leave one of them
-whole. Segments are indexed by text length, number and content; a text probes, for each length it may be linked with, the
-substrings that the position and the edits left allow. A pair that shares a segment is a candidate unless parities of its
-words or counts of letters differ more than the edits can change.
-
-Longer texts would need hundreds of probes. They are candidates by pairs of neighbouring words: an edit changes three of
-them at most, so of two linked texts each has all but 3 x edits pairs of the other, and they share one of their
-3 x edits + 1 first ones in any fixed order. Rare ones come first, by counts in a sample. Texts with no more
-than 3 x edits different pairs (no blanks, or few words again and again) are joined among each other by segments.
-
-Candidates are verified by Spark's edit distance with a threshold, which computes a band of that width and stops beyond it.
+A text is cut into distance + 1 segments; the edits leave one of them whole. Segments are indexed by text length, number
+and content; a text probes, for each length from its own down to `distance` less, the substrings that the position and the
+edits left allow. A pair that shares a segment is a candidate unless its counts of letters differ more than the edits can
+change. Candidates are verified by a banded bit-parallel edit distance: for each number of edits, one bit for each
+diagonal of the band, moved on by one character of the text at a time.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
 
-Edge cases. A null text has no lines; blank lines stay and are not compared. Shorter texts are compared for equality
-only. Rows that agree in doc_id and text count as one and get the same result; a null doc_id comes before all others.
-Empty tables give no rows. Extra columns pass through; `n_lines`, `n_removed` and `n_links` of an input are replaced.
+Edge cases. A null text has no lines; blank lines stay and are not compared. Texts of `distance` characters or fewer are
+compared for equality only: that many edits turn any of them into any other. Rows that agree in doc_id and text count as
+one and get the same result; a null doc_id comes before all others. Lines of any length are compared whole. Empty tables
+give no rows. Extra columns pass through; `n_lines`, `n_removed` and `n_links` of an input are replaced.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.shared import release, written
 
-#: Shorter lines are compared for equality only: two edits turn any of them into any other.
-MIN_LENGTH = 3
-#: First length of each band, and by what the distance is multiplied in it.
-BANDS = ((0, 1), (128, 2), (192, 3), (256, 4))
-LONG = BANDS[1][0]
-#: No text has as many characters.
-ENDLESS = 2**30
-#: Places for counts of word pairs, and texts in the sample that they are counted in.
-PLACES, SAMPLE = 2**17, 30_000
-
-
-def bands(distance: int) -> list[tuple[int, int, int]]:
-    """First and last length of each band, and its edits."""
-    ends = [low - 1 for low, _ in BANDS[1:]] + [ENDLESS]
-    return [(low, high, distance * times) for (low, times), high in zip(BANDS, ends, strict=True)]
-
-
-def allowed(length: Column, distance: int) -> Column:
-    """The edits that a link may have if its shorter text has this length."""
-    out = F.lit(distance)
-    for low, _, edits in bands(distance)[1:]:
-        out = F.when(length >= low, edits).otherwise(out)
-    return out
-
-
 def segment(length: Column, number: int, of: int) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment of a text; the later segments take what doesn't divide evenly."""
     size, over = F.floor(length / of).cast("int"), (length % of).cast("int")
@@ -72,22 +39,22 @@ def index_keys(text: Column, length: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
-def probe_keys(text: Column, length: Column, distance: int, low: int, high: int) -> Column:
-    """A key for each substring that may equal a segment of a text up to `distance` shorter, of low to high characters."""
+def probe_keys(text: Column, length: Column, distance: int) -> Column:
+    """A key for each substring that may equal a segment of a text up to `distance` shorter."""
     keys = []
     for less in range(distance + 1):
         other = (length - less).cast("int")
         for i in range(distance + 1):
             start, size = segment(other, i, distance + 1)
             for shift in range(max(-i, less - (distance - i)), min(i, less + (distance - i)) + 1):
-                keys.append(F.when(other.between(low, high), F.xxhash64(other, F.lit(i), F.substr(text, start + shift, size))))
+                keys.append(F.when(other > distance, F.xxhash64(other, F.lit(i), F.substr(text, start + shift, size))))
     return F.array_compact(F.array(*keys))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """did, version (of the text), pos, line and h for every line that isn't blank."""
+    """did, version (of the text), pos, line, and two independent hashes h and g for every line that isn't blank."""
     rows = docs.select(doc_key().alias("did"), F.xxhash64("text").alias("version"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"[^\s]")).withColumn("h", F.xxhash64("line"))
+    return rows.where(F.col("line").rlike(r"[^\s]")).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key() -> Column:
@@ -95,36 +62,14 @@ def doc_key() -> Column:
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
-    """h, line, length and first (its first place) of every distinct line."""
-    return line_rows(docs).groupBy("h").agg(F.min("line").alias("line"), F.min(F.struct("did", "version", "pos")).alias("first")).withColumn("length", F.length("line"))
+    """h, g, line, length and first (its first place) of every distinct line."""
+    return line_rows(docs).groupBy("h", "g", "line").agg(F.min(F.struct("did", "version", "pos")).alias("first")).withColumn("length", F.length("line"))
 
 
-#: Letters that are counted in signatures.
+#: Letters that are counted.
 COUNTED = "abcdefhiklmnopru"
 
 
-def signature(text: Column) -> Column:
-    """32 parities of a text's words by hash, and counts of sixteen letters modulo 4, in one number.
-
-    An edit changes, splits or joins words: three of them at most, so three parities; and it changes two counts by one.
-    """
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(32)) + 32)
-    words = F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda seen, w: seen.bitwiseXOR(bit(w)))
-    for k, letter in enumerate(COUNTED):
-        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
-        words = words.bitwiseOR(F.shiftleft(count.bitwiseAND(3).cast("long"), 2 * k))
-    return words
-
-
-def may_be_close(a: Column, b: Column, distance: int) -> Column:
-    """Whether signatures leave it open that two texts are within the distance."""
-    parities = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)) <= 3 * distance
-    # two counts modulo 4 are 0, 1 or 2 apart on the circle: at most as far as the counts themselves
-    turned = lambda k: F.pmod(F.shiftright(a, 2 * k).bitwiseAND(3) - F.shiftright(b, 2 * k).bitwiseAND(3), F.lit(4))
-    apart = [F.when(turned(k) == 3, 1).otherwise(turned(k)) for k in range(len(COUNTED))]
-    return parities & (sum(apart[1:], apart[0]) <= 2 * distance)
-
-
 def letters(text: Column) -> Column:
     """Counts of sixteen letters modulo 16, in one number."""
     out = F.lit(0).cast("long")
@@ -134,75 +79,72 @@ def letters(text: Column) -> Column:
     return out
 
 
-def letters_close(a: Column, b: Column, edits: Column | int) -> Column:
-    """Whether counts of letters leave it open that two texts are within so many edits."""
-    turned = lambda k: F.pmod(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15), F.lit(16))
+def may_be_close(a: Column, b: Column, distance: int) -> Column:
+    """Whether counts of letters leave it open that two texts are within so many edits; an edit changes two counts by one."""
+    # counts modulo 16 are at most as far apart on the circle as the counts themselves
+    turned = lambda k: (F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15)).bitwiseAND(15)
     apart = [F.least(turned(k), 16 - turned(k)) for k in range(len(COUNTED))]
-    return sum(apart[1:], apart[0]) <= 2 * edits
-
+    return sum(apart[1:], apart[0]) <= 2 * distance
 
-def word_pairs(text: Column) -> Column:
-    """56-bit hashes of the different pairs of neighbouring words; the end counts as a word."""
-    words = F.split(text, " ")
-    return F.array_distinct(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.shiftrightunsigned(F.xxhash64(x, y), 8)))
 
+def within(a: Column, b: Column, distance: int) -> Column:
+    """The edit distance of two texts if it is at most `distance`, else null.
 
-def rarity(texts: DataFrame) -> bytes:
-    """A number under 128 for each place, which grows with the count of the word pairs that have it."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod("h", F.lit(every)) == 0).select(F.explode(word_pairs(F.col("line"))).alias("pair"))
-    out = bytearray(PLACES)
-    for place, n in some.groupBy(F.pmod("pair", F.lit(PLACES)).cast("int").alias("place")).count().collect():
-        out[place] = min(127, round(6 * math.log2(1 + n)))
-    return bytes(out)
-
-
-def by_segments(texts: DataFrame, low: int, high: int, edits: int, sign: str) -> DataFrame:
-    """a, b for candidates of which the shorter has low to high characters."""
-    index = texts.where(F.col("length").between(low, high)).select(F.col("h").alias("a"), F.col(sign).alias("sign_a"), F.explode(index_keys(F.col("line"), F.col("length"), edits)).alias("key"))
-    probe = texts.where(F.col("length").between(low, high + edits)).select(F.col("h").alias("b"), F.col(sign).alias("sign_b"), F.explode(probe_keys(F.col("line"), F.col("length"), edits, low, high)).alias("key"))
-    close = may_be_close if sign == "sign" else letters_close
-    return index.join(probe, "key").where((F.col("a") != F.col("b")) & close(F.col("sign_a"), F.col("sign_b"), edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def by_word_pairs(texts: DataFrame, distance: int) -> DataFrame:
-    """a, b for candidates that share one of their first pairs of words."""
-    counts = F.lit(rarity(texts))
-    place = lambda p: F.ascii(F.substring(counts, F.pmod(p, F.lit(PLACES)).cast("int") + 1, F.lit(1)).cast("string"))
-    ordered = F.sort_array(F.transform(word_pairs(F.col("line")), lambda p: F.shiftleft(place(p).cast("long"), 56).bitwiseOR(p)))
-    keys = texts.select("h", "letters", "length", F.explode(F.slice(ordered, F.lit(1), 3 * allowed(F.col("length"), distance) + 1)).alias("key"))
-    side = lambda name: keys.select("key", F.col("h").alias(name), F.col("letters").alias(f"letters_{name}"), F.col("length").alias(f"length_{name}"))
-    edits = allowed(F.least("length_a", "length_b"), distance)
-    open_pairs = (F.col("a") < F.col("b")) & (F.abs(F.col("length_a") - F.col("length_b")) <= edits) & letters_close(F.col("letters_a"), F.col("letters_b"), edits)
-    return side("a").join(side("b"), "key").where(open_pairs).select("a", "b")
+    Bit delta + distance of the mask of level e says that the first j + delta characters of a and the first j of b are
+    within e edits. A character of b keeps the diagonals where it equals a's; of the level below, its mask (another
+    character), its mask one diagonal down (a character more in b) and its own new mask one up (one more in a) join.
+    """
+    width = 2 * distance + 1
+    full = 2**width - 1
+    # in front of a and behind it as many blanks as the band is wide to either side: none equals a character of b
+    none = F.array_repeat(F.lit(""), distance)
+    chars = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    long, own = F.concat(none, chars(a), none), chars(b)
+    start = F.struct(*(F.lit((2 ** (e + 1) - 1) << distance & full).alias(f"r{e}") for e in range(distance + 1)))
+
+    def equals(chars: Column, c: Column, j: Column) -> Column:
+        """The diagonals on which the j-th character of b, c, meets an equal one of a."""
+        return sum((F.when(F.get(chars, j + k) == c, 1 << k).otherwise(0) for k in range(1, width)), F.when(F.get(chars, j) == c, 1).otherwise(0))
+
+    def step(state: Column, equal: Column) -> Column:
+        masks: list[Column] = [state["r0"].bitwiseAND(equal)]
+        for e in range(1, distance + 1):
+            below = state[f"r{e - 1}"]
+            mask = state[f"r{e}"].bitwiseAND(equal).bitwiseOR(below).bitwiseOR(F.shiftright(below, 1)).bitwiseOR(F.shiftleft(masks[-1], 1))
+            masks.append(mask.bitwiseAND(F.lit(full)))
+        return F.struct(*(m.alias(f"r{e}") for e, m in enumerate(masks)))
+
+    apart = F.length(a) - F.length(b)
+
+    def told(state: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for e in range(distance, -1, -1):
+            out = F.when(F.get(F.array(*(F.lit(1 << k) for k in range(width))), apart + distance).bitwiseAND(state[f"r{e}"]) > 0, e).otherwise(out)
+        return out
+
+    # a variable of a lambda holds the characters, so that they are taken apart once
+    runs = F.transform(F.array(long), lambda held: F.aggregate(F.transform(own, lambda c, j: equals(held, c, j)), start, step, told))
+    return F.when(F.abs(apart) <= distance, F.get(runs, 0))
 
 
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """a, b (hashes of two different texts), first_a, first_b and edits, for each pair within its band's distance, once.
+    """a, b, first_a, first_b and edits for each pair of different texts within the distance, once. a and b: h and g of a text.
 
-    The distinct texts are written once, as they are read for each kind of candidates and for verification.
+    The distinct texts are written once, as they are read for the index, for the probes and for verification.
     """
-    (_, short, _), *longer = bands(distance)
     line, length = F.col("line"), F.col("length")
-    signed = texts_of(docs).where(length >= max(MIN_LENGTH, distance + 1)).withColumns({"sign": F.when(length <= short + distance, signature(line)), "letters": F.when(length > short, letters(line))})
-    texts = written(signed)
-    long = texts.where(length > short)
-    few = long.where(F.size(word_pairs(line)) <= 3 * allowed(length, distance)).select("h", "line", "length", "letters").checkpoint()
-    pairs = by_segments(texts, max(MIN_LENGTH, distance + 1), short, distance, "sign").distinct().checkpoint()
-    release(docs.sparkSession)
-    if not long.isEmpty():
-        pairs = pairs.unionAll(by_word_pairs(long, distance).distinct().checkpoint())
-        release(docs.sparkSession)
-    for band in longer if not few.isEmpty() else ():
-        pairs = pairs.unionAll(by_segments(few, *band, "letters"))
-    pairs = pairs.distinct().checkpoint()
+    texts = written(texts_of(docs).where(length > distance).withColumn("letters", letters(line)))
+    index = texts.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode(index_keys(line, length, distance)).alias("key"))
+    probe = texts.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode(probe_keys(line, length, distance)).alias("key"))
+    close = (F.col("a") != F.col("b")) & may_be_close(F.col("letters_a"), F.col("letters_b"), distance)
+    pairs = index.join(probe, "key").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    met = texts.select("h", "line", "first", "length").join(wanted, "h").checkpoint()
+    met = texts.select("h", "g", "line", "first").join(wanted, "h").checkpoint()
     release(docs.sparkSession)
-    side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("line", "first", "length")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", F.levenshtein("line_a", "line_b", longer[-1][2]))
-    return both.where((F.col("edits") >= 0) & (F.col("edits") <= allowed(F.least("length_a", "length_b"), distance))).select("a", "b", "first_a", "first_b", "edits")
+    side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("g", "line", "first")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", within(F.col("line_a"), F.col("line_b"), distance))
+    return both.where("edits IS NOT NULL").select(F.struct(F.col("a").alias("h"), F.col("g_a").alias("g")).alias("a"), F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")).alias("b"), "first_a", "first_b", "edits")
 
 
 def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -210,14 +152,19 @@ def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed", "n_links")
     links = line_links(docs, distance).checkpoint()
     release(docs.sparkSession)
-    ends = links.select(F.col("a").alias("h"), (F.col("first_b") < F.col("first_a")).alias("goes")).unionAll(links.select(F.col("b").alias("h"), (F.col("first_a") < F.col("first_b")).alias("goes")))
-    ends = ends.groupBy("h").agg(F.max("goes").alias("goes"), F.count("*").alias("links"))
-    lines = line_rows(docs).select("did", "version", "pos", "h")
-    firsts = lines.groupBy("h").agg(F.min(F.struct("did", "version", "pos")).alias("first"), F.count("*").alias("copies"))
+    ends = links.select("a.*", (F.col("first_b") < F.col("first_a")).alias("goes")).unionAll(links.select("b.*", (F.col("first_a") < F.col("first_b")).alias("goes")))
+    ends = ends.groupBy("h", "g").agg(F.max("goes").alias("goes"), F.count("*").alias("links"))
+    lines = line_rows(docs).select("did", "version", "pos", "h", "g")
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("did", "version", "pos")).alias("first"), F.count("*").alias("copies"))
     # texts that stand once and have no links decide nothing
-    told = firsts.join(ends, "h", "left").where("copies > 1 OR links > 0")
-    marked = lines.join(told, "h").withColumn("out", F.coalesce("goes", F.lit(False)) | (F.struct("did", "version", "pos") != F.col("first")))
-    removed = marked.groupBy("did", "version").agg(F.collect_set(F.when(F.col("out"), F.col("pos"))).alias("removed"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links")).checkpoint()
+    told = firsts.join(ends, ["h", "g"], "left").where("copies > 1 OR links > 0")
+    marked = lines.join(told, ["h", "g"]).withColumn("out", F.coalesce("goes", F.lit(False)) | (F.struct("did", "version", "pos") != F.col("first")))
+    # a set, as a repeated row has the same lines again
+    told_lines = F.collect_set(F.struct("pos", "out", F.coalesce("links", F.lit(0)).alias("links")))
+    removed = marked.groupBy("did", "version").agg(told_lines.alias("told"))
+    removed = removed.select(
+        "did", "version", F.transform(F.filter("told", lambda x: x["out"]), lambda x: x["pos"]).alias("removed"), F.aggregate("told", F.lit(0).cast("long"), lambda n, x: n + x["links"]).alias("n_links")
+    ).checkpoint()
     release(docs.sparkSession)
     names = docs.columns
     keyed = docs.withColumns({"did ": doc_key(), "version ": F.xxhash64("text")}).join(removed.select(F.col("did").alias("did "), F.col("version").alias("version "), F.col("removed").alias("removed "), F.col("n_links").alias("links ")), ["did ", "version "], "left")
