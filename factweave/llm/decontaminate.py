@@ -9,7 +9,8 @@ The benchmark is sent to every task in slices of at most SLICE_TOKENS tokens, af
 benchmark takes more passes over the documents. Documents are not shuffled.
 
 Edge cases. A null text has no tokens. A benchmark item of fewer tokens than the shortest mask matches nothing. Of equal
-stretches the one that begins first in the document is reported. Repeated documents or items give their rows once each.
+stretches the one that begins first in the document is reported. Texts and items that say one word over and over make one
+hit for each diagonal. Repeated documents or items give their rows once each.
 Empty tables give no pairs, and every document stays. Extra columns of documents pass through clean().
 """
 
@@ -33,6 +34,8 @@ SLICE_TOKENS = 500_000
 #: Equal tokens that a stretch needs, or this share of an item's tokens if that is less.
 MATCHED, SHARE = 10, 0.8
 SIEVE_BITS = 22
+#: Hits made at once, before equal diagonals are told apart.
+HITS = 500_000
 
 
 def seeds(words: np.ndarray, doc_starts: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +51,34 @@ def seeds(words: np.ndarray, doc_starts: np.ndarray, mask: str, salt: int) -> tu
     return at, out
 
 
+def previous(keys: np.ndarray, at: np.ndarray, doc_starts: np.ndarray, none: np.uint64) -> np.ndarray:
+    """The key one token earlier in the same text; `none` for the first of a text."""
+    out = np.r_[np.zeros(1, np.uint64), keys[:-1]] if len(keys) else keys.copy()
+    out[np.isin(at, doc_starts)] = none
+    return out
+
+
+def place_between(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, side: str) -> np.ndarray:
+    """searchsorted(values[low:high], wanted) for each range of sorted values."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        at = values[np.minimum(mid, len(values) - 1)]
+        right = open_ & ((at < wanted) if side == "left" else (at <= wanted))
+        low[right] = mid[right] + 1
+        left = open_ & ~right
+        high[left] = mid[left]
+    return low
+
+
+def chunks(stops: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of ranges that make about HITS hits each. stops: hits made up to each place."""
+    if not len(stops) or not stops[-1]:
+        return [], []
+    cut = np.flatnonzero(np.diff(stops // HITS)) + 1
+    return [0, *cut.tolist()], [*cut.tolist(), len(stops)]
+
+
 class Benchmark:
     """A slice of the benchmark: token hashes of its items, and its seeds in sorted order."""
 
@@ -58,29 +89,38 @@ class Benchmark:
         self.tables = []
         for salt, mask in enumerate(MASKS):
             at, keys = seeds(self.words, self.starts, mask, salt)
-            order = np.argsort(keys, kind="stable")
+            before = previous(keys, at, self.starts, np.uint64(1))
+            order = np.lexsort((before, keys))
             sieve = np.zeros(2**SIEVE_BITS, bool)
             sieve[keys >> np.uint64(64 - SIEVE_BITS)] = True
-            self.tables.append((mask, keys[order], at[order], sieve))
+            self.tables.append((mask, keys[order], before[order], at[order], sieve))
 
     def pairs(self, texts: pa.Array) -> np.ndarray:
         """Rows of (text, item, matched, length, begin in the text, begin in the item), all in tokens."""
         found = ta.tokens(texts)
         words = found.hashes()
         hits = [np.zeros((0, 3), np.int64)]  # text, item, begin of the item on the text's token axis
-        for salt, (mask, keys, places, sieve) in enumerate(self.tables):
+        for salt, (mask, keys, befores, places, sieve) in enumerate(self.tables):
             if not len(keys):
                 continue
             at, own = seeds(words, found.doc_starts, mask, salt)
             maybe = sieve[own >> np.uint64(64 - SIEVE_BITS)]
+            before = previous(own, at, found.doc_starts, np.uint64(2))[maybe]
             at, own = at[maybe], own[maybe]
             low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            n = high - low
-            stops = np.cumsum(n)
-            theirs = places[np.repeat(low - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-            mine = np.repeat(at, n)
-            item = self.doc[theirs]
-            hits.append(np.column_stack([found.doc[mine], item, mine - (theirs - self.starts[item])]))
+            some = high > low
+            at, before, low, high = at[some], before[some], low[some], high[some]
+            # of hits that follow each other on a diagonal only the first is made: those after equal seeds are left out
+            same_low, same_high = (place_between(befores, low, high, before, side) for side in ("left", "right"))
+            for begin, end in ((low, same_low), (same_high, high)):
+                n = end - begin
+                stops = np.cumsum(n)
+                for a, b in zip(*chunks(stops), strict=True):
+                    k = n[a:b]
+                    theirs = places[np.repeat(begin[a:b] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                    mine = np.repeat(at[a:b], k)
+                    item = self.doc[theirs]
+                    hits.append(np.unique(np.column_stack([found.doc[mine], item, mine - (theirs - self.starts[item])]), axis=0))
         out = {}
         for doc, item, begin in np.unique(np.concatenate(hits), axis=0).tolist():
             first, stop = self.starts[item], self.starts[item + 1]

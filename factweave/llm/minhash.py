@@ -157,13 +157,13 @@ def confirmed(sets: list[np.ndarray], left: np.ndarray, threshold: int) -> list[
     return links
 
 
-def links_within_blocks(members: DataFrame, threshold: int) -> DataFrame:
-    """Edges u, v. members: block, size (of the block), node and values (the set as bytes)."""
+def links_within_blocks(members: DataFrame, threshold: int, bundles: int) -> DataFrame:
+    """Edges u, v. members: block, size (of the block), node and values (the set as bytes). Small blocks share a task by so many bundles."""
     parts = F.ceil(F.col("size") / PART).cast("int")
     own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
     rows = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select(
-        F.when(F.col("size") > PART // 8, F.xxhash64("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(4096).cast("long"))).alias("bundle"),
+        F.when(F.col("size") > PART // 8, F.xxhash64("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(bundles).cast("long"))).alias("bundle"),
         F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "block", "node", "values", (F.col("part") < F.col("other")).alias("left"), (F.col("part") == F.col("other")).alias("same"),
     )
 
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5) -> Dat
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text")).join(members, "first_id")
     sets = texts.select("block", "size", "node", "text").mapInArrow(take_sets, "block long, size long, node long, values binary")
-    roots = stars(links_within_blocks(sets, threshold))
+    roots = stars(links_within_blocks(sets, threshold, max(4096, members.count() // 100)))
     release(docs.sparkSession)
     nodes = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))

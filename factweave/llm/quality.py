@@ -6,7 +6,7 @@ through a Cholesky factor that is made once.
 
 Edge cases. A null text is empty and is scored like any other. Rows are scored one by one, so repeated rows and ties
 get equal scores. Labels that are null, or that contradict each other for one doc_id, teach nothing. Without labels of
-both classes every score is 0.5. Tables without rows give no rows. Extra columns of documents are ignored.
+both classes every score is 0.5, and keep_good(), which then knows nothing against any document, keeps all. Tables without rows give no rows. Extra columns of documents are ignored.
 """
 
 from __future__ import annotations
@@ -88,17 +88,18 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors of the shrunk covariances, and log priors."""
+    """Class means, Cholesky factors of the shrunk covariances with their inverses, and log priors."""
 
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     priors: np.ndarray
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row."""
         logs = []
-        for mean, factor, prior in zip(self.means, self.factors, self.priors, strict=True):
-            z = np.linalg.solve(factor, (stats - mean).T)
+        for mean, factor, inverse, prior in zip(self.means, self.factors, self.inverses, self.priors, strict=True):
+            z = inverse @ (stats - mean).T
             logs.append(prior - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(factor)).sum())
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
@@ -137,7 +138,7 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, *, pooled: float = 0
     for c in (0, 1):
         mix = (1 - pooled - diagonal) * own[c] + pooled * joint + diagonal * np.diag(np.diag(own[c]))
         factors.append(np.linalg.cholesky(mix + np.eye(d) * (1e-4 + 1 / (n[c] + 1))))
-    return Discriminant(means, np.stack(factors), np.log(n / n.sum()))
+    return Discriminant(means, np.stack(factors), np.linalg.inv(np.stack(factors)), np.log(n / n.sum()))
 
 
 def scored(stats: DataFrame, model: Discriminant | None, threshold: float = 0.7) -> DataFrame:

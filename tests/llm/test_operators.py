@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -129,6 +130,51 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_overlaps(texts, items):
+    """(text, item): matched, length, begin in the text, begin in the item; by all diagonals."""
+    out = {}
+    for d, k in ((d, k) for d in range(len(texts)) for k in range(len(items))):
+        a, w = tokens(texts[d]), tokens(items[k])
+        for begin in range(-len(w) + 1, len(a)):
+            low, high = max(0, -begin), min(len(w), len(a) - begin)
+            same = [a[begin + i] == w[i] for i in range(low, high)]
+            if not any(all(same[p + j] for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(len(same) - len(m) + 1)):
+                continue
+            sums = [0]
+            for x in same:
+                sums.append(sums[-1] + (1 if x else -2))
+            gains = [x - min(sums[: i + 1]) for i, x in enumerate(sums)]
+            right = gains.index(max(gains))
+            left = sums[: right + 1].index(min(sums[: right + 1]))
+            row = (sum(same[left:right]), right - left, begin + low + left, low + left)
+            if row[0] >= min(decontaminate.MATCHED, max(decontaminate.SHORTEST, math.ceil(decontaminate.SHARE * len(w)))) and ((d, k) not in out or (-out[d, k][0], out[d, k][2]) > (-row[0], row[2])):
+                out[d, k] = row
+    return out
+
+
+def test_overlaps_by_brute_force(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    rng = random.Random(1)
+    met = 0
+    for trial in range(20):
+        few = "a b c d e f g h i j k l m n o p".split()[: (1, 2, 4, 16)[trial % 4]]
+        items = [" ".join(rng.choice(few) for _ in range(rng.randrange(40))) for _ in range(4)] + [None]
+        texts = [None]
+        for _ in range(8):
+            words = [rng.choice(few) for _ in range(rng.randrange(60))]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [x if rng.random() < 0.9 else "other" for x in rng.choice(items[:4]).split()]
+            texts.append(" ".join(words))
+        expected = plain_overlaps(texts, items)
+        got = decontaminate.Benchmark(list(range(5)), items).pairs(pa.array(texts, pa.string()))
+        assert {(r[0], r[1]): tuple(r[2:]) for r in got.tolist()} == expected
+        met += len(expected)
+    assert met > 50
+    began = time.time()
+    assert decontaminate.Benchmark([1], ["x " * 1000]).pairs(pa.array(["x " * 50_000])).tolist() == [[0, 0, 1000, 1000, 0, 0]]
+    assert time.time() - began < 60
+
+
 def test_chat(spark):
     odd = r"a <|im_end|> b <\|im_start|> [INST] </s> \ <<SYS>> [\\/INST] end"
     rng = random.Random(3)
@@ -258,7 +304,7 @@ def test_short_lines_are_linked(spark):
     assert {tuple(sorted((r.first_a.did, r.first_b.did))) for r in found} == expected and len(found) == len(expected) >= 6
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in rng.normal(size=20)], 1) for k in range(300)]
     rows += [(300, rows[0][1], 1), (301, rows[0][1], 1), (302, None, 1), (303, [1.0, None] * 10, 1), (304, [float("nan")] * 20, 1), (350, [float("inf")] * 20, 1), (400, [0.5, 0.25], 1), (401, [1.0, 1.0], 1), (7, rows[7][1], 1)]
@@ -271,6 +317,10 @@ def test_top_k(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, is_query="vec_id % 50 = 0").collect()]
     assert set(got) == expected and len(got) == len(expected)
     assert topk.top_k(frame.limit(0), is_query="vec_id % 50 = 0").count() == 0
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, is_query="vec_id % 50 = 0").collect()} == expected
+    large = spark.createDataFrame([(0, [1e16, 1e16]), (1, [1e16, 3.0]), (2, [-1e300, 1.0]), (3, [1e308, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(large, is_query="vec_id = 0").orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63) + 1)]
 
 
 @pytest.mark.parametrize("threshold", [80, 85])
@@ -304,6 +354,19 @@ def test_near_duplicates(spark, docs, none, threshold):
     assert minhash.keep_first(docs).where("doc_id IS NULL").count() == 1
 
 
+def test_main_text_of_odd_pages():
+    text = "<p>The first text, which is long, and has commas.</p><p>Another, of the same kind.</p>"
+    plain = "The first text, which is long, and has commas. Another, of the same kind."
+    for page in ('<div class="post has-comments">{}</div>', '<div class="article share-enabled">{}</div>', '<form id="aspnetForm"><div>{}</div><input></form>', "<div class=related>{}</div>", "a <b <c> {}", '<p title="open>x</p>{}'):
+        assert plain in maintext.extract(page.format(text * 4))
+    began = time.time()
+    for part in ("<a ", "<a '\">", "<!--", "</", "<!", "<li><div>", "<div>x", "<p>a<b>", "<tr><b>"):
+        maintext.extract(part * 20_000)
+    maintext.extract("<b>" * 20_000 + "<tr>" * 20_000)
+    maintext.extract("<div>" * 20_000 + "x" + "</p>" * 20_000)
+    assert time.time() - began < 60
+
+
 def test_main_text():
     page = """<html><head><title>x</title></head><body class="has-sidebar"><header><h1>Site</h1><a href=/>Home</a></header><div id=cookie-notice>We use cookies</div><ul class="menu"><li><a href=a>A</a><li><a href=b>B</a></ul>
 <main><h1>Head &amp; line</h1><section><p>First, para one, with <b>bo</b>ld text that is long enough.</p><div class="ad">Buy</div><p>Second<br>line,&nbsp;here we are.</p></section><section><h2>More</h2><ul><li>one<li>two</ul><form><input>Sub</form></section>
