@@ -9,7 +9,8 @@ character. Taking one away again gives the text back. Role names are percent-enc
 
 Edge cases. A null text or role is empty; a conversation whose conv_id is null is a conversation. Turns are ordered by
 turn, then role, then text, so repeated rows stay side by side and stay. A turn over the budget has a window to itself.
-Empty tables give no rows. Extra columns are ignored. A conversation is one row, so it must fit into one.
+Empty tables give no rows. Extra columns are ignored. A window is one row; of a conversation only a few numbers for each
+turn come together. Only read_back() puts the texts of a conversation side by side, for its digests.
 """
 
 from __future__ import annotations
@@ -45,40 +46,37 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 256) ->
     )
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + MARK_TOKENS).withColumn("head", F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))).withColumn("body", escaped(F.col("text")))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END + "\n"))).drop("text")
-    before = Window.partitionBy("conv_id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("tokens_before", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))).withColumn("chars_before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0).cast("long")))
-    packed = F.struct("turn", "role", "body", "tokens_before", "chars_before", "tokens", F.length("head").alias("head"), F.length("body").alias("size"), "piece")
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(packed)).alias("turns"))
-    convs = convs.withColumn("system", (F.col("turns")[0]["role"] == "system").cast("int"))
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    rows = rows.withColumn("pos", F.row_number().over(by_turn) - 1).withColumn("tokens_before", F.sum("tokens").over(by_turn) - F.col("tokens"))
+    # history: turns before this one, from the last one back, as long as their tokens fit
+    rows = rows.withColumn("back", F.count("*").over(Window.partitionBy("conv_id").orderBy("tokens_before").rangeBetween(-history, -1)).cast("int"))
+    turns = rows.select("conv_id", "pos", "role", "tokens", "tokens_before", "back", F.length("head").alias("head"), F.length("body").alias("size"), "piece")
+    # what places the spans are a few numbers for each turn, without its text
+    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tokens", "tokens_before", "back"))).alias("turns"), F.max((F.col("role") == "system") & (F.col("pos") == 0)).cast("int").alias("system"))
     # the first turn of each span: a turn that doesn't fit any more begins the next one
-    first = F.struct(F.array(F.lit(0).cast("long")).alias("starts"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("from_tokens"), F.lit(budget).cast("long").alias("room"))
+    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("back"))
+    first = F.struct(F.array(begin).alias("starts"), F.lit(0).cast("long").alias("from_tokens"), F.lit(budget).cast("long").alias("room"))
     room = F.lit(budget).cast("long") - F.lit(history) - F.when(F.col("system") == 1, F.col("turns")[0]["tokens"]).otherwise(F.lit(0))
 
     def place(state: Column, turn: Column) -> Column:
-        fits = (state["at"] == F.element_at(state["starts"], -1)) | (turn["tokens_before"] + turn["tokens"] - state["from_tokens"] <= state["room"])
+        fits = (turn["tokens_before"] == state["from_tokens"]) | (turn["tokens_before"] + turn["tokens"] - state["from_tokens"] <= state["room"])
         return F.struct(
-            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"])).alias("starts"), (state["at"] + 1).alias("at"),
+            F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], F.struct(turn["pos"].alias("start"), turn["back"].alias("back")))).alias("starts"),
             F.when(fits, state["from_tokens"]).otherwise(turn["tokens_before"]).alias("from_tokens"), F.when(fits, state["room"]).otherwise(room).alias("room"),
         )
 
-    convs = convs.withColumn("starts", F.aggregate("turns", first, place, lambda state: state["starts"]))
-    spans = convs.select("conv_id", "turns", "system", "starts", F.posexplode("starts").alias("window_no", "start"))
-    spans = spans.withColumn("start", F.col("start").cast("int")).withColumn("stop", F.coalesce(F.get("starts", F.col("window_no") + 1).cast("int"), F.size("turns")))
-    # history: turns before the span, from the last one back, as long as their tokens fit
-    fits = lambda t: (t["tokens_before"] < F.col("turns")[F.col("start")]["tokens_before"]) & (F.col("turns")[F.col("start")]["tokens_before"] - t["tokens_before"] <= history)
-    spans = spans.withColumn("past", F.when(F.col("window_no") == 0, 0).otherwise(F.least(F.size(F.filter("turns", fits)), F.col("start") - F.col("system"))))
-    spans = spans.withColumn("lead", F.when((F.col("window_no") > 0) & (F.col("system") == 1), 1).otherwise(0))
-    spans = spans.withColumn("old", F.concat(F.slice("turns", F.lit(1), F.col("lead")), F.slice("turns", F.col("start") - F.col("past") + 1, F.col("past"))))
-    spans = spans.withColumn("new", F.slice("turns", F.col("start") + 1, F.col("stop") - F.col("start"))).withColumn("before", F.array_join(F.transform("old", lambda t: t["piece"]), ""))
-    total = lambda turns: F.aggregate(turns, F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
-    masked = F.transform(
-        F.filter("new", lambda t: t["role"] == "assistant"),
-        lambda t: F.struct((F.length("before") + t["chars_before"] - F.col("new")[0]["chars_before"] + t["head"] + 1).cast("int").alias("start"), t["size"].alias("length")),
-    )
-    return spans.select(
-        "conv_id", "window_no", F.size("old").alias("repeated"), (total(F.col("old")) + total(F.col("new"))).alias("n_tokens"),
-        F.concat("before", F.array_join(F.transform("new", lambda t: t["piece"]), "")).alias("formatted"), masked.alias("loss"),
-    )
+    convs = convs.select("conv_id", "system", F.size("turns").alias("n"), F.aggregate("turns", first, place, lambda state: state["starts"]).alias("starts"))
+    stops = F.concat(F.transform(F.slice("starts", F.lit(2), F.size("starts")), lambda s: s["start"]), F.array("n"))
+    spans = convs.select("conv_id", "system", F.posexplode(F.zip_with("starts", stops, lambda s, stop: F.struct(s["start"].alias("start"), s["back"].alias("back"), stop.alias("stop")))).alias("window_no", "span"))
+    start, later = F.col("span")["start"], F.col("window_no") > 0
+    lead = F.when(later & (F.col("system") == 1), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    past = F.when(later, F.least(F.col("span")["back"], start - F.col("system"))).otherwise(0)
+    wanted = spans.select(F.col("conv_id").alias("of"), "window_no", start.alias("start"), F.explode(F.concat(lead, F.sequence(start - past, F.col("span")["stop"] - 1))).alias("at"))
+    met = wanted.join(turns, F.col("of").eqNullSafe(F.col("conv_id")) & (F.col("at") == F.col("pos"))).withColumn("fresh", F.col("pos") >= F.col("start"))
+    whole = met.groupBy("conv_id", "window_no").agg(F.sort_array(F.collect_list(F.struct("pos", "fresh", "role", "head", "size", "piece"))).alias("parts"), F.sum("tokens").alias("n_tokens"), F.sum(F.when(F.col("fresh"), 0).otherwise(1)).cast("int").alias("repeated"))
+    placed = F.transform("parts", lambda t, i: F.struct(t.alias("turn"), F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x["piece"])).alias("before")))
+    masked = F.transform(F.filter(placed, lambda x: x["turn"]["fresh"] & (x["turn"]["role"] == "assistant")), lambda x: F.struct((x["before"] + x["turn"]["head"] + 1).alias("start"), x["turn"]["size"].alias("length")))
+    return whole.select("conv_id", "window_no", "repeated", "n_tokens", F.array_join(F.transform("parts", lambda t: t["piece"]), "").alias("formatted"), masked.alias("loss"))
 
 
 def turns_of(formatted: Column) -> Column:
