@@ -192,9 +192,18 @@ def functions_at(addresses: DataFrame, functions: DataFrame, width: int = 4096)
     return here.join(cells, ["doc_id", "cell"]).where("start <= ea AND ea < stop").drop("cell")
 
 
+def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:
+    """The references with `is_string`: whether the target is the address of one of the context's strings; else it is named data.
+
+    references: doc_id, target and more; strings: doc_id, addr. Strings are told apart before they are joined, so none adds rows.
+    """
+    known = strings.select("doc_id", F.col("addr").alias("target"), F.lit(True).alias("known")).distinct()
+    return references.join(known, ["doc_id", "target"], "left").withColumn("is_string", F.coalesce("known", F.lit(False))).drop("known")
+
+
 def summary(contexts: DataFrame) -> DataFrame:
     """doc_id and the number of facts of each table."""
-    tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "functions": candidate_functions(contexts)}
+    tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "references": string_references(contexts), "functions": candidate_functions(contexts)}
     rows = None
     for name, table in tables.items():
         part = table.select("doc_id", F.lit(name).alias("table"))

@@ -87,10 +87,18 @@ def endpoints(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
+def counts(pages: DataFrame) -> DataFrame:
+    """One row: pages, endpoints and forms."""
+    found = forms(pages)
+    rows = pages.select(F.lit("pages").alias("kind")).unionAll(found.select(F.lit("forms"))).unionAll(endpoints(pages, found).select(F.lit("endpoints")))
+    return rows.agg(*(F.count_if(F.col("kind") == x).alias(x) for x in ("pages", "endpoints", "forms")))
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10, max_pages: int | None = None) -> DataFrame:
     """url and depth of every page that links lead to. edges: url, link; start: url.
 
-    Each round joins the pages found last with the links and takes away those known; rounds end when none is new.
+    Each round joins the pages found last with the links and takes away those known; rounds end when none is new, or with
+    the round that reaches max_pages, of which the nearest, in the order of their addresses, are returned.
     """
     known = start.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = known
@@ -99,7 +107,9 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFr
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier).checkpoint()
-    return known
+        if max_pages is not None and known.count() >= max_pages:
+            break
+    return known if max_pages is None else known.orderBy("depth", "url").limit(max_pages)
 
 
 def report(pages: DataFrame, top: int = 20) -> DataFrame:

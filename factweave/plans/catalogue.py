@@ -127,14 +127,21 @@ def endpoint_report_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "W8 J12 D9",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS url, o_orderkey % 700 AS link FROM orders), r(url, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.link, r.depth + 1 FROM r JOIN e ON r.url = e.url WHERE r.depth < 4)
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS url, o_orderkey % (SELECT count(*) FROM customer) AS link FROM orders), r(url, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT e.link, r.depth + 1 FROM r JOIN e ON r.url = e.url WHERE r.depth < 4)
 SELECT url, min(depth) AS depth FROM r GROUP BY url""",
 )
 def crawl_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reachable from page 0 within four links, over the graph of orders; the frontier is joined, known pages are taken away."""
+    """Pages reachable within four links from every hundredth one, over the graph of orders; the frontier is joined, known pages are taken away."""
     ensure_checkpoints(spark)
-    edges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("url"), (F.col("o_orderkey") % 700).alias("link")).distinct()
-    return crawl.reachable(edges, spark.range(1).select(F.col("id").alias("url")), 4)
+    customers = table(spark, sf_dir, "customer")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), (F.col("o_orderkey") % customers.count()).alias("link")).distinct()
+    return crawl.reachable(edges, customers.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("url")), 4)
+
+
+@query("A19", "SELECT count(*) AS pages, count(*) + count(DISTINCT c_custkey % 15) AS endpoints, count(*) AS forms FROM customer")
+def crawl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, endpoints and forms of a crawl of pages with forms."""
+    return crawl.counts(corpora.form_pages(spark, sf_dir).select("url", "html"))
 
 
 # --- texts ------------------------------------------------------------------------------------------------------------
@@ -476,6 +483,17 @@ def bin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.summary(corpora.contexts(spark, sf_dir)).select("doc_id", "routes", "sinks")
 
 
+@query(
+    "J5",
+    "WITH s AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS addr FROM lineitem WHERE l_quantity > 25) SELECT l_orderkey, l_linenumber, l_suppkey AS doc_id, l_partkey AS target, addr IS NOT NULL AS is_string FROM lineitem LEFT JOIN s ON doc_id = l_suppkey AND addr = l_partkey",
+)
+def data_reference_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of line items to parts, as strings where the supplier has the part as one, else as named data."""
+    items = table(spark, sf_dir, "lineitem")
+    strings = items.where("l_quantity > 25").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("addr"))
+    return binary.data_references(items.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("target")), strings)
+
+
 EDGES = "e AS (SELECT l_suppkey AS doc_id, l_partkey AS caller_addr, l_orderkey % 1000 AS callee_addr FROM lineitem)"
 
 

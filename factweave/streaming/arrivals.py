@@ -1,7 +1,7 @@
 """Facts from bundles that arrive in a folder.
 
-The extractors work on streams as they are; merging keeps one row for a fact over all batches, by rewriting a table of the
-facts that a batch touches.
+The extractors work on streams as they are; merging keeps one row for a fact over all batches. Each batch writes the next
+version of the whole table of facts, so its cost grows with what has been merged before.
 """
 
 from __future__ import annotations

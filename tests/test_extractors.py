@@ -107,6 +107,18 @@ def test_fusion_does_not_depend_on_partitions(spark):
     assert fuse.first_wins(once.withColumn("seq", F.lit(0)), ["evidence"]).count() == once.count() == 15
 
 
+def test_crawl_stops_at_the_page_limit(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "a"), ("d", "e")], "url string, link string")
+    start = spark.createDataFrame([("a",)], "url string")
+    assert rows(crawl.reachable(edges, start, max_pages=2), "url", "depth") == [("a", 0), ("b", 1)]
+    assert rows(crawl.reachable(edges, start), "url", "depth") == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
+
+
+def test_data_references(spark):
+    found = binary.data_references(spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (1, None)], "doc_id int, target string"), spark.createDataFrame([(1, "x"), (1, "x"), (1, None)], "doc_id int, addr string"))
+    assert sorted((r.doc_id, str(r.target), r.is_string) for r in found.collect()) == [(1, "None", False), (1, "x", True), (1, "x", True), (2, "x", False)]
+
+
 def test_candidate_edges(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "d"), (2, "a", "b")], "doc_id int, caller_addr string, callee_addr string")
     chosen = spark.createDataFrame([(1, "a"), (1, "d")], "doc_id int, addr string")
