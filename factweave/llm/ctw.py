@@ -8,8 +8,9 @@ with weights that follow from those probabilities.
 
 Jobs. Tasks count (context, byte) pairs of the training texts and send the counts, packed, by a hash of the two latest context
 bytes. A bucket holds all deeper nodes below its contexts; of the nodes of depth 1 and 0, at most 256 x 256 sums are
-gathered. Blocks of documents then send their distinct pairs, get a logarithm for each, and add them up. Counts of
-tokens for the baseline take the same way. So no job holds the counts of the whole corpus in one place.
+gathered. Blocks of documents, whose texts travel compressed, then send their distinct pairs, get a logarithm for each,
+and add them up. Counts of tokens for the baseline take the same way. So no job holds the counts of the whole corpus in
+one place.
 
 Edge cases. A null or empty text is a line end alone. Bytes and contexts that training never met have estimates of 1/2
 a bit. Repeated rows count each time and score alike. Rows with a null doc_id are training rows. Without training rows
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 from factweave.llm import textarrays as ta
 from factweave.llm.shared import release
 
-#: Context bytes. Six bytes with the coded one leave 16 bits of a word for the number of the text.
-DEPTH = 5
+#: Context bytes. With the coded one they fill a 64-bit key.
+DEPTH = 7
 #: Texts and bytes worked on at once.
 MOST_TEXTS, SLICE = 60_000, 1_500_000
 #: Bytes of text in a block of documents, and for each bucket.
-BLOCK, PER_BUCKET = 16_000_000, 16_000_000
-#: Distinct pairs that a task holds before it sends them.
-HELD = 2_000_000
+BLOCK, PER_BUCKET = 32_000_000, 16_000_000
+#: Distinct pairs that a task holds before it sends them, and bytes of text that it holds before it packs them.
+HELD, PACKED = 5_000_000, 24_000_000
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
 LN2 = math.log(2)
@@ -158,6 +159,53 @@ def packed_counts(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
+def packed_values(values: np.ndarray) -> bytes:
+    """Floats by byte planes, after a byte that tells their size."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return bytes([values.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked_values(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<f{blob[0]}").ravel()
+
+
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block, doc_id and text as rows of block and rows: all of a block that a task holds, compressed."""
+    held: list[pa.RecordBatch] = []
+
+    def send() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = rows.column("block").to_numpy()
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        for a, b in zip(cut.tolist(), np.r_[cut[1:], len(block)].tolist(), strict=True):
+            own = rows.slice(a, b - a).select(["doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(own)
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    size = 0
+    for batch in batches:
+        for part in ta.blocks(iter([batch])):
+            held.append(part)
+            size += part.column("text").nbytes
+            if size > PACKED:
+                yield from send()
+                held, size = [], 0
+    if held:
+        yield from send()
+
+
+def texts_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The doc_id and text that packed_texts() packed."""
+    parts = [pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in table.column("rows").to_pylist()]
+    if parts:
+        rows = pa.concat_tables(parts)
+        rows = rows.set_column(1, "text", rows.column("text").cast(pa.large_string()))
+        yield from rows.combine_chunks().to_batches()
+
+
 def unpacked(blob: bytes, gaps: bool = True) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
     values = np.ascontiguousarray(planes.T).view("<u8").ravel()
@@ -314,14 +362,14 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
     told = model.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     train_tokens, kinds = int(told.n or 0), int(told.v or 0)
 
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).groupBy("block")
+    by_block = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text").mapInArrow(packed_texts, "block long, rows binary").groupBy("block")
 
     def own_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         found: tuple[list, list] = ([], [])
-        for _, s in streams(table.combine_chunks().to_batches()):
+        for _, s in streams(texts_of(table)):
             found[0].append(counted(s.keys)[0])
             found[1].append(counted(s.words)[0])
-        return tuple(np.unique(np.concatenate([np.zeros(0, np.uint64), *x])) for x in found)
+        return tuple(counted(np.concatenate([np.zeros(0, np.uint64), *x]))[0] for x in found)
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -344,8 +392,7 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
             value = value.astype("<f4")
         else:
             value = counts.astype("<f4") if counts.max(initial=0) < 2**24 else counts.astype("<f8")
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = [bytes([value.itemsize]) + pack(np.ascontiguousarray(value[np.searchsorted(keys, x)]).tobytes()) for x in wanted]
+        out = [packed_values(value[np.searchsorted(keys, x)]) for x in wanted]
         return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "asked": asked.column("asked"), "answers": pa.array(out, pa.binary())})
 
     def add_up(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -354,14 +401,14 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
         for kind in (0, 1):
             own = answers.filter(pa.array((bucket >= n) == kind))
             flat = np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in own.column("asked").to_pylist())])
-            value = np.concatenate([np.zeros(0), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), f"<f{x[0]}") for x in own.column("answers").to_pylist())])
+            value = np.concatenate([np.zeros(0, np.float32), *(unpacked_values(x) for x in own.column("answers").to_pylist())])
             order = np.argsort(flat)
             keys.append(flat[order])
             values.append(value[order])
         out = []
-        for part, s in streams(texts.combine_chunks().to_batches()):
-            joint = np.sort(s.keys << np.uint64(16) | s.doc.astype(np.uint64))
-            key_, doc = joint >> np.uint64(16), (joint & np.uint64(65535)).astype(np.int64)
+        for part, s in streams(texts_of(texts)):
+            order = np.argsort(s.keys)
+            key_, doc = s.keys[order], s.doc[order]
             first = np.flatnonzero(np.r_[True, key_[1:] != key_[:-1]]) if len(key_) else doc
             value = np.repeat(values[0][np.searchsorted(keys[0], key_[first])], np.diff(np.r_[first, len(key_)]))
             score = np.bincount(doc, weights=value, minlength=s.texts)
