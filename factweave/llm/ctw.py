@@ -39,7 +39,9 @@ MOST_TEXTS, SLICE = 60_000, 1_500_000
 #: Bytes of text in a block of documents, and for each bucket.
 BLOCK, PER_BUCKET = 32_000_000, 16_000_000
 #: Distinct pairs that a task holds before it sends them, and bytes of text that it holds before it packs them.
-HELD, PACKED = 5_000_000, 24_000_000
+HELD, PACKED = 4_000_000, 24_000_000
+#: Distinct pairs whose trees are worked on at once; those of two latest bytes stay together.
+TREE = 200_000
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
 LN2 = math.log(2)
@@ -57,47 +59,65 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
 
     def table(values: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
-        return np.where(n < _SMALL, values[np.minimum(n, _SMALL - 1)], _log_gamma(np.maximum(n, _SMALL) + shift))
+        out = values[np.minimum(n, _SMALL - 1)]
+        many = np.flatnonzero(n >= _SMALL)
+        out[many] = _log_gamma(n[many] + shift)
+        return out
 
     return table(_HALVES, a, 0.5) + table(_HALVES, b, 0.5) - math.log(math.pi) - table(_WHOLES, a + b, 1.0)
 
 
 @dataclass
 class Level:
-    """Nodes of one depth: entries are distinct (context, byte), sorted; per bit position the nodes that they pass."""
+    """Contexts of one depth: entries are distinct (context, byte), sorted."""
 
     codes: np.ndarray
     counts: np.ndarray
     up: np.ndarray | None  # for each entry the entry of the next lower depth
-    nodes: list  # per bit: node of each entry, first entry of each node, zeros, ones, log weighted probability, log estimate
+
+
+@dataclass
+class Nodes:
+    """The nodes that entries of a level pass at one decision."""
+
+    of_entry: np.ndarray
+    first: np.ndarray  # first entry of each node
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray  # logarithms
+    estimate: np.ndarray
 
 
 def levels_of(keys: np.ndarray, counts: np.ndarray, lowest: int) -> list[Level]:
-    """Levels DEPTH ... lowest, with weighted probabilities. keys: sorted, distinct."""
-    out: list[Level] = []
-    codes, own = keys, counts
-    for depth in range(DEPTH, lowest - 1, -1):
-        level = Level(codes, own, None, [])
-        byte = codes & np.uint64(255)
-        for j in range(8):
-            ident = codes >> np.uint64(8 - j)
-            fresh = np.r_[True, ident[1:] != ident[:-1]] if len(ident) else np.zeros(0, bool)
-            node, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-            ones = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-            b = np.add.reduceat(own * ones, first) if len(first) else own[:0]
-            a = (np.add.reduceat(own, first) if len(first) else own[:0]) - b
-            estimate = log_kt(a, b)
-            weighted = estimate
-            if out:
-                child_first, child_weighted = out[-1].nodes[j][1], out[-1].nodes[j][4]
-                below = np.bincount(node[out[-1].up[child_first]], weights=child_weighted, minlength=len(first))
-                weighted = np.logaddexp(estimate, below) - LN2
-            level.nodes.append((node, first, a, b, weighted, estimate))
-        if depth > lowest:
-            lower = (codes >> np.uint64(16)) << np.uint64(8) | byte
-            codes, level.up = np.unique(lower, return_inverse=True)
-            own = np.bincount(level.up, weights=own, minlength=len(codes)).astype(np.int64)
-        out.append(level)
+    """Levels DEPTH ... lowest. keys: sorted, distinct."""
+    out = [Level(keys, counts, None)]
+    for _ in range(DEPTH - lowest):
+        level = out[-1]
+        lower = (level.codes >> np.uint64(16)) << np.uint64(8) | level.codes & np.uint64(255)
+        codes, up = np.unique(lower, return_inverse=True)
+        level.up = up.astype(np.int32) if len(codes) < 2**31 else up
+        out.append(Level(codes, np.bincount(up, weights=level.counts, minlength=len(codes)).astype(np.int64), None))
+    return out
+
+
+def nodes_of(levels: list[Level], j: int) -> list[Nodes]:
+    """For each level the nodes of decision j, with their weighted probabilities."""
+    out: list[Nodes] = []
+    for depth, level in enumerate(levels):
+        ident = level.codes >> np.uint64(8 - j)
+        fresh = np.r_[True, ident[1:] != ident[:-1]] if len(ident) else np.zeros(0, bool)
+        node, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        ones = ((level.codes >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+        b = np.add.reduceat(level.counts * ones, first) if len(first) else level.counts[:0]
+        a = (np.add.reduceat(level.counts, first) if len(first) else level.counts[:0]) - b
+        estimate = log_kt(a, b)
+        weighted = estimate
+        if out:
+            below = np.bincount(node[levels[depth - 1].up[out[-1].first]], weights=out[-1].weighted, minlength=len(first))
+            unlike = np.flatnonzero(estimate != below)  # nodes met once are all alike
+            weighted = estimate.copy()
+            weighted[unlike] = np.logaddexp(estimate[unlike], below[unlike]) - LN2
+        out.append(Nodes(node.astype(np.int32) if len(first) < 2**31 else node, first, a, b, weighted, estimate))
     return out
 
 
@@ -107,29 +127,40 @@ def bits_given(levels: list[Level]) -> Iterator[tuple[int, np.ndarray]]:
     for j in range(8):
         one = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
         entry, mix = np.arange(len(byte)), None
-        for level in levels:
-            node, _, a, b, weighted, estimate = level.nodes[j]
-            at = node[entry]
-            own = (np.where(one, b[at], a[at]) + 0.5) / (a[at] + b[at] + 1.0)
+        for level, nodes in zip(levels, nodes_of(levels, j), strict=True):
+            at = nodes.of_entry[entry]
+            own = ((nodes.ones + 0.5) / (nodes.zeros + nodes.ones + 1.0))[at]
             if mix is None:
                 mix = own
             else:
-                stop = np.exp(estimate - LN2 - weighted)[at]
-                mix = stop * own + (1 - stop) * mix
+                stop = np.exp(nodes.estimate - LN2 - nodes.weighted)[at]
+                mix += stop * (own - mix)
             if level.up is not None:
                 entry = level.up[entry]
-        yield j, mix
+        yield j, np.where(one, mix, 1 - mix)
+
+
+def ranges_of(keys: np.ndarray) -> Iterator[slice]:
+    """Sorted keys in pieces of about TREE keys that share no context of two bytes."""
+    pair = keys >> np.uint64(8 * (DEPTH - 1))
+    begins = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    piece = begins // TREE
+    begins = begins[np.r_[True, piece[1:] != piece[:-1]]] if len(begins) else begins
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True):
+        yield slice(a, b)
 
 
-def upper_sums(levels: list[Level]) -> np.ndarray:
+def upper_sums(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each latest context byte and decision: zeros, ones, and the sum of the log weighted probabilities of depth 2."""
     out = np.zeros((3, 65536))
-    level = levels[-1]
-    for j, (_, first, a, b, weighted, _) in enumerate(level.nodes):
-        code = level.codes[first]
-        place = (((code >> np.uint64(16)) & np.uint64(255)) << np.uint64(8) | np.uint64(1 << j) | ((code & np.uint64(255)) >> np.uint64(8 - j))).astype(np.int64)
-        for k, value in enumerate((a, b, weighted)):
-            out[k] += np.bincount(place, weights=value, minlength=65536)
+    for piece in ranges_of(keys):
+        levels = levels_of(keys[piece], counts[piece], 2)
+        for j in range(8):
+            nodes = nodes_of(levels, j)[-1]
+            code = levels[-1].codes[nodes.first]
+            place = (((code >> np.uint64(16)) & np.uint64(255)) << np.uint64(8) | np.uint64(1 << j) | ((code & np.uint64(255)) >> np.uint64(8 - j))).astype(np.int64)
+            for k, value in enumerate((nodes.zeros, nodes.ones, nodes.weighted)):
+                out[k] += np.bincount(place, weights=value, minlength=65536)
     return out
 
 
@@ -199,11 +230,10 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def texts_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """The doc_id and text that packed_texts() packed."""
-    parts = [pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in table.column("rows").to_pylist()]
-    if parts:
-        rows = pa.concat_tables(parts)
-        rows = rows.set_column(1, "text", rows.column("text").cast(pa.large_string()))
-        yield from rows.combine_chunks().to_batches()
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")]
+    at = np.cumsum([x.nbytes for x in parts]) // SLICE
+    for piece in np.unique(at):
+        yield from pa.concat_tables([x for x, k in zip(parts, at, strict=True) if k == piece]).combine_chunks().to_batches()
 
 
 def unpacked(blob: bytes, gaps: bool = True) -> np.ndarray:
@@ -273,6 +303,14 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def distinct(keys: list[np.ndarray]) -> np.ndarray:
+    """Distinct keys, sorted."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+    keys.clear()
+    flat.sort()
+    return flat[np.r_[True, flat[1:] != flat[:-1]]] if len(flat) else flat
+
+
 def buckets_of(keys: np.ndarray, kind: int, n: int) -> np.ndarray:
     """Contexts (kind 0) are dealt out by their two latest bytes to 0 ... n - 1, tokens (kind 1) to n ... 2 n - 1."""
     own = ta.mixed(keys >> np.uint64(8 * (DEPTH - 1))) if kind == 0 else keys
@@ -337,7 +375,7 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
     def combine(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         keys, counts = merged([unpacked(x) for x in table.column("keys").to_pylist()], [unpacked(x, False) for x in table.column("counts").to_pylist()])
-        upper = zstandard.ZstdCompressor(level=1).compress(upper_sums(levels_of(keys, counts, 2)).tobytes()) if bucket < n else b""
+        upper = zstandard.ZstdCompressor(level=1).compress(upper_sums(keys, counts).tobytes()) if bucket < n else b""
         words = bucket >= n
         return pa.table({"bucket": [bucket], "keys": [packed(keys)], "counts": [packed_counts(counts)], "upper": pa.array([upper], pa.binary()), "tokens": [int(counts.sum()) * words], "kinds": [len(keys) * words]})
 
@@ -365,11 +403,16 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
     by_block = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), "doc_id", "text").mapInArrow(packed_texts, "block long, rows binary").groupBy("block")
 
     def own_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        found: tuple[list, list] = ([], [])
+        found: list[list[np.ndarray]] = [[], []]
+        size = [0, 0]
         for _, s in streams(texts_of(table)):
-            found[0].append(counted(s.keys)[0])
-            found[1].append(counted(s.words)[0])
-        return tuple(counted(np.concatenate([np.zeros(0, np.uint64), *x]))[0] for x in found)
+            for kind, flat in enumerate((s.keys, s.words)):
+                found[kind].append(counted(flat)[0])
+                size[kind] += len(found[kind][-1])
+                if size[kind] > HELD // 2:
+                    found[kind] = [distinct(found[kind])]
+                    size[kind] = 0
+        return distinct(found[0]), distinct(found[1])
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -384,12 +427,15 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
         held = [unpacked(x) for x in model.column("keys").to_pylist()], [unpacked(x, False) for x in model.column("counts").to_pylist()]
         keys, counts = merged([*held[0], *wanted], [*held[1], *(np.zeros(len(x), np.int64) for x in wanted)])
         if bucket < n:
-            value = np.zeros(len(keys))
-            latest, byte = ((keys >> np.uint64(8 * DEPTH)) & np.uint64(255)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
-            for j, deep in bits_given(levels_of(keys, counts, 2)):
-                decision, bit = 1 << j | byte >> (8 - j), byte >> (7 - j) & 1
-                value += np.log10(known[latest, decision, bit] + rest[latest, decision] * deep)
-            value = value.astype("<f4")
+            value = np.zeros(len(keys), "<f4")
+            for piece in ranges_of(keys):
+                part = keys[piece]
+                latest, byte = ((part >> np.uint64(8 * DEPTH)) & np.uint64(255)).astype(np.int64), (part & np.uint64(255)).astype(np.int64)
+                own = np.zeros(len(part))
+                for j, deep in bits_given(levels_of(part, counts[piece], 2)):
+                    decision, bit = 1 << j | byte >> (8 - j), byte >> (7 - j) & 1
+                    own += np.log10(known[latest, decision, bit] + rest[latest, decision] * deep)
+                value[piece] = own
         else:
             value = counts.astype("<f4") if counts.max(initial=0) < 2**24 else counts.astype("<f8")
         out = [packed_values(value[np.searchsorted(keys, x)]) for x in wanted]
