@@ -60,7 +60,7 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     def table(values: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
         out = values[np.minimum(n, _SMALL - 1)]
-        many = np.flatnonzero(n >= _SMALL)
+        many = n >= _SMALL
         out[many] = _log_gamma(n[many] + shift)
         return out
 

@@ -115,6 +115,37 @@ def test_context_tree(docs, texts, none):
     assert ctw.scores(none).count() == 0
 
 
+def test_estimates_of_many_and_few():
+    a = np.array([[0, 1, 5000], [3, 4095, 10**9]])
+    b = np.array([[0, 0, 4096], [7, 4096, 12]])
+    expected = [[math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.log(math.pi) - math.lgamma(x + y + 1) for x, y in zip(*row, strict=True)] for row in zip(a.tolist(), b.tolist(), strict=True)]
+    assert ctw.log_kt(a, b) == pytest.approx(np.array(expected), rel=1e-9)
+
+
+def test_trees_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    line = rng.choice(np.frombuffer(b"aabc ", np.uint8), 20_000).astype(np.uint64)
+    keys = line[ctw.DEPTH :].copy()
+    for back in range(1, ctw.DEPTH + 1):
+        keys |= line[ctw.DEPTH - back : -back] << np.uint64(8 * (ctw.DEPTH + 1 - back))
+    keys, counts = ctw.counted(keys)
+    whole = ctw.upper_sums(keys, counts)
+    monkeypatch.setattr(ctw, "TREE", 50)
+    assert len(list(ctw.ranges_of(keys))) > 3
+    assert ctw.upper_sums(keys, counts) == pytest.approx(whole)
+
+
+def test_packed_texts_keep_their_rows(monkeypatch):
+    monkeypatch.setattr(ctw, "PACKED", 40)
+    block, ids, texts = [0, 1, 0, 1, 1], [5, None, 7, 8, 9], ["a" * 30, "", "b", "\u00e9" * 30, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids, pa.int64()), pa.array(texts)], ["block", "doc_id", "text"])
+    out = pa.Table.from_batches(list(ctw.packed_texts(iter([batch]))))
+    for k in (0, 1):
+        got = pa.Table.from_batches(list(ctw.texts_of(out.filter(pa.array([x == k for x in out.column("block").to_pylist()])))))
+        own = [(i, t) for b, i, t in zip(block, ids, texts, strict=True) if b == k]
+        assert sorted(zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), strict=True), key=str) == sorted(own, key=str)
+
+
 def test_decontamination(spark, docs, none):
     rng = random.Random(2)
     item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
