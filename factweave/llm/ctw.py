@@ -20,8 +20,9 @@ N and V are 0 and every byte costs eight bits. Empty tables give no rows. Extra
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ DEPTH = 7
 #: Texts and bytes worked on at once.
 MOST_TEXTS, SLICE = 60_000, 1_500_000
 #: Bytes of text in a block of documents, and for each bucket.
-BLOCK, PER_BUCKET = 32_000_000, 16_000_000
+BLOCK, PER_BUCKET = 24_000_000, 16_000_000
 #: Distinct pairs that a task holds before it sends them, and bytes of text that it holds before it packs them.
-HELD, PACKED = 4_000_000, 24_000_000
+HELD, PACKED = 2_000_000, 12_000_000
 #: Distinct pairs whose trees are worked on at once; those of two latest bytes stay together.
 TREE = 200_000
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
@@ -297,6 +298,19 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return flat[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def gathered(pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of many pieces, with no more held than about twice the distinct keys."""
+    keys, counts, kept, size = [], [], 0, 0
+    for k, c in pieces:
+        keys.append(k)
+        counts.append(c)
+        size += len(k)
+        if size - kept > max(HELD // 2, kept):
+            k, c = merged(keys, counts)
+            keys, counts, kept, size = [k], [c], len(k), len(k)
+    return merged(keys, counts)
+
+
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -372,9 +386,13 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
     n, n_blocks = max(96, -(-total // PER_BUCKET)), max(1, -(-total // BLOCK))
     teaches = ~held_out(F.col("doc_id")) if teaches is None else teaches
 
+    def sent(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for keys, counts in zip(table.column("keys"), table.column("counts"), strict=True):
+            yield unpacked(keys.as_py()), unpacked(counts.as_py(), False)
+
     def combine(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, counts = merged([unpacked(x) for x in table.column("keys").to_pylist()], [unpacked(x, False) for x in table.column("counts").to_pylist()])
+        keys, counts = gathered(sent(table))
         upper = zstandard.ZstdCompressor(level=1).compress(upper_sums(keys, counts).tobytes()) if bucket < n else b""
         words = bucket >= n
         return pa.table({"bucket": [bucket], "keys": [packed(keys)], "counts": [packed_counts(counts)], "upper": pa.array([upper], pa.binary()), "tokens": [int(counts.sum()) * words], "kinds": [len(keys) * words]})
@@ -420,12 +438,11 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
         return pa.table({"block": pa.array([block] * len(asked), pa.int64()), "bucket": pa.array([x[0] for x in asked], pa.int64()), "asked": pa.array([x[1] for x in asked], pa.binary())})
 
     def answer(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
-        wanted = [unpacked(x) for x in asked.column("asked").to_pylist()]
-        if not wanted:
+        if not asked.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "asked": pa.array([], pa.binary()), "answers": pa.array([], pa.binary())})
         bucket = asked.column("bucket")[0].as_py()
-        held = [unpacked(x) for x in model.column("keys").to_pylist()], [unpacked(x, False) for x in model.column("counts").to_pylist()]
-        keys, counts = merged([*held[0], *wanted], [*held[1], *(np.zeros(len(x), np.int64) for x in wanted)])
+        wanted = (unpacked(x.as_py()) for x in asked.column("asked"))
+        keys, counts = gathered(chain(sent(model), ((x, np.zeros(len(x), np.int64)) for x in wanted)))
         if bucket < n:
             value = np.zeros(len(keys), "<f4")
             for piece in ranges_of(keys):
@@ -438,7 +455,7 @@ def scores(docs: DataFrame, teaches: Column | None = None) -> DataFrame:
                 value[piece] = own
         else:
             value = counts.astype("<f4") if counts.max(initial=0) < 2**24 else counts.astype("<f8")
-        out = [packed_values(value[np.searchsorted(keys, x)]) for x in wanted]
+        out = [packed_values(value[np.searchsorted(keys, unpacked(x.as_py()))]) for x in asked.column("asked")]
         return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "asked": asked.column("asked"), "answers": pa.array(out, pa.binary())})
 
     def add_up(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
