@@ -47,9 +47,10 @@ def functions_of(contexts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "f.addr", "f.name", "f.size", "f.callers", "f.callees", "f.string_refs", "f.import_refs", "f.disassembly", "f.pseudocode", text.alias("text"))
 
 
-def strings_of(contexts: DataFrame) -> DataFrame:
-    """doc_id, pos, addr, value, tags and xrefs of every string that has a tag."""
-    rows = contexts.select("doc_id", F.posexplode("strings").alias("pos", "s")).select("doc_id", "pos", "s.addr", "s.value", "s.xrefs")
+def strings_of(contexts: DataFrame, max_strings: int | None = None) -> DataFrame:
+    """doc_id, pos, addr, value, tags and xrefs of every string that has a tag; of the first max_strings of a context, if given."""
+    listed = F.col("strings") if max_strings is None else F.slice("strings", 1, max_strings)
+    rows = contexts.select("doc_id", F.posexplode(listed).alias("pos", "s")).select("doc_id", "pos", "s.addr", "s.value", "s.xrefs")
     return rows.withColumn("tags", C.string_tags(F.coalesce("value", F.lit("")))).where(F.size("tags") > 0)
 
 
@@ -201,11 +202,20 @@ def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:
     return references.join(known, ["doc_id", "target"], "left").withColumn("is_string", F.coalesce("known", F.lit(False))).drop("known")
 
 
+def stage_counts(contexts: DataFrame) -> DataFrame:
+    """doc_id and how many functions, strings, imports (distinct names) and call-graph edges a context holds."""
+    count = lambda items: F.greatest(F.size(items), F.lit(0)).cast("long")
+    named = F.array_distinct(F.flatten(F.transform("functions", lambda f: F.transform(F.coalesce(f["import_refs"], F.array()), lambda r: r["name"]))))
+    called = F.flatten(F.transform("functions", lambda f: F.transform(F.coalesce(f["callees"], F.array()), lambda c: F.struct(f["addr"].alias("caller"), c["function_addr"].alias("callee")))))
+    return contexts.select("doc_id", count("functions").alias("functions"), count("strings").alias("strings"), count(named).alias("imports"), count(F.array_distinct(called)).alias("callgraph_edges"))
+
+
 def summary(contexts: DataFrame) -> DataFrame:
-    """doc_id and the number of facts of each table."""
-    tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "references": string_references(contexts), "functions": candidate_functions(contexts)}
+    """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category."""
+    tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "response_strings": tagged(contexts, "response"), "strings": first_wins(strings_of(contexts).select("doc_id", "addr", F.col("pos").alias("seq")), ["doc_id", "addr"]), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "references": string_references(contexts), "functions": candidate_functions(contexts)}
     rows = None
     for name, table in tables.items():
         part = table.select("doc_id", F.lit(name).alias("table"))
         rows = part if rows is None else rows.unionAll(part)
-    return rows.groupBy("doc_id").pivot("table", list(tables)).agg(F.count(F.lit(1))).na.fill(0)
+    counts = rows.groupBy("doc_id").pivot("table", list(tables)).agg(F.count(F.lit(1))).na.fill(0)
+    return counts.withColumn("hint_categories", F.create_map(F.lit("auth"), F.col("auth_hints"), F.lit("state"), F.col("state_hints"), F.lit("response"), F.col("response_strings")))

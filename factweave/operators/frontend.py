@@ -217,3 +217,12 @@ def references(sources: DataFrame, events: DataFrame | None = None) -> DataFrame
     mined = script_calls(sources).where(C.looks_like_route(F.col("url"))).select("source_file", "url").unionAll(matches(sources.select("source_file", "content"), "content", INLINE, ["url"]).select("source_file", "url"))
     literal = matches(sources.select("source_file", "content"), "content", LITERALS, ["url"]).where(C.looks_like_route(F.col("url"))).select("source_file", "url")
     return own.unionAll(mined).unionAll(literal).distinct()
+
+
+def facts(sources: DataFrame, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All fact tables of pages, each fused for its page. events: html_events(sources), if the caller has written them."""
+    events = html_events(sources) if events is None else events
+    return {
+        "routes": routes(sources, events), "params": params(sources, events), "constraints": constraints(sources, events), "auth_hints": hints(sources, V.AUTH_WORDS, events), "state_hints": hints(sources, V.STATE_WORDS, events),
+        "template_vars": template_vars(sources),
+    }

@@ -208,6 +208,11 @@ def path_references(sources: DataFrame) -> DataFrame:
 TABLES = {"servers": servers, "listeners": listeners, "document_roots": document_roots, "aliases": aliases, "cgi_mappings": cgi_mappings, "auth_rules": auth_rules, "startup_commands": startup_commands, "config_references": config_references, "routes": routes, "references": path_references}
 
 
+def facts(sources: DataFrame) -> dict[str, DataFrame]:
+    """All fact tables of configuration bundles, each fused over the files of its bundle."""
+    return {name: extract(sources) for name, extract in TABLES.items()}
+
+
 def summary(sources: DataFrame) -> DataFrame:
     """bundle_id, server types and ports, sorted, and the number of each table's facts."""
     out = servers(sources).groupBy("bundle_id").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("server_types"))

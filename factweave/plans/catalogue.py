@@ -14,7 +14,7 @@ from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators import backend, binary, crawl, frontend, fuse, rules, serverconfig
 from factweave.plans import corpora
-from factweave.session import ensure_checkpoints
+from factweave.session import ensure_checkpoints, spread
 from factweave.sources import bundles
 from factweave.streaming import arrivals
 
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_file"), F.col("html").alias("content"))
+    return spread(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_file"), F.col("html").alias("content")))
 
 
 # --- saved pages -------------------------------------------------------------------------------------------------------
@@ -305,6 +305,16 @@ def cfg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serverconfig.summary(corpora.config_sources(spark, sf_dir)).select("bundle_id", "server_types", "listeners", "document_roots", "auth_rules")
 
 
+def fact_counts_sql(twins: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{bucket}' AS bucket, count(*) AS facts FROM ({ORACLE[twin]})" for bucket, twin in twins.items())
+
+
+@query("A10", fact_counts_sql({name: f"cfg_{name}" for name in serverconfig.TABLES}))
+def cfg_fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each family over all configuration bundles, fused for each bundle."""
+    return fuse.bucket_counts(serverconfig.facts(corpora.config_sources(spark, sf_dir)))
+
+
 # --- pages with forms and scripts ------------------------------------------------------------------------------------------
 
 
@@ -362,6 +372,14 @@ def template_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontend.template_vars(corpora.form_pages(spark, sf_dir)).select("source_file", "name", "function", "confidence")
 
 
+@query("A7", fact_counts_sql({"routes": "form_page_routes", "params": "form_params", "constraints": "form_constraints", "auth_hints": "page_auth_hints", "template_vars": "template_vars"}))
+def page_fact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each family over all pages derived from customers, fused for each page. The pages are parsed once."""
+    ensure_checkpoints(spark)
+    sources = corpora.form_pages(spark, sf_dir)
+    return fuse.bucket_counts(frontend.facts(sources, frontend.html_events(sources).checkpoint()))
+
+
 @query("X1 X2 X4 X5 X9 X10 Q7 F19", "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'ajax' WHEN 2 THEN 'axios_verb' WHEN 3 THEN 'axios' ELSE 'fetch' END AS kind, '/u' || (o_orderkey % 90) AS url, CASE o_orderkey % 5 WHEN 0 THEN 'PUT' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' WHEN 3 THEN 'PATCH' ELSE 'GET' END AS method FROM orders UNION ALL SELECT o_orderkey, 'object', '/u' || (o_orderkey % 90), 'GET' FROM orders WHERE o_orderkey % 5 IN (1, 3)")
 def js_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in script lines derived from orders."""
@@ -477,6 +495,29 @@ def bin_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.snippets(corpora.contexts(spark, sf_dir)).distinct()
 
 
+@contexts_query(
+    "A15",
+    """SELECT doc_id, count(DISTINCT CASE WHEN p % 5 IN (1, 2) THEN p % 5 END) AS auth, CAST(0 AS BIGINT) AS state, count(DISTINCT CASE WHEN p % 5 = 1 THEN 1 END) AS response,
+count(DISTINCT CASE WHEN p % 5 = 0 THEN p % 35 WHEN p % 5 = 2 THEN -1 END) AS references, count(DISTINCT CASE WHEN p % 5 < 4 THEN p END) AS strings FROM f GROUP BY doc_id""",
+)
+def bin_hint_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints of each context by category, with its references and telling strings."""
+    categories = F.col("hint_categories")
+    return binary.summary(corpora.contexts(spark, sf_dir)).select("doc_id", *(F.try_element_at(categories, F.lit(c)).alias(c) for c in ("auth", "state", "response")), "references", "strings")
+
+
+@contexts_query("A16", "SELECT doc_id, count(*) AS functions, count(DISTINCT p) AS strings, count(DISTINCT n % 4) AS imports, count(DISTINCT addr) AS callgraph_edges FROM f GROUP BY doc_id")
+def bin_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an exported context holds, before any fact is drawn from it; line items that share an address make one edge."""
+    return binary.stage_counts(corpora.contexts(spark, sf_dir))
+
+
+@contexts_query("O7", "SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT DISTINCT doc_id, p FROM f)) WHERE r <= 50 AND p % 5 < 4")
+def bin_first_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telling strings among the first fifty of each context; the limit is the feature."""
+    return binary.strings_of(corpora.contexts(spark, sf_dir), 50).select("doc_id", F.substring("addr", 2, 20).cast("long").alias("p"))
+
+
 @contexts_query("A15", "SELECT doc_id, count(DISTINCT CASE WHEN p % 5 = 0 THEN p % 35 END) AS routes, count(DISTINCT CASE WHEN n % 4 = 0 THEN (name, addr) END) AS sinks FROM f GROUP BY doc_id")
 def bin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each context."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.session import spread
+
 SOURCE_LINES = [
     """'#include "h' || (k % 40) || '.h"'""", """'websFormDefine("form' || (k % 120) || '", formH' || (k % 90) || ');'""", """'{ "page' || (k % 60) || '", page' || (k % 60) || '_handler },'""", """'int set' || (k % 30) || '_cgi(void) {'""",
     """'char *v = websGetVar(wp, "p' || (k % 200) || '", "d' || (k % 7) || '");'""", """'if (strlen(v) > ' || s || ') return;'""", """'n = atoi(v' || (k % 5) || ');'""", """'nvram_set("key' || (k % 80) || '", v);'""", """'system(cmd' || (k % 9) || ');'""",
@@ -43,7 +45,7 @@ def config_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, html, and the same as source_file and content: a page with a form, a link and a script for each customer."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k")
+    rows = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS k"))
     return rows.select(F.expr("'http://h' || (k % 10) || '.example/p' || k || '.html'").alias("url"), F.expr(PAGE).alias("html")).withColumn("source_file", F.col("url")).withColumn("content", F.col("html"))
 
 

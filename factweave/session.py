@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "factweave", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -30,3 +30,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows read from files, for work that is long for each row: over all cores where the files give fewer partitions."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
