@@ -26,18 +26,19 @@ class Rule:
 
 
 def every_match(text: Column, rules: list[Rule], fields: list[str]) -> Column:
-    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule; groups that took no part are null."""
+    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule; groups that took no part are null.
+
+    A text is searched once for each rule; groups are read from what matched.
+    """
 
     def of(number: int, rule: Rule) -> Column:
-        groups = [F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))] + [F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.fields[f])) for f in fields if f in rule.fields]
-        names = ["matched", *(f for f in fields if f in rule.fields)]
-        zipped = F.arrays_zip(*(g.alias(n) for g, n in zip(groups, names, strict=True)))
+        pattern = F.lit(rule.java)
 
-        def row(m: Column, i: Column) -> Column:
-            value = lambda f: F.nullif(m.getField(f), F.lit("")) if f in names else F.lit(None).cast("string")
-            return F.struct(F.lit(rule.kind).alias("kind"), F.lit(number).alias("rule_no"), i.alias("match_no"), m.getField("matched").alias("matched"), *(value(f).alias(f) for f in fields))
+        def row(matched: Column, i: Column) -> Column:
+            value = lambda f: F.nullif(F.regexp_extract(matched, rule.java, rule.fields[f]), F.lit("")) if f in rule.fields else F.lit(None).cast("string")
+            return F.struct(F.lit(rule.kind).alias("kind"), F.lit(number).alias("rule_no"), i.alias("match_no"), matched.alias("matched"), *(value(f).alias(f) for f in fields))
 
-        return F.transform(zipped, row)
+        return F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), row)
 
     return F.flatten(F.array(*(of(k, r) for k, r in enumerate(rules))))
 
