@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, quality, substrings, topk
+from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, prefixtrie, quality, simhash, substrings, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,15 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline and context-tree score of every document."""
     return ctw.scores(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))

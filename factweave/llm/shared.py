@@ -33,14 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame) -> DataFrame:
     """The same rows, written as compressed Parquet in the shared folder and read again."""
     folder = shared_folder(frame.sparkSession)
     frame.write.option("compression", "zstd").parquet(folder)
-    release(frame.sparkSession)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """stored(), for large tables: the shuffle files behind them may go."""
+    out = stored(frame)
+    release(frame.sparkSession)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written.
 
