@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, prefixtrie, quality, simhash, substrings, topk
+from factweave.llm import bpe, chat, ctw, decontaminate, linededup, maintext, minhash, prefixtrie, quality, repair, simhash, substrings, topk
 from factweave.llm.shared import ensure_checkpoints, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and a digest of the repaired turns of every conversation."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
