@@ -3,12 +3,14 @@
 A text's words, A-Z in lower case, give three-word shingles, repeats included; a bit of its 64-bit fingerprint is set where
 more than half of the shingles' XXH64 values have it. Different fingerprints are the leaves of a binary trie, read from the
 highest bit. Pairs of trie nodes go down together, from the root with itself, and carry how many bits they differ in; a pair
-that differs in more than the budget is dropped with everything below it. The upper levels go down as rounds of joins, four
-bits a round, on nodes and their numbers of leaves; a pair of nodes whose leaves fit a task is handed to one, which goes on
-bit by bit with flat arrays. Of the links a task finds it keeps a spanning forest, and components join the forests.
+that differs in more than the budget is dropped with everything below it. The upper levels go down as rounds of joins, two
+bits a round, on nodes and their numbers of leaves; a pair of nodes whose leaves fit a task is handed to one, each node as one
+packed row, and goes on bit by bit with flat arrays. Of the links a task finds it keeps a spanning forest, and components
+join the forests.
 
-No group is unbounded: equal fingerprints are one leaf, and a node with many leaves is cut further. Bits cut after the
-first 52 leave at most LEAVES leaves to any node.
+No group is unbounded: equal fingerprints are one leaf, a node with many leaves is cut further, and no node lower than the
+first 48 bits has more leaves than a task takes. A node at depth d is sent once for each node within the budget of it,
+d * d * d / 6 or so of them, so larger nodes (`most`) send less: eight bytes a leaf each time.
 
 Edge cases. A null text is empty; texts without words have fingerprint 0 and link like any others. A text of one or two
 words is one shingle. A null doc_id takes part in links, but is nobody's smallest id: its component may be null. Repeated
@@ -32,9 +34,9 @@ from factweave.llm.shared import stored
 
 WIDTH, SEED = 3, 42
 #: Bits of a fingerprint, and bits that a round of joins goes down.
-BITS, STRIDE = 64, 4
+BITS, STRIDE = 64, 2
 #: Leaves of both nodes of a pair together that a task takes.
-LEAVES = 8192
+LEAVES = 1 << 16
 #: Pairs of leaves below which a task compares them without going further down; pairs of nodes that it holds at once.
 FEW, AT_ONCE = 256, 4096
 #: Shingles whose bits are counted at once.
@@ -169,15 +171,15 @@ def links(leaves: DataFrame, budget: int, most: int) -> DataFrame:
     out = None
     for depth, pairs in task_pairs(leaves, budget, most):
         node = F.shiftrightunsigned("bits", BITS - depth) if depth else F.lit(0).cast("long")
-        under = leaves.select("bits", node.alias("node"))
         sides = pairs.select("a", "b", "errors", F.col("a").alias("node"), F.lit(False).alias("right")).unionByName(pairs.where("a <> b").select("a", "b", "errors", F.col("b").alias("node"), F.lit(True).alias("right")))
-        rows = sides.join(under, "node").select(F.lit(depth).alias("depth"), "a", "b", "errors", "right", "bits")
+        packed = leaves.withColumn("node", node).join(sides.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("bits").alias("bits"))
+        rows = sides.join(packed, "node").select(F.lit(depth).alias("depth"), "a", "b", "errors", "right", "bits")
         out = rows if out is None else out.unionByName(rows)
 
     def work(table: pa.Table) -> pa.Table:
-        bits, right = table.column("bits").to_numpy().view(np.uint64), table.column("right").to_numpy()
-        both = table.column("a")[0] != table.column("b")[0]
-        u, v = forest(np.sort(bits[~right]), np.sort(bits[right]) if both else None, table.column("depth")[0].as_py(), table.column("errors")[0].as_py(), budget)
+        depth, errors = table.column("depth")[0].as_py(), table.column("errors")[0].as_py()
+        sides = {right: np.sort(bits.values.to_numpy().view(np.uint64)) for right, bits in zip(table.column("right").to_pylist(), table.column("bits"), strict=True)}
+        u, v = forest(sides[False], sides.get(True), depth, errors, budget)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return out.groupBy("depth", "a", "b").applyInArrow(work, "u long, v long")
