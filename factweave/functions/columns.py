@@ -260,3 +260,45 @@ def option_value(argv: Column, names: list[str]) -> Column:
         return F.when(token.isin(names), after).otherwise(glued)
 
     return F.get(F.filter(F.transform(places, at), lambda x: x.isNotNull()), F.lit(0))
+
+
+#: A piece of a shell word: plain characters, an escaped one, or a quoted stretch.
+SHELL_PIECE = r"""[^ \t\r\n'"\\]++|\\.|'[^']*+'|"(?:[^"\\]++|\\.)*+\""""
+
+
+def shell_tokens(line: Column) -> Column:
+    """The words of a line as a POSIX shell sees them, without comments; where a quote or an escape is left open, what stands between
+    white space.
+
+    Quotes and backslashes go; between double quotes a backslash goes before a double quote or a backslash only.
+    """
+    word = rf"(?s)(?:{SHELL_PIECE})++"
+    whole = line.rlike(rf"(?s)^[ \t\r\n]*+(?:(?:{SHELL_PIECE})++[ \t\r\n]*+)*+$")
+
+    def bare(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        return F.when(piece.startswith("'"), inner).when(piece.startswith('"'), F.regexp_replace(inner, r"""(?s)\\(["\\])""", "$1")).when(piece.startswith("\\"), F.substring(piece, F.lit(2), F.lit(1))).otherwise(piece)
+
+    words = F.transform(F.regexp_extract_all(line, F.lit(word), F.lit(0)), lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(f"(?s){SHELL_PIECE}"), F.lit(0)), bare), ""))
+    return F.when(whole, words).otherwise(F.filter(F.split(line, r"(?U)\s+"), lambda x: x != ""))
+
+
+def quoted(text: Column) -> Column:
+    """A text as Python's repr shows it, for tags in evidence: in single quotes, or in double ones if it holds single ones alone."""
+    mark = F.when(text.contains("'") & ~text.contains('"'), '"').otherwise("'")
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        small = F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(code), 2, "0")))
+        return F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when((code < 32) | code.between(127, 160) | (code == 173), small).otherwise(c)
+
+    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    body = F.when(text.contains("'") & text.contains('"'), F.replace(body, F.lit("'"), F.lit("\\'"))).otherwise(body)
+    body = F.when(body.rlike(r"[\x00-\x1f\x7f-\xa0\xad]"), F.array_join(F.transform(F.split(body, ""), shown), "")).otherwise(body)
+    return F.concat(mark, body, mark)
+
+
+def elapsed_seconds(began: Column, ended: Column) -> Column:
+    """Seconds between two times, to the millisecond."""
+    micros = lambda at: F.unix_micros(at.cast("timestamp"))
+    return F.round((micros(ended) - micros(began)) / 1_000_000, 3)

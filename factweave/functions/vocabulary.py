@@ -7,6 +7,8 @@ CONFIDENCES = ["low", "medium", "high"]
 #: keyword -> kind; the first keyword that occurs wins.
 AUTH_WORDS = {"auth": "auth", "csrf": "csrf", "login": "login", "logout": "logout", "nonce": "nonce", "passwd": "password", "password": "password", "session": "session", "sid": "session", "token": "token", "cookie": "cookie"}
 STATE_WORDS = {"apply": "apply", "commit": "save", "reboot": "reboot", "reset": "reset", "restart": "restart", "restore": "restore", "save": "save", "upgrade": "upgrade"}
+#: Parts of the names of hidden fields that guard a form.
+SECRET_WORDS = ["token", "csrf", "nonce"]
 OBJECT_KEYS = ["url", "uri", "action", "endpoint", "method", "type", "data", "params", "payload"]
 #: Name parts that tell a field's type, in this order.
 NAME_TYPES = [(["ip", "addr"], "ipv4_or_host"), (["port", "mtu", "vlan", "channel", "timeout", "interval"], "int"), (["mac"], "mac"), (["enable", "disable", "onoff", "switch"], "bool_or_enum")]

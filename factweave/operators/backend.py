@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
 from factweave.operators.fuse import first_wins
-from factweave.operators.rules import Rule, matches, source_lines
+from factweave.operators.rules import Rule, every_match, first_match, matches, source_lines
 
 # The patterns that define these facts.
 NAME = r"[A-Za-z_]\w*"
@@ -138,10 +138,16 @@ def facts(sources: DataFrame, table: str) -> DataFrame:
 
 
 def file_counts(sources: DataFrame) -> DataFrame:
-    """source_file, bucket and matches before deduplication, for every file and bucket that has any."""
-    out = None
-    for name, (extract, _) in TABLES.items():
-        if name != "route_mappings":
-            part = extract(sources).groupBy("source_file").agg(F.count("*").alias("matches")).withColumn("bucket", F.lit(name))
-            out = part if out is None else out.unionByName(part)
-    return out
+    """source_file, bucket and matches before deduplication, for every file and bucket that has any. Each line is read once for all."""
+    line, low = F.col("line"), F.col("low_")
+    lines = source_lines(sources).withColumn("low_", F.lower("line"))
+    lines = lines.withColumn("linked", first_match(line, HANDLERS, ["route", "handler"], low))
+    having = lambda found, field: F.size(F.filter(found, lambda m: m[field].isNotNull()))
+    every = lambda rules, *fields: every_match(line, rules, list(fields), low)
+    counts = {
+        "handlers": having(F.col("linked"), "handler"), "routes": having(F.col("linked"), "route") + having(every(ROUTES, "route"), "route"), "params": having(every(PARAMS, "param"), "param"), "constraints": F.size(every(CONSTRAINTS)),
+        "config_accesses": F.size(first_match(line, CONFIG, [], low)), "sinks": F.size(first_match(line, SINKS, [], low)), "auth_hints": F.size(every(AUTH)), "state_hints": F.size(every(STATE)), "references": F.size(first_match(line, INCLUDES, [], low)),
+        "strings": F.size(F.filter(every(STRINGS, "string"), lambda m: F.length(C.strip(m["string"])) >= 4)),
+    }
+    summed = lines.groupBy("source_file").agg(*(F.sum(n).alias(name) for name, n in counts.items()))
+    return summed.unpivot("source_file", list(counts), "bucket", "matches").where("matches > 0").select("source_file", "matches", "bucket")

@@ -6,7 +6,7 @@ interfaces are dimension tables of fixed size, so they may be broadcast; everyth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
@@ -16,6 +16,9 @@ from factweave.operators.rules import Rule, matches
 
 CONTEXT = """
 binary string,
+imports array<struct<module:string,name:string,ordinal:bigint,addr:string>>,
+exports array<struct<index:bigint,ordinal:bigint,addr:string,name:string>>,
+names array<struct<addr:string,name:string>>,
 strings array<struct<addr:string,value:string,xrefs:array<struct<xref_addr:string,function_addr:string,function_name:string,snippet:string>>>>,
 functions array<struct<addr:string,name:string,size:bigint,callers:array<struct<function_addr:string,callsite:string>>,callees:array<struct<function_addr:string,callsite:string>>,
   string_refs:array<struct<string_addr:string,xref_addr:string,snippet:string>>,import_refs:array<struct<name:string,module:string,xref_addr:string,snippet:string>>,disassembly:array<struct<addr:string,text:string>>,pseudocode:string>>,
@@ -148,6 +151,11 @@ def candidates(contexts: DataFrame) -> DataFrame:
     return used.unionAll(import_uses(contexts).select("doc_id", F.col("function_addr"))).unionAll(handlers(contexts).select("doc_id", "addr")).distinct()
 
 
+def first_candidates(contexts: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` candidates of each context by the number of their address; the limit is the feature."""
+    return capped(candidates(contexts).withColumn("at", C.address_number(F.col("addr"))), ["doc_id"], limit, ["at", "addr"]).drop("at")
+
+
 def candidate_functions(contexts: DataFrame) -> DataFrame:
     rows = functions_of(contexts).select("doc_id", "name", "addr", "size", F.greatest(F.size("callers"), F.lit(0)).alias("caller_count"), F.greatest(F.size("callees"), F.lit(0)).alias("callee_count"))
     return rows.join(candidates(contexts), ["doc_id", "addr"])
@@ -160,10 +168,23 @@ def candidate_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return edges.join(left, ["doc_id", "caller_addr"], "left").join(right, ["doc_id", "callee_addr"], "left").where("l OR r").drop("l", "r")
 
 
-def call_edges(edges: DataFrame, per_function: int = 32) -> DataFrame:
-    """Distinct caller and callee pairs, at most so many for a caller, in order of the callee's address."""
-    pairs = edges.select("doc_id", "caller_addr", "callee_addr").distinct()
-    return capped(pairs, ["doc_id", "caller_addr"], per_function, ["callee_addr"])
+def call_edges(calls: DataFrame, per_function: int = 32, visits: DataFrame | None = None) -> DataFrame:
+    """Distinct caller and callee pairs in order of discovery, at most so many for each visit of a caller.
+
+    calls: doc_id, caller_addr, callee_addr and, where the order of a function's calls is known, `site` (else its callees come by
+    address). visits: doc_id and addr, a row for each candidate address that lies in the function that starts at addr: a function that is
+    taken up again goes on where its cap ended, so n visits keep the first n times as many edges. Without it a function is visited once.
+    """
+    site = F.col("site") if "site" in calls.columns else F.col("callee_addr")
+    pairs = calls.groupBy("doc_id", "caller_addr", "callee_addr").agg(F.min(site).alias("site"))
+    out = pairs.columns if "site" in calls.columns else pairs.columns[:-1]
+    if visits is None:
+        return capped(pairs, ["doc_id", "caller_addr"], per_function, ["site", "callee_addr"]).select(out)
+    times = visits.groupBy("doc_id", F.col("addr").alias("caller_addr")).agg(F.count("*").alias("visits_"))
+    met = pairs.join(times, ["doc_id", "caller_addr"])
+    once = capped(met.where("visits_ = 1"), ["doc_id", "caller_addr"], per_function, ["site", "callee_addr"])
+    again = met.where("visits_ > 1").withColumn("rank_", F.row_number().over(Window.partitionBy("doc_id", "caller_addr").orderBy("site", "callee_addr")))
+    return once.select(out).unionByName(again.where(F.col("rank_") <= per_function * F.col("visits_")).select(out))
 
 
 def call_counts(edges: DataFrame) -> DataFrame:
@@ -183,14 +204,27 @@ def resolved_symbols(wanted: DataFrame, names: DataFrame, shortest: int = 3) ->
     return best
 
 
-def functions_at(addresses: DataFrame, functions: DataFrame, width: int = 4096) -> DataFrame:
-    """Each address with the function that contains it (start <= ea < stop), by cells of the address space.
+#: Cells that hold ranges are 2^0, 2^2, 2^4 ... addresses wide.
+CELL_BITS, ADDRESS_BITS = 2, 64
+
+
+def functions_at(addresses: DataFrame, functions: DataFrame) -> DataFrame:
+    """Each address with every function that contains it (start <= ea < stop).
 
-    addresses: doc_id, ea; functions: doc_id, name, start, stop.
+    addresses: doc_id, ea; functions: doc_id, name, start, stop. A range lies in the one or two cells of the smallest width that is no
+    smaller than its own, whatever its length, so it adds two rows at most. An address looks into its cell of each width that ranges
+    have; those are 32 at most and the one thing that the driver gets.
     """
-    cells = functions.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
-    here = addresses.withColumn("cell", F.floor(F.col("ea") / width))
-    return here.join(cells, ["doc_id", "cell"]).where("start <= ea AND ea < stop").drop("cell")
+    sizes = F.col("stop") - F.col("start")
+    width = F.when(sizes <= 1, 0)
+    for k in range(1, ADDRESS_BITS // CELL_BITS):
+        width = width.when(sizes <= F.lit(1 << min(CELL_BITS * k, 62)), k)
+    placed = functions.where("start < stop").withColumn("width", F.coalesce(width, F.lit(ADDRESS_BITS // CELL_BITS - 1)))
+    cell = lambda x: F.expr(f"shiftright({x}, CAST({CELL_BITS} * width AS INT))")
+    cells = placed.withColumn("cell", F.explode(F.array_distinct(F.array(cell("start"), cell("stop - 1")))))
+    widths = sorted(r[0] for r in placed.select("width").distinct().collect())
+    here = addresses.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("cell", cell("ea"))
+    return here.join(cells, ["doc_id", "width", "cell"]).where("start <= ea AND ea < stop").drop("width", "cell")
 
 
 def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:
@@ -202,12 +236,26 @@ def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:
     return references.join(known, ["doc_id", "target"], "left").withColumn("is_string", F.coalesce("known", F.lit(False))).drop("known")
 
 
+def segments_of(contexts: DataFrame) -> DataFrame:
+    """doc_id, pos, name, start, end, size and perm of the segments that `binary`, a JSON object, names."""
+    rows = contexts.select("doc_id", F.from_json("binary", "segments array<struct<name:string,start:string,end:string,size:bigint,perm:bigint>>")["segments"].alias("all"))
+    return rows.select("doc_id", F.posexplode("all").alias("pos", "s")).select("doc_id", "pos", "s.*")
+
+
+def imports_of(contexts: DataFrame) -> DataFrame:
+    """doc_id, pos, module, name, ordinal and addr of the imports table; an import without a name is called by its ordinal."""
+    rows = contexts.select("doc_id", F.posexplode("imports").alias("pos", "i")).select("doc_id", "pos", "i.*")
+    return rows.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("ord_"), F.col("ordinal").cast("string"))))
+
+
+def exports_of(contexts: DataFrame) -> DataFrame:
+    return contexts.select("doc_id", F.explode("exports").alias("e")).select("doc_id", "e.*")
+
+
 def stage_counts(contexts: DataFrame) -> DataFrame:
-    """doc_id and how many functions, strings, imports (distinct names) and call-graph edges a context holds."""
-    count = lambda items: F.greatest(F.size(items), F.lit(0)).cast("long")
-    named = F.array_distinct(F.flatten(F.transform("functions", lambda f: F.transform(F.coalesce(f["import_refs"], F.array()), lambda r: r["name"]))))
-    called = F.flatten(F.transform("functions", lambda f: F.transform(F.coalesce(f["callees"], F.array()), lambda c: F.struct(f["addr"].alias("caller"), c["function_addr"].alias("callee")))))
-    return contexts.select("doc_id", count("functions").alias("functions"), count("strings").alias("strings"), count(named).alias("imports"), count(F.array_distinct(called)).alias("callgraph_edges"))
+    """doc_id and how many imports, exports, names, strings, functions and call-graph edges a context's tables hold."""
+    tables = {"imports": "imports", "exports": "exports", "names": "names", "strings": "strings", "functions": "functions", "callgraph_edges": "callgraph_edges"}
+    return contexts.select("doc_id", *(F.greatest(F.size(column), F.lit(0)).cast("long").alias(name) for name, column in tables.items()))
 
 
 def summary(contexts: DataFrame) -> DataFrame:

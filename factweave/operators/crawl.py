@@ -5,13 +5,15 @@ Pages are (url, html); nothing is fetched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators.frontend import attribute, has
 from factweave.operators.htmlevents import html_events
+from factweave.operators.ranking import numbered
+from factweave.session import shared_folder
 
 #: Order in which a page's links are listed.
 LINK_ORDER = ["a", "frame", "iframe", "script", "link"]
@@ -94,22 +96,58 @@ def counts(pages: DataFrame) -> DataFrame:
     return rows.agg(*(F.count_if(F.col("kind") == x).alias(x) for x in ("pages", "endpoints", "forms")))
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 10, max_pages: int | None = None) -> DataFrame:
-    """url and depth of every page that links lead to. edges: url, link; start: url.
+def visits(edges: DataFrame, start: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """url, depth and visit_no (from 0) of every page that links lead to, in the order in which a queue takes them.
 
-    Each round joins the pages found last with the links and takes away those known; rounds end when none is new, or with
-    the round that reaches max_pages, of which the nearest, in the order of their addresses, are returned.
+    edges: url, pos (order of a page's links), link; start: url, pos. A page is taken once, where it first stands in the queue: behind
+    the pages of smaller depth, by the visit of the page that named it first and the place of the link there. The queue ends when it
+    is empty or `max_pages` are taken, whether or not a page has links.
+
+    A round is one depth: the pages taken last are joined with their links, each new page keeps its first place, and places become
+    numbers by ranges (ranking.numbered). Rounds are appended to a folder and never written again; the driver gets a count of each.
     """
-    known = start.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = known
-    for depth in range(1, max_depth + 1):
-        frontier = frontier.join(edges, "url").select(F.col("link").alias("url")).distinct().join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            break
-        known = known.unionByName(frontier).checkpoint()
-        if max_pages is not None and known.count() >= max_pages:
+    spark = edges.sparkSession
+    folder, taken, depth = shared_folder(spark), 0, 0
+    found = start.groupBy("url").agg(F.min(F.struct(F.lit(0).cast("long").alias("by"), F.col("pos").cast("long").alias("pos"))).alias("place"))
+    while True:
+        ranked = numbered(found, ["place"], "visit_no")
+        ranked.select("url", F.lit(depth).alias("depth"), (F.col("visit_no") + taken).alias("visit_no")).write.parquet(f"{folder}/depth={depth}")
+        last = spark.read.parquet(f"{folder}/depth={depth}")
+        fresh = last.count()
+        taken += fresh
+        if not fresh or max_pages is not None and taken >= max_pages:
             break
-    return known if max_pages is None else known.orderBy("depth", "url").limit(max_pages)
+        known = spark.read.schema("url " + edges.schema["url"].dataType.simpleString()).parquet(*(f"{folder}/depth={k}" for k in range(depth + 1)))
+        named = last.join(edges, "url").groupBy(F.col("link").alias("url")).agg(F.min(F.struct(F.col("visit_no").alias("by"), F.col("pos").cast("long").alias("pos"))).alias("place"))
+        found = named.join(known, "url", "left_anti")
+        depth += 1
+    whole = spark.read.parquet(*(f"{folder}/depth={k}" for k in range(depth + 1))).select("url", "depth", "visit_no")
+    return whole if max_pages is None else whole.where(F.col("visit_no") < max_pages)
+
+
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """url and depth of every page that links lead to, or of those within `max_depth` links. edges: url, link and, if max_pages is
+    given, pos; start: url.
+
+    Each round joins the pages found last with the links and takes away those known; rounds end when none is new. With max_pages
+    the pages are those that a queue takes first (visits()); start pages and links without a place come in the order of addresses.
+    """
+    if max_pages is not None:
+        placed = edges if "pos" in edges.columns else edges.distinct().withColumn("pos", F.row_number().over(Window.partitionBy("url").orderBy("link")))
+        first = start if "pos" in start.columns else numbered(start.select("url").distinct(), ["url"], "pos")
+        found = visits(placed, first, max_pages)
+        return (found if max_depth is None else found.where(F.col("depth") <= max_depth)).select("url", "depth")
+    spark = edges.sparkSession
+    folder, depth = shared_folder(spark), 0
+    found = start.select("url").distinct()
+    while True:
+        found.withColumn("depth", F.lit(depth)).write.parquet(f"{folder}/depth={depth}")
+        last = spark.read.parquet(f"{folder}/depth={depth}")
+        whole = spark.read.parquet(*(f"{folder}/depth={k}" for k in range(depth + 1))).select("url", "depth")
+        if depth == max_depth or last.isEmpty():
+            return whole
+        found = last.join(edges, "url").select(F.col("link").alias("url")).distinct().join(whole.select("url"), "url", "left_anti")
+        depth += 1
 
 
 def report(pages: DataFrame, top: int = 20) -> DataFrame:

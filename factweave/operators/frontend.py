@@ -57,7 +57,7 @@ def has(name: str) -> Column:
 
 def rendered(tag: Column, names: list[str]) -> Column:
     """A tag with some of its attributes, as evidence."""
-    shown = [F.when(F.try_element_at("attrs", F.lit(n)) == BARE, F.lit(n)).when(has(n), F.concat(F.lit(f"{n}='"), F.try_element_at("attrs", F.lit(n)), F.lit("'"))) for n in names]
+    shown = [F.when(F.try_element_at("attrs", F.lit(n)) == BARE, F.lit(n)).when(has(n), F.concat(F.lit(f"{n}="), C.quoted(F.try_element_at("attrs", F.lit(n))))) for n in names]
     return F.concat(F.lit("<"), F.concat_ws(" ", tag, *shown), F.lit(">"))
 
 
@@ -150,7 +150,7 @@ def constraints(sources: DataFrame, events: DataFrame | None = None) -> DataFram
     """source_file, param, kind, value: what form markup demands of its fields."""
     events = html_events(sources) if events is None else events
     fields = events.where("kind = 'field'").withColumn("name", _name()).where("name <> ''")
-    hidden = (F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower("name"), ["token", "csrf", "nonce"])
+    hidden = (F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower("name"), V.SECRET_WORDS)
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     known = [F.when(F.coalesce(attribute(a), F.lit("")) != "", pair(k, attribute(a))) for a, k in (("maxlength", "max_length"), ("minlength", "min_length"), ("min", "min"), ("max", "max"), ("pattern", "regex"))]
     known += [F.when(has(a), pair(a, F.lit("true"))) for a in ("required", "disabled", "readonly")] + [F.when(hidden, pair("security_token", F.lit("hidden_input")))]
@@ -172,7 +172,7 @@ def hints(sources: DataFrame, words: dict[str, str], events: DataFrame | None =
     event = lambda frame, text, source, confidence, evidence: frame.select("source_file", text.alias("value"), source.alias("source"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"), _seq(0, "pos").alias("seq"))
     refs = events.where("kind = 'ref' AND text <> '' AND NOT startswith(text, '#')")
     fields = events.where("kind = 'field'").withColumn("name", _name()).where("name <> ''").withColumn("shown", rendered(F.col("tag"), FIELD_KEYS))
-    secret = fields.where((F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower("name"), ["token", "csrf", "nonce"]))
+    secret = fields.where((F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower("name"), V.SECRET_WORDS))
     calls = script_calls(sources).where(C.looks_like_route(F.col("url")))
     rows = [
         event(refs, F.col("text"), F.concat_ws(":", "tag", "text"), "medium", F.col("text")),
@@ -219,6 +219,22 @@ def references(sources: DataFrame, events: DataFrame | None = None) -> DataFrame
     return own.unionAll(mined).unionAll(literal).distinct()
 
 
+def form_facts(sources: DataFrame, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What markup alone gives: routes of forms and links, constraints of fields, and interface texts."""
+    events = html_events(sources) if events is None else events
+    rows = _route_rows(events)
+    fused = merge_evidence(rows, ["source_file", "url", "method"], known=("ui_context",), sources="source", confidence="confidence", cap=10)
+    return {"routes": fused, "constraints": constraints(sources, events), "ui_context": ui_context(sources, events)}
+
+
+def script_hints(sources: DataFrame, words: dict[str, str]) -> DataFrame:
+    """source_file, kind, value, source and confidence of addresses in script text that speak of the given keywords."""
+    calls = script_calls(sources).where(C.looks_like_route(F.col("url"))).withColumn("kind_", C.keyword_kind(F.col("url"), words)).where("kind_ IS NOT NULL")
+    mined = F.col("kind") == "object"
+    rows = calls.select("source_file", F.col("kind_").alias("kind"), F.col("url").alias("value"), F.when(mined, "js_object_route_miner").otherwise("js_api_parser").alias("source"), F.when(mined, "medium").otherwise("high").alias("confidence"), "evidence", _seq(2, "rule_no", "match_no").alias("seq"))
+    return merge_evidence(rows, ["source_file", "kind", "value", "source"], confidence="confidence", cap=10)
+
+
 def facts(sources: DataFrame, events: DataFrame | None = None) -> dict[str, DataFrame]:
     """All fact tables of pages, each fused for its page. events: html_events(sources), if the caller has written them."""
     events = html_events(sources) if events is None else events

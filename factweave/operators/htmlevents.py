@@ -6,6 +6,8 @@ form_action and title (the title so far).
 
 kinds: form, field (input, textarea), select (at its end), ref (a, iframe, frame, script, link), meta, text (of the tag that
 captured it), and one title at the end, with the whole title. In a text, the latest capturing tag replaces one still open.
+A document that the parser can't take (it raises on some malformed declarations) has a single event of kind error, whose text
+says why; all others are not touched by it.
 """
 
 from __future__ import annotations
@@ -94,6 +96,22 @@ class Events(HTMLParser):
             self.option["text"] += " " + data
 
 
+def events_of(source_file: str | None, content: str) -> list[tuple]:
+    page = Events(source_file)
+    try:
+        page.feed(content)
+        page.close()
+    except Exception as error:  # whatever it is, it is this document's
+        return [(source_file, 0, "error", "error", [], f"{type(error).__name__}: {error}", None, None, None, None)]
+    page.emit("title", "title", {}, page.titled())
+    return page.rows
+
+
+def parse_warnings(events: DataFrame) -> DataFrame:
+    """source_file and message of the documents that could not be parsed."""
+    return events.where("kind = 'error'").select("source_file", F.col("text").alias("message"))
+
+
 def html_events(sources: DataFrame) -> DataFrame:
     """Event rows of every source (source_file, content)."""
 
@@ -104,11 +122,7 @@ def html_events(sources: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for source_file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Events(source_file)
-                page.feed(content or "")
-                page.close()
-                page.emit("title", "title", {}, page.titled())
-                rows += page.rows
+                rows += events_of(source_file, content or "")
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_pylist([as_dict(r) for r in rows], arrow)
                     rows = []

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
 
+#: Texts that are looked for before a rule is tried; more cost as much as the rule.
+MOST_TEXTS = 12
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -25,12 +30,51 @@ class Rule:
         return f"(?U{'iu' * self.nocase}{'s' * self.dotall})" + self.pattern
 
 
-def every_match(text: Column, rules: list[Rule], fields: list[str]) -> Column:
-    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule; groups that took no part are null.
+def needed(pattern: str) -> list[str] | None:
+    """Texts, in lower case, of which one at least stands in whatever the pattern matches; null if there are none to name.
 
-    A text is searched once for each rule; groups are read from what matched.
+    Read from the pattern's parts: of what must all be there, the choice with the longest shortest text.
     """
 
+    def of(parts: list) -> set[str] | None:
+        choices, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            if str(kind) == "LITERAL":
+                run += chr(value)
+                continue
+            if run:
+                choices.append({run.lower()})
+            run = ""
+            if str(kind) == "SUBPATTERN":
+                choices.append(of(value[3]))
+            elif str(kind) == "BRANCH":
+                branches = [of(branch) for branch in value[1]]
+                choices.append(set().union(*branches) if all(branches) else None)
+            elif str(kind) in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                choices.append(of(value[2]))
+        return max((c for c in choices if c), key=lambda c: (min(map(len, c)), -len(c)), default=None)
+
+    try:
+        found = of(list(re._parser.parse(pattern)))
+    except re.error:  # what only the session's engine reads
+        return None
+    found = {x for x in found or () if not any(y != x and y in x for y in found)}
+    return sorted(found) if 0 < len(found) <= MOST_TEXTS else None
+
+
+def might_match(low: Column, text: Column, rule: Rule) -> Column | None:
+    """Whether a text, whose lower case is `low`, holds what the rule needs; other letters than ASCII may fold into it, so texts that have
+    such are always searched. Null: no way to tell."""
+    texts = needed(rule.pattern)
+    if texts is None:
+        return None
+    plain = F.octet_length(text) == F.length(text)
+    return ~plain | reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in texts))
+
+
+def _matches(text: Column, rules: list[Rule], fields: list[str], low: Column | None, every: bool) -> Column:
+    low = F.lower(text) if low is None else low
+
     def of(number: int, rule: Rule) -> Column:
         pattern = F.lit(rule.java)
 
@@ -38,14 +82,26 @@ def every_match(text: Column, rules: list[Rule], fields: list[str]) -> Column:
             value = lambda f: F.nullif(F.regexp_extract(matched, rule.java, rule.fields[f]), F.lit("")) if f in rule.fields else F.lit(None).cast("string")
             return F.struct(F.lit(rule.kind).alias("kind"), F.lit(number).alias("rule_no"), i.alias("match_no"), matched.alias("matched"), *(value(f).alias(f) for f in fields))
 
-        return F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), row)
+        found = F.regexp_extract_all(text, pattern, F.lit(0)) if every else F.array_compact(F.array(F.regexp_substr(text, pattern)))
+        likely = might_match(low, text, rule)
+        return F.transform(found if likely is None else F.when(likely, found).otherwise(F.array().cast("array<string>")), row)
 
     return F.flatten(F.array(*(of(k, r) for k, r in enumerate(rules))))
 
 
-def first_match(text: Column, rules: list[Rule], fields: list[str]) -> Column:
-    """The same with the first match of each rule only."""
-    return F.filter(every_match(text, rules, fields), lambda m: m["match_no"] == 0)
+def every_match(text: Column, rules: list[Rule], fields: list[str], low: Column | None = None) -> Column:
+    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule; groups that took no part, or matched empty
+    text, are null.
+
+    A text is searched for a rule only where it holds a text that the rule needs, and once; groups are read from what matched. low: the
+    text in lower case, if there is a column of it.
+    """
+    return _matches(text, rules, fields, low, True)
+
+
+def first_match(text: Column, rules: list[Rule], fields: list[str], low: Column | None = None) -> Column:
+    """The same with the first match of each rule only; the search ends there."""
+    return _matches(text, rules, fields, low, False)
 
 
 def source_lines(sources: DataFrame) -> DataFrame:
@@ -56,5 +112,5 @@ def source_lines(sources: DataFrame) -> DataFrame:
 
 def matches(rows: DataFrame, text: str, rules: list[Rule], fields: list[str], *, every: bool = True) -> DataFrame:
     """A row for each match, with the columns of `rows`. Each row's text is read once for all rules."""
-    found = (every_match if every else first_match)(F.col(text), rules, fields)
-    return rows.withColumn("m", F.explode(found)).select(*rows.columns, "m.*")
+    found = (every_match if every else first_match)(F.col(text), rules, fields, F.col("low_"))
+    return rows.withColumn("low_", F.lower(text)).withColumn("m", F.explode(found)).select(*rows.columns, "m.*")

@@ -6,9 +6,7 @@ Tokens of command lines come from a small Arrow function, for those lines only t
 
 from __future__ import annotations
 
-import shlex
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +82,7 @@ def config_lines(sources: DataFrame) -> DataFrame:
 
 def with_argv(lines: DataFrame) -> DataFrame:
     """`argv`, the shell tokens of each line; unbalanced quotes leave words."""
-
-    @F.pandas_udf("array<string>")
-    def shell(text: pd.Series) -> pd.Series:
-        def tokens(line: str) -> list[str]:
-            try:
-                return shlex.split(line, comments=False, posix=True)
-            except ValueError:
-                return line.split()
-
-        return text.map(tokens)
-
-    plain = F.filter(F.split(F.col("line"), r"(?U)\s+"), lambda x: x != "")
-    return lines.withColumn("argv", F.when(F.col("line").rlike(r"""["'\\]"""), shell(F.coalesce("line", F.lit("")))).otherwise(plain))
+    return lines.withColumn("argv", C.shell_tokens(F.col("line")))
 
 
 def _evidence(pattern: Column) -> Column:

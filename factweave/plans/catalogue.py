@@ -127,15 +127,15 @@ def endpoint_report_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "W8 J12 D9",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS url, o_orderkey % (SELECT count(*) FROM customer) AS link FROM orders), r(url, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT e.link, r.depth + 1 FROM r JOIN e ON r.url = e.url WHERE r.depth < 4)
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS url, o_orderkey % (SELECT count(*) FROM customer) AS link FROM orders), r(url, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT e.link, r.depth + 1 FROM r JOIN e ON r.url = e.url WHERE r.depth < 30)
 SELECT url, min(depth) AS depth FROM r GROUP BY url""",
 )
 def crawl_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages reachable within four links from every hundredth one, over the graph of orders; the frontier is joined, known pages are taken away."""
+    """Pages reachable from every hundredth one, over the graph of orders; the frontier is joined, known pages are taken away."""
     ensure_checkpoints(spark)
     customers = table(spark, sf_dir, "customer")
     edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), (F.col("o_orderkey") % customers.count()).alias("link")).distinct()
-    return crawl.reachable(edges, customers.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("url")), 4)
+    return crawl.reachable(edges, customers.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("url")))
 
 
 @query("A19", "SELECT count(*) AS pages, count(*) + count(DISTINCT c_custkey % 15) AS endpoints, count(*) AS forms FROM customer")
@@ -506,10 +506,13 @@ def bin_hint_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.summary(corpora.contexts(spark, sf_dir)).select("doc_id", *(F.try_element_at(categories, F.lit(c)).alias(c) for c in ("auth", "state", "response")), "references", "strings")
 
 
-@contexts_query("A16", "SELECT doc_id, count(*) AS functions, count(DISTINCT p) AS strings, count(DISTINCT n % 4) AS imports, count(DISTINCT addr) AS callgraph_edges FROM f GROUP BY doc_id")
+@contexts_query(
+    "A16 D8",
+    """SELECT doc_id, count(DISTINCT n) AS imports, count(*) FILTER (p % 4 = 0) AS exports, count(*) AS names, count(DISTINCT p) AS strings, count(*) AS functions, count(DISTINCT (addr, p % 7)) AS callgraph_edges FROM f GROUP BY doc_id""",
+)
 def bin_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an exported context holds, before any fact is drawn from it; line items that share an address make one edge."""
-    return binary.stage_counts(corpora.contexts(spark, sf_dir))
+    """What the tables of an exported context hold, before any fact is drawn from them."""
+    return binary.stage_counts(corpora.context_tables(spark, sf_dir))
 
 
 @contexts_query("O7", "SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (SELECT DISTINCT doc_id, p FROM f)) WHERE r <= 50 AND p % 5 < 4")
@@ -571,7 +574,7 @@ def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses derived from order prices and the functions, derived from parts, that contain them."""
     functions = table(spark, sf_dir, "part").where("p_size > 0").selectExpr("0 AS doc_id", "p_partkey AS name", "p_partkey * 100 AS start", "p_partkey * 100 + p_size AS stop")
     addresses = table(spark, sf_dir, "orders").selectExpr("0 AS doc_id", "o_orderkey AS ea_key", "CAST(round(o_totalprice) AS BIGINT) AS ea")
-    return binary.functions_at(addresses, functions, 1024).select("ea_key", "name")
+    return binary.functions_at(addresses, functions).select("ea_key", "name")
 
 
 @query("T22 O3", "SELECT l_orderkey, l_linenumber, '0x' || lower(hex(l_orderkey * 8 + l_linenumber)) AS addr, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS number FROM lineitem")

@@ -68,6 +68,37 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.join(strings, "d").select(F.col("d").alias("doc_id"), "functions", "strings")
 
 
+def context_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a binary context for each supplier: an import for each line number, an export for every fourth part, a name and a
+    function for each line item, a string for each part, and an edge from each function to a part modulo 7."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("p"), F.col("l_linenumber").cast("long").alias("n"), F.expr("'0x' || lower(hex(l_orderkey * 8 + l_linenumber))").alias("addr"))
+    each = lambda kept, **fields: F.collect_list(F.when(kept, F.struct(*(F.expr(x).alias(k) for k, x in fields.items()))))
+    once = lambda **fields: F.collect_set(F.struct(*(F.expr(x).alias(k) for k, x in fields.items())))
+    return rows.groupBy("doc_id").agg(
+        once(module="'libc'", name="'api' || n", ordinal="n", addr="'i' || n").alias("imports"), each(F.col("p") % 4 == 0, index="n", ordinal="n", addr="addr", name="'out_' || p").alias("exports"),
+        each(F.lit(True), addr="addr", name="'sub_' || p").alias("names"), once(addr="'s' || p", value="'text' || p").alias("strings"), each(F.lit(True), addr="addr", name="'sub_' || p").alias("functions"),
+        once(caller_addr="addr", callee_addr="'c' || (p % 7)").alias("callgraph_edges"),
+    )
+
+
+def json_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input and content: a bundle of two source files for each part. Of fifty, one is cut off, one names another type, one has no list of
+    files, and two hold an entry without text."""
+    second = "CASE k % 50 WHEN 37 THEN '{\"source_file\": \"x.c\"}' WHEN 47 THEN '5' ELSE '{\"source_file\": \"n' || k || '.c\", \"content\": \"nvram_commit();\"}' END"
+    files = f"'[{{\"source_file\": \"m' || k || '.c\", \"content\": \"system(cmd' || (k % 9) || ');\\\\nreboot();\"}}, ' || {second} || ']'"
+    whole = f"'{{\"version\": \"1.0\", \"input_type\": \"' || IF(k % 50 = 17, 'web_frontend_sources', 'web_backend_sources') || '\", \"files\": ' || IF(k % 50 = 27, '{{}}', {files}) || '}}'"
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k")
+    return rows.select(F.expr("'b' || k || '.json'").alias("input"), F.expr(f"IF(k % 50 = 7, left({whole}, 70), {whole})").alias("content"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, pos and link: each customer k links back to k DIV 3, then to 3k + 1, 3k + 2, 3k + 3 and 3k + 1 again, then to a page that the one
+    before it links to; so a queue that starts at 0 takes the customers by their keys."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS url")
+    links = rows.select("url", F.posexplode(F.expr("array(url DIV 3, 3 * url + 1, 3 * url + 2, 3 * url + 3, 3 * url + 1, greatest(3 * url - 2, 0))")).alias("pos", "link"))
+    return links.join(rows.select(F.col("url").alias("link")), "link", "left_semi")
+
+
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id (supplier), caller_addr (part), callee_addr (order modulo 1000): one call for each line item."""
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("caller_addr"), (F.col("l_orderkey") % 1000).alias("callee_addr"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows read from files, for work that is long for each row: over all cores where the files give fewer partitions."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

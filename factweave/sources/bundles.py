@@ -39,11 +39,11 @@ def sources_of(bundles: DataFrame, kind: str, pages: DataFrame | None = None) ->
     """bundle_id, source_file and content of the files of bundles.
 
     kind: "frontend", "config" or "backend". Content given in the bundle wins; a file without any is looked up among `pages`
-    by its path. A configuration bundle must name its type or none; its null contents are skipped.
+    by its path. A configuration bundle must name its type or none, else it gives no rows (warnings_of() names it) and costs no other
+    its own; its null contents are skipped.
     """
     if kind == "config":
-        wanted = F.col("input_type").isNull() | (F.col("input_type") == INPUT_TYPES["config"])
-        bundles = bundles.where(F.when(wanted, True).otherwise(F.raise_error(F.concat(F.lit("not a configuration bundle: "), "input_type"))))
+        bundles = bundles.where(F.col("input_type").isNull() | (F.col("input_type") == INPUT_TYPES["config"]))
     files = bundles.select("bundle_id", F.explode("files").alias("f")).select("bundle_id", F.coalesce("f.source_file", "f.path", F.lit("<inline>")).alias("source_file"), F.col("f.path").alias("path"), F.col("f.content").alias("content"))
     if pages is not None:
         found = pages.select(F.col("source_file").alias("path"), F.col("content").alias("read"))
@@ -121,6 +121,18 @@ def needs_login(status: Column) -> Column:
     return status.isin(401, 403)
 
 
+def probe_results(answers: DataFrame) -> DataFrame:
+    """Recorded answers to safe requests with `auth_required` and, where the page came from elsewhere, redirect_target.
+
+    answers: url, method, status_code (0 or null: none came), final_url and response_length. Methods other than GET and HEAD have no row.
+    """
+    rows = answers.withColumn("method", F.upper("method")).where(F.col("method").isin("GET", "HEAD")).withColumn("status_code", F.coalesce("status_code", F.lit(0)))
+    answered = F.col("status_code").between(1, 399)
+    return rows.select(
+        "url", "method", "status_code", F.when(answered & (F.col("final_url") != F.col("url")), F.col("final_url")).alias("redirect_target"), F.when(answered, F.coalesce("response_length", F.lit(0))).otherwise(0).alias("response_length"), needs_login(F.col("status_code")).alias("auth_required")
+    )
+
+
 def status_summary(status: DataFrame) -> DataFrame:
     """total, ok and non_ok of status rows."""
     return status.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(~F.coalesce(F.col("status") == "ok", F.lit(False))).alias("non_ok"))

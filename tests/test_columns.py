@@ -79,3 +79,43 @@ def test_options(spark):
 
 def test_snapshot_names(spark):
     assert evaluated(spark, C.snapshot_name, "http://h/a b?c=1") == ["http_h__a_b_c_1_" + hashlib.sha1(b"http://h/a b?c=1").hexdigest()[:10] + ".html"]
+
+
+def test_shell_tokens_and_quoting_equal_those_of_python(spark):
+    import random
+    import shlex
+
+    rng = random.Random(12)
+    lines = ["", " ", "a", "''", '""', "a''b", "\\", "'", '"\\"', "a\\ b", '"a\\b\\"c\\\\"', "x\x0by\u00a0z w", "tab\tcr\rnl\nend"] + ["".join(rng.choice("ab '\"\\\t=é") for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+
+    def plain(line):
+        try:
+            return shlex.split(line, comments=False, posix=True)
+        except ValueError:
+            return line.split()
+
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    for r in rows.select("line", C.shell_tokens(F.col("line")).alias("words"), C.quoted(F.col("line")).alias("shown")).collect():
+        assert r.words == plain(r.line), r.line
+        assert r.shown == repr(r.line)
+
+
+def test_needed_texts_never_hide_a_match(spark):
+    import random
+
+    from factweave.operators import backend, binary, frontend, rules, serverconfig
+
+    assert rules.needed(r"\b(?:open|fopen)\s*\(") == ["open"] and rules.needed(r"(?:ab)?c*") is None and rules.needed(r"x(?:foo|barbar)[0-9]+") == ["barbar", "foo"]
+    rng = random.Random(5)
+    words = ["websGetVar(wp, \"a\", b)", "strlen(x) > 3", "nvram_set(\"k\", v)", "Listen 80", "LOCATION /x {", "alias /y;", "$.post('/a.cgi', 'b=1')", "location.href='/c.asp'", "\u212a", "\u017f", "ſystem(x)", "system(y)", "fetch('/z.cgi')", "if (n == 3)", "\"/goform/q\"", "Require valid", "{{a}}", "é"]
+    lines = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))),) for _ in range(150)], "line string")
+    lists = [v for m in (backend, frontend, serverconfig, binary) for v in vars(m).values() if isinstance(v, list) and v and isinstance(v[0], rules.Rule)]
+    assert len(lists) > 15
+    for own in lists:
+        fields = sorted({f for r in own for f in r.fields})
+        with_all = [rules.every_match(F.col("line"), own, fields).alias("a"), rules.first_match(F.col("line"), own, fields).alias("b")]
+        kept, rules.MOST_TEXTS = rules.MOST_TEXTS, 0
+        without = [rules.every_match(F.col("line"), own, fields).alias("c"), F.filter(rules.every_match(F.col("line"), own, fields), lambda m: m["match_no"] == 0).alias("d")]
+        rules.MOST_TEXTS = kept
+        for r in lines.select("line", *with_all, *without).collect():
+            assert r.a == r.c and r.b == r.d, r.line

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from factweave.plans import catalogue, shapes  # noqa: F401 (shapes adds its queries to the catalogue)
+from factweave.plans import catalogue, intake, shapes  # noqa: F401 (intake and shapes add their queries to the catalogue)
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
