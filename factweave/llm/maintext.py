@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 #: Attributes up to the end of a tag; without an end, or with a quote left open, nothing is tried twice.
 REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+MARK = re.compile("""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -56,13 +58,16 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "place", "in_link", "in_text", "controls", "kept")
+    __slots__ = ("tag", "parent", "dropped", "points", "chars", "linked", "place", "in_link", "in_text", "controls", "kept", "block", "container")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, place: int):
         self.tag, self.parent, self.dropped, self.place = tag, parent, dropped, place
         self.points, self.chars, self.linked, self.controls, self.kept = 0.0, 0, 0, 0, False
         self.in_link = tag == "a" or parent is not None and parent.in_link
         self.in_text = tag in ("article", "main") or parent is not None and parent.in_text
+        #: The nearest element, from this one up, that is no inline element; and the nearest that is no paragraph or the like.
+        self.block: Node = self if parent is None or tag not in INLINE else parent.block
+        self.container: Node = self if parent is None or tag not in PARAGRAPHS else parent.container
 
     def up(self) -> Iterator[Node]:
         at: Node | None = self
@@ -99,11 +104,33 @@ def _furniture(tag: str, attributes: str, in_text: bool, by_name: bool) -> bool:
     return by_name and _named_furniture(names)
 
 
+class TagEnds:
+    """Where tags end, for pages in which a quote is left open. All ends are found once, from the last mark back."""
+
+    def __init__(self, page: str):
+        self.marks = [m.start() for m in MARK.finditer(page)]
+        self.ends = [0] * (len(self.marks) + 1)
+        following = {'"': len(self.marks), "'": len(self.marks)}
+        for k in range(len(self.marks) - 1, -1, -1):
+            mark = page[self.marks[k]]
+            if mark == ">":
+                self.ends[k] = self.marks[k] + 1
+            else:
+                self.ends[k] = self.ends[min(following[mark] + 1, len(self.marks))]
+                following[mark] = k
+
+    def after(self, at: int) -> int:
+        """The end of a tag from a place behind its name; 0 if there is none."""
+        return self.ends[bisect_left(self.marks, at)]
+
+
 def read_page(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[Node, int, str]]]:
     """The elements, parents first, and the texts outside dropped elements as (element, number of the block, text)."""
     root = Node("html", None, False, 0)
     nodes, stack, texts = [root], [root], []
-    opened: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack the elements of a tag are
+    blocks = [0]  # where those are that are no inline elements
+    ends: TagEnds | None = None
     block, at, shown = 0, 0, 0
     size, last_end = len(page), page.rfind(">")
 
@@ -111,8 +138,14 @@ def read_page(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[N
         nonlocal block
         for node in stack[depth:]:
             block += node.tag not in INLINE
-            opened[node.tag] -= 1
+            places[node.tag].pop()
         del stack[depth:]
+        while blocks[-1] >= depth:
+            blocks.pop()
+
+    def nearest(tags: set[str]) -> int:
+        """Where the latest open element of some tags is; 0 if there is none."""
+        return max((places[x][-1] for x in tags if places[x]), default=0)
 
     def show(to: int) -> None:
         if to > shown and not stack[-1].dropped:
@@ -130,25 +163,24 @@ def read_page(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[N
             continue
         name = NAME.match(page, begin + 1)
         if not name:  # a declaration, or a stray mark
-            end = page.find(">", begin)
-            if page[begin + 1] == "/" or end < 0:
+            end = -1 if page[begin + 1] == "/" else page.find(">", begin)
+            if end < 0:
                 at = begin + 1
             else:
                 show(begin)
                 at = shown = end + 1
             continue
-        rest = REST.match(page, name.end())
-        end = rest.end() if rest else page.find(">", name.end()) + 1
+        rest = REST.match(page, name.end()) if ends is None else None
+        if rest is None and ends is None:
+            ends = TagEnds(page)
+        end = rest.end() if rest else ends.after(name.end()) or page.find(">", name.end()) + 1
         attributes = page[name.end() : end - 1]
         show(begin)
         at = shown = end
         tag = name[2].lower()
         if name[1]:
-            if opened[tag]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        close_to(depth)
-                        break
+            if places[tag]:
+                close_to(places[tag][-1])
             continue
         if tag in CONTROLS:
             stack[-1].controls += 1
@@ -159,24 +191,18 @@ def read_page(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[N
         if tag == "html":
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at, last_end + 1)
             at = shown = end.end() if end else size
             continue
         if tag not in INLINE:
             block += 1
-            for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, and a head that was not closed
-                if stack[depth].tag == "p" or stack[depth].tag == "head" and tag not in VOID and tag not in DROPPED:
-                    close_to(depth)
-                    break
-                if stack[depth].tag not in INLINE:
-                    break
-        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in CLOSES[tag]:
-                    close_to(depth)
-                    if tag != "tr" or not any(opened[x] for x in CLOSES[tag]):
-                        break
-                elif depth < len(stack) and stack[depth].tag in BOUNDS[tag]:
+            open_block = stack[blocks[-1]].tag  # a block ends an open paragraph, and a head that was not closed
+            if open_block == "p" or open_block == "head" and tag not in VOID and tag not in DROPPED:
+                close_to(blocks[-1])
+        if tag in CLOSES:
+            while (depth := nearest(CLOSES[tag])) > nearest(BOUNDS[tag]):
+                close_to(depth)
+                if tag != "tr":
                     break
         if tag in VOID:
             continue
@@ -184,8 +210,10 @@ def read_page(page: str, by_name: bool = True) -> tuple[list[Node], list[tuple[N
         node = Node(tag, parent, parent.dropped or _furniture(tag, attributes, parent.in_text, by_name), len(nodes))
         nodes.append(node)
         if not attributes.rstrip().endswith("/") or tag not in INLINE | {"svg"}:
+            places[tag].append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     show(size)
     return nodes, texts
 
@@ -219,13 +247,11 @@ def _extract(page: str, by_name: bool) -> str:
             x.dropped = True
     runs = [(node, clean) for node, parts in runs if not node.dropped and (clean := " ".join("".join(parts).split()))]
     for node, text in runs:
-        while node.tag in INLINE:
-            node = node.parent
+        node = node.block
         if node.tag in HEADINGS:
             continue
         points = (1.0 if len(text) >= 25 else len(text) / 25) + text.count(",") + min(len(text) / 100, 3.0)
-        while node.tag in PARAGRAPHS and node.parent is not None:
-            node = node.parent
+        node = node.container
         node.points += points
         if node.parent is not None:
             node.parent.points += points / 2
