@@ -202,6 +202,12 @@ def test_overlaps_by_brute_force(monkeypatch):
         met += len(expected)
     assert met > 50
     began = time.time()
+    began = time.time()
+    same_word = decontaminate.Benchmark([*range(19), None], ["x " * 200] * 20)
+    assert same_word.pairs(pa.array(["x " * 30_000])).tolist() == [[0, k, 200, 200, 0, 0] for k in range(20)]
+    nearly = decontaminate.Benchmark([1], ["x " * 199 + "y"])
+    assert nearly.pairs(pa.array(["x " * 30_000])).tolist() == [[0, 0, 199, 199, 0, 0]]
+    assert time.time() - began < 30
     assert decontaminate.Benchmark([1], ["x " * 1000]).pairs(pa.array(["x " * 50_000])).tolist() == [[0, 0, 1000, 1000, 0, 0]]
     assert time.time() - began < 60
 
@@ -394,6 +400,8 @@ def test_main_text_of_odd_pages():
     for part in ("<a ", "<a '\">", "<!--", "</", "<!", "<li><div>", "<div>x", "<p>a<b>", "<tr><b>"):
         maintext.extract(part * 20_000)
     maintext.extract("<b>" * 20_000 + "<tr>" * 20_000)
+    for page in ("<b>" * 20_000 + "x<hr>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "</" * 200_000 + ">", "<a \"'>" * 40_000, "<blockquote>" * 20_000 + "x<hr>" * 20_000, "<ul><li><ul>" + "<b>" * 20_000 + "<li></li>" * 20_000):
+        maintext.extract(page)
     maintext.extract("<div>" * 20_000 + "x" + "</p>" * 20_000)
     assert time.time() - began < 60
 
