@@ -13,6 +13,7 @@ from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators.fuse import capped, first_wins
 from factweave.operators.rules import Rule, matches
+from factweave.session import stored
 
 CONTEXT = """
 binary string,
@@ -259,7 +260,9 @@ def stage_counts(contexts: DataFrame) -> DataFrame:
 
 
 def summary(contexts: DataFrame) -> DataFrame:
-    """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category."""
+    """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category. Contexts are read once and
+    written; the tables read what they need of them."""
+    contexts = stored(contexts)
     tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "response_strings": tagged(contexts, "response"), "strings": first_wins(strings_of(contexts).select("doc_id", "addr", F.col("pos").alias("seq")), ["doc_id", "addr"]), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "references": string_references(contexts), "functions": candidate_functions(contexts)}
     rows = None
     for name, table in tables.items():

@@ -6,14 +6,14 @@ facts are fused for the page: evidence of one fact is kept in order, at most ten
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators.fuse import merge_evidence
 from factweave.operators.htmlevents import BARE, html_events
-from factweave.operators.rules import Rule, matches
+from factweave.operators.rules import Rule, every_match, matches
 
 # The patterns that define these facts.
 Q = r"""['"]"""
@@ -75,10 +75,14 @@ def _seq(stage: int, *parts: Column | str) -> Column:
 
 
 def _route_rows(events: DataFrame) -> DataFrame:
-    form = events.where("kind = 'form' AND form_action IS NOT NULL").select("source_file", F.col("form_action").alias("url"), C.method_of(F.coalesce(attribute("method"), F.lit(""))).alias("method"), F.lit("html_form_parser").alias("source"), F.col("title").alias("ui_context"), F.lit("high").alias("confidence"), rendered(F.col("tag"), ["action", "method"]).alias("evidence"), _seq(0, "pos").alias("seq"))
-    link = events.where("kind = 'ref' AND tag = 'a' AND text <> '' AND NOT startswith(text, '#')").where(C.looks_like_route(F.col("text")))
-    link = link.select("source_file", F.col("text").alias("url"), F.lit("GET").alias("method"), F.lit("html_link_parser").alias("source"), F.col("title").alias("ui_context"), F.lit("medium").alias("confidence"), rendered(F.col("tag"), ["href"]).alias("evidence"), _seq(0, "pos").alias("seq"))
-    return form.unionByName(link)
+    """Routes of forms and links."""
+    form, link = F.expr("kind = 'form' AND form_action IS NOT NULL"), F.expr("kind = 'ref' AND tag = 'a' AND text <> '' AND NOT startswith(text, '#')") & C.looks_like_route(F.col("text"))
+    pick = lambda of_form, of_link: F.when(F.col("kind") == "form", of_form).otherwise(of_link)
+    return events.where(form | link).select(
+        "source_file", pick(F.col("form_action"), F.col("text")).alias("url"), pick(C.method_of(F.coalesce(attribute("method"), F.lit(""))), F.lit("GET")).alias("method"),
+        pick(F.lit("html_form_parser"), F.lit("html_link_parser")).alias("source"), F.col("title").alias("ui_context"), pick(F.lit("high"), F.lit("medium")).alias("confidence"),
+        pick(rendered(F.col("tag"), ["action", "method"]), rendered(F.col("tag"), ["href"])).alias("evidence"), _seq(0, "pos").alias("seq"),
+    )
 
 
 def script_calls(sources: DataFrame) -> DataFrame:
@@ -93,57 +97,106 @@ def script_calls(sources: DataFrame) -> DataFrame:
     return rows.select("source_file", "kind", url.alias("url"), C.method_of(F.coalesce(verb, F.lit(""))).alias("method"), data.alias("data"), C.collapse(F.col("matched")).alias("evidence"), "rule_no", "match_no").where("url IS NOT NULL")
 
 
-def _script_routes(sources: DataFrame) -> DataFrame:
-    calls = script_calls(sources).where(C.looks_like_route(F.col("url")))
-    mined = F.col("kind") == "object"
-    js = calls.select("source_file", "url", "method", F.when(mined, "js_object_route_miner").otherwise("js_api_parser").alias("source"), F.when(mined, "medium").otherwise("high").alias("confidence"), "evidence", _seq(2, "rule_no", "match_no").alias("seq"))
-    inline = matches(sources.select("source_file", "content"), "content", INLINE, ["url"]).where(C.looks_like_route(F.col("url")))
-    inline = inline.select("source_file", "url", F.lit("GET").alias("method"), F.lit("js_api_parser").alias("source"), F.lit("medium").alias("confidence"), F.concat(F.lit("location/window route reference '"), "url", F.lit("'")).alias("evidence"), _seq(1, "rule_no", "match_no").alias("seq"))
-    literal = matches(sources.select("source_file", "content"), "content", LITERALS, ["url"]).where(C.looks_like_route(F.col("url")))
-    literal = literal.select("source_file", "url", F.lit("GET").alias("method"), F.lit("regex_route_miner").alias("source"), F.lit("medium").alias("confidence"), F.col("matched").alias("evidence"), _seq(3, "match_no").alias("seq"))
-    return js.unionByName(inline).unionByName(literal)
+#: Families of rules over script text, and the fields that their matches have.
+FAMILIES = {"call": CALLS, "append": APPENDS, "inline": INLINE, "literal": LITERALS, "getter": GETTERS}
+MATCH_FIELDS = ["url", "verb", "data", "name", "function"]
+
+
+def script_rows(sources: DataFrame, families: list[str]) -> DataFrame:
+    """A row for each match of the families' rules, from one pass over each text: source_file, family, kind, url, method, data, name, source,
+    confidence, evidence and seq. Requests without an address give none."""
+
+    def tagged(family: str) -> Column:
+        found = every_match(F.col("content"), FAMILIES[family], MATCH_FIELDS, F.col("low"))
+        return F.transform(found, lambda m: F.struct(F.lit(family).alias("family"), m.alias("m")))
+
+    rows = sources.select("source_file", "content", F.lower("content").alias("low"))
+    rows = rows.withColumn("x", F.explode(F.concat(*map(tagged, families)))).select("source_file", "x.family", "x.m.*").withColumn("data", F.coalesce("data", F.lit("")))
+    family, kind = F.col("family"), F.col("kind")
+    mined = (family == "call") & (kind == "object")
+    verb = F.when(kind.isin("open", "jquery", "axios_verb"), F.col("verb"))
+    for name, pattern in OBJECT_METHOD.items():
+        verb = verb.when(kind == name, F.regexp_extract("data", pattern, 1))
+    url = F.when((family == "call") & kind.isin("ajax", "axios"), F.nullif(F.regexp_extract("data", OBJECT_URL, 1), F.lit(""))).otherwise(F.col("url"))
+    stage = F.when(family == "call", 2).when(family == "inline", 1).when(family == "literal", 3).when(family == "append", 2).otherwise(4)
+    alone = family.isin("literal", "getter")  # families of one rule
+    seq = F.struct(stage.alias("stage"), F.when(alone, F.col("match_no")).otherwise(F.col("rule_no")).cast("int").alias("s0"), F.when(alone, 0).otherwise(F.col("match_no")).cast("int").alias("s1"), F.lit(0).alias("s2"))
+    rows = rows.withColumn("url", url).where((family != "call") | F.col("url").isNotNull())
+    return rows.select(
+        "source_file", "family", "kind", "url", F.when(family == "call", C.method_of(F.coalesce(verb, F.lit("")))).otherwise("GET").alias("method"), "data", "name",
+        F.when(family == "literal", "regex_route_miner").when(mined, "js_object_route_miner").when(family.isin("append", "getter"), F.when(family == "append", "param_name_miner").otherwise("template_parser")).otherwise("js_api_parser").alias("source"),
+        F.when((family == "call") & ~mined, "high").when(family == "getter", "low").otherwise("medium").alias("confidence"),
+        F.when(family == "inline", F.concat(F.lit("location/window route reference '"), "url", F.lit("'"))).when(family == "literal", F.col("matched")).otherwise(C.collapse(F.col("matched"))).alias("evidence"), seq.alias("seq"),
+    )
 
 
 def routes(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """source_file, url, method, ui_context, source, confidence, evidence: routes fused for each page."""
+    """source_file, url, method, ui_context, source, confidence, evidence: routes fused for each page.
+
+    Pages are parsed once and searched once; the whole title of a page reaches the routes of its scripts within the page's rows.
+    """
     events = html_events(sources) if events is None else events
-    titles = events.where("kind = 'title'").select("source_file", F.col("text").alias("ui_context"))
-    scripts = _script_routes(sources).join(titles, "source_file", "left")
-    return merge_evidence(_route_rows(events).unionByName(scripts), ["source_file", "url", "method"], known=("ui_context",), sources="source", confidence="confidence", cap=10)
+    columns = ["source_file", "url", "method", "source", "ui_context", "confidence", "evidence", "seq"]
+    is_title = F.col("kind") == "title"
+    of_title = events.where("kind IN ('form', 'ref', 'title')").select("source_file", "kind", "tag", "text", "form_action", "title", "attrs", "pos")
+    as_form = {"kind": F.when(is_title, "form").otherwise(F.col("kind")), "form_action": F.when(is_title, TITLE_ROW).otherwise(F.col("form_action")), "title": F.when(is_title, F.col("text")).otherwise(F.col("title"))}
+    markup = _route_rows(of_title.withColumns(as_form))
+    scripts = script_rows(sources, ["call", "inline", "literal"]).where(C.looks_like_route(F.col("url"))).withColumn("ui_context", F.lit(None).cast("string"))
+    both = markup.select(*columns, F.lit(False).alias("script")).unionByName(scripts.select(*columns, F.lit(True).alias("script")))
+    title = F.max(F.when(F.col("url") == TITLE_ROW, F.col("ui_context"))).over(Window.partitionBy("source_file"))
+    both = both.withColumn("ui_context", F.when(F.col("script"), title).otherwise(F.col("ui_context"))).where(F.col("url") != TITLE_ROW)
+    return merge_evidence(both.drop("script"), ["source_file", "url", "method"], known=("ui_context",), sources="source", confidence="confidence", cap=10)
+
+
+#: Address of the row that carries a page's title; no address holds this character.
+TITLE_ROW = "\0title"
+
+
+def _param(name: Column, location: Column, confidence: Column, evidence: Column, **more: Column) -> Column:
+    """A parameter as a struct; what isn't given is null, and the source is that of mined names."""
+    kinds = {"inferred_type": "string", "default": "string", "required": "boolean", "options": "array<string>", "route": "string", "source": "string"}
+    given = {"inferred_type": C.inferred_type(name, F.lit("text")), "options": F.array().cast("array<string>"), "source": F.lit("param_name_miner")} | more
+    rest = [given.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+    return F.struct(name.alias("name"), location.alias("location"), confidence.alias("confidence"), evidence.alias("evidence"), *rest)
 
 
-def _query_params(rows: DataFrame, source: str, stage: int) -> DataFrame:
-    pairs = rows.withColumn("pair", F.explode(C.query_pairs(F.col("url"))))
-    return pairs.select("source_file", F.col("pair.name").alias("name"), F.lit("query").alias("location"), F.col("pair.value").alias("default"), F.col("url").alias("route"), F.lit(source).alias("source"), "confidence", F.concat(F.lit("query string in '"), "url", F.lit("'")).alias("evidence"), F.col("seq").alias("seq"))
+def _query_structs(url: Column, confidence: Column, source: str) -> Column:
+    """The valid names in the query of an address, as parameters."""
+    evidence = F.concat(F.lit("query string in '"), url, F.lit("'"))
+    pairs = F.filter(C.query_pairs(url), lambda p: C.is_param_name(p["name"]))
+    return F.transform(pairs, lambda p: _param(p["name"], F.lit("query"), confidence, evidence, default=p["value"], route=url, source=F.lit(source)))
 
 
 def params(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """source_file, name, location, route and what is known of each parameter, fused for each page."""
+    """source_file, name, location, route and what is known of each parameter, fused for each page. Pages are parsed and searched once."""
     events = html_events(sources) if events is None else events
-    kind = F.lower(F.coalesce(attribute("type"), F.when(F.col("tag") == "textarea", "textarea").otherwise("text")))
-    in_form = F.col("form_no").isNotNull()
-    no_options = F.array().cast("array<string>")
-    fields = events.where("kind = 'field'").withColumn("name", _name()).where("name <> ''").select(
-        "source_file", "name", F.when(in_form, "body").otherwise("unknown").alias("location"), C.inferred_type(F.col("name"), kind).alias("inferred_type"), attribute("value").alias("default"), has("required").alias("required"), no_options.alias("options"),
-        F.col("form_action").alias("route"), F.lit("html_form_parser").alias("source"), F.when(in_form, "high").otherwise("medium").alias("confidence"), rendered(F.col("tag"), FIELD_KEYS).alias("evidence"), _seq(0, "pos").alias("seq"),
+    nothing = F.array(_param(*[F.lit("")] * 4))
+    none = F.slice(nothing, 1, 0)
+    own, in_form, name = F.col("kind"), F.col("form_no").isNotNull(), _name()
+    input_kind = F.lower(F.coalesce(attribute("type"), F.when(F.col("tag") == "textarea", "textarea").otherwise("text")))
+    field = _param(
+        name, F.when(in_form, "body").otherwise("unknown"), F.when(in_form, "high").otherwise("medium"), rendered(F.col("tag"), FIELD_KEYS), inferred_type=C.inferred_type(name, input_kind), default=attribute("value"), required=has("required"),
+        route=F.col("form_action"), source=F.lit("html_form_parser"),
     )
     values = F.array_distinct(F.filter(F.transform("options", lambda o: C.strip(o["value"])), lambda v: v != ""))
-    selects = events.where("kind = 'select'").withColumn("name", _name()).where("name <> ''").select(
-        "source_file", "name", F.lit("body").alias("location"), F.when(F.size(values) > 0, "enum").otherwise("string").alias("inferred_type"), F.lit(None).cast("string").alias("default"), has("required").alias("required"), values.alias("options"),
-        F.col("form_action").alias("route"), F.lit("html_form_parser").alias("source"), F.lit("high").alias("confidence"), rendered(F.col("tag"), ["name", "required", "disabled"]).alias("evidence"), _seq(0, "pos").alias("seq"),
+    select = _param(
+        name, F.lit("body"), F.lit("high"), rendered(F.col("tag"), ["name", "required", "disabled"]), inferred_type=F.when(F.size(values) > 0, "enum").otherwise("string"), required=has("required"), options=values,
+        route=F.col("form_action"), source=F.lit("html_form_parser"),
     )
-    forms = _query_params(_route_rows(events).where("source = 'html_form_parser'"), "html_form_parser", 0)
-    mined = _query_params(_script_routes(sources).where("NOT startswith(evidence, 'location/window')"), "param_name_miner", 2)
-    calls = script_calls(sources).where("kind NOT IN ('open', 'object')")
-    objects = calls.withColumn("object", F.explode(F.regexp_extract_all("data", F.lit(OBJECT_DATA), F.lit(1)))).withColumn("name", F.explode(F.regexp_extract_all("object", F.lit(OBJECT_FIELD), F.lit(1)))).where(~F.lower("name").isin(V.OBJECT_KEYS))
-    encoded = calls.withColumn("name", F.explode(F.regexp_extract_all("data", F.lit(URLENCODED), F.lit(1))))
-    row = lambda frame, location, confidence, stage, route="url": frame.select("source_file", "name", F.lit(location).alias("location") if isinstance(location, str) else location.alias("location"), F.lit(None).cast("string").alias("default"), (F.col(route) if route else F.lit(None).cast("string")).alias("route"), F.lit("param_name_miner").alias("source"), F.lit(confidence).alias("confidence"), "evidence", _seq(stage, "rule_no", "match_no").alias("seq"))
-    appends = matches(sources.select("source_file", "content"), "content", APPENDS, ["name"]).withColumn("evidence", C.collapse(F.col("matched")))
-    getters = matches(sources.select("source_file", "content"), "content", GETTERS, ["function", "name"]).select("source_file", "name", F.lit("template").alias("location"), F.lit(None).cast("string").alias("default"), F.lit(None).cast("string").alias("route"), F.lit("template_parser").alias("source"), F.lit("low").alias("confidence"), C.collapse(F.col("matched")).alias("evidence"), _seq(4, "match_no").alias("seq"))
-    plain = forms.unionByName(mined).unionByName(row(objects, "body", "high", 2)).unionByName(row(encoded, "body", "medium", 2)).unionByName(row(appends, F.col("kind"), "medium", 2, None)).unionByName(getters)
-    plain = plain.where(C.is_param_name(F.col("name"))).select("*", C.inferred_type(F.col("name"), F.lit("text")).alias("inferred_type"), F.lit(None).cast("boolean").alias("required"), no_options.alias("options"))
-    rows = fields.unionByName(selects).unionByName(plain)
-    return merge_evidence(rows, ["source_file", "name", "location", "route"], first=("inferred_type",), known=("default", "required"), sources="source", confidence="confidence", lists=("options",), cap=10)
+    form = _query_structs(F.col("form_action"), F.lit("high"), "html_form_parser")
+    found = F.when((own == "form") & F.col("form_action").isNotNull(), form).when((own == "field") & (name != ""), F.array(field)).when((own == "select") & (name != ""), F.array(select)).otherwise(none)
+    markup = events.where("kind IN ('form', 'field', 'select')").withColumn("p", F.explode(found)).select("source_file", _seq(0, "pos").alias("seq"), "p.*")
+    rows = script_rows(sources, ["call", "literal", "append", "getter"])
+    family, url, data, evidence = F.col("family"), F.col("url"), F.col("data"), F.col("evidence")
+    valid = lambda names: F.filter(names, C.is_param_name)
+    queries = F.when(family.isin("call", "literal") & C.looks_like_route(url), _query_structs(url, F.col("confidence"), "param_name_miner")).otherwise(none)
+    keys = F.flatten(F.transform(F.regexp_extract_all(data, F.lit(OBJECT_DATA), F.lit(1)), lambda o: F.regexp_extract_all(o, F.lit(OBJECT_FIELD), F.lit(1))))
+    objects = F.transform(valid(F.filter(keys, lambda n: ~F.lower(n).isin(V.OBJECT_KEYS))), lambda n: _param(n, F.lit("body"), F.lit("high"), evidence, route=url))
+    encoded = F.transform(valid(F.regexp_extract_all(data, F.lit(URLENCODED), F.lit(1))), lambda n: _param(n, F.lit("body"), F.lit("medium"), evidence, route=url))
+    sent = F.when((family == "call") & ~F.col("kind").isin("open", "object"), F.concat(objects, encoded)).otherwise(none)
+    one = F.when(~F.coalesce(C.is_param_name(F.col("name")), F.lit(False)), none).when(family == "append", F.array(_param(F.col("name"), F.col("kind"), F.lit("medium"), evidence))).when(family == "getter", F.array(_param(F.col("name"), F.lit("template"), F.lit("low"), evidence, source=F.lit("template_parser")))).otherwise(none)
+    mined = rows.withColumn("p", F.explode(F.concat(queries, sent, F.coalesce(one, none)))).select("source_file", "seq", "p.*")
+    return merge_evidence(markup.unionByName(mined), ["source_file", "name", "location", "route"], first=("inferred_type",), known=("default", "required"), sources="source", confidence="confidence", lists=("options",), cap=10)
 
 
 def constraints(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ Tokens of command lines come from a small Arrow function, for those lines only t
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators.fuse import merge_evidence
 from factweave.operators.rules import Rule, first_match
+from factweave.session import stored
 
 # The patterns that define these facts.
 SERVERS = [
@@ -80,6 +80,10 @@ def config_lines(sources: DataFrame) -> DataFrame:
     return rows.withColumn("line_no", F.col("line_no") + 1).withColumn("line", C.without_comment(F.col("raw"))).where("line <> ''")
 
 
+def _lines(sources: DataFrame, lines: DataFrame | None) -> DataFrame:
+    return config_lines(sources) if lines is None else lines
+
+
 def with_argv(lines: DataFrame) -> DataFrame:
     """`argv`, the shell tokens of each line; unbalanced quotes leave words."""
     return lines.withColumn("argv", C.shell_tokens(F.col("line")))
@@ -103,44 +107,44 @@ def _option_rows(lines: DataFrame, option: str, glued: bool) -> DataFrame:
     return rows.withColumn("seq", F.struct("source_file", "line_no", F.lit(1).alias("part"), F.col("at").alias("rule_no"))).withColumn("kind", F.lit(option))
 
 
-def servers(sources: DataFrame) -> DataFrame:
+def servers(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """The file name counts as line 0, with low confidence; lines have a medium one."""
     names = sources.select("bundle_id", "source_file", F.lit(0).alias("line_no"), C.base_name(F.col("source_file")).alias("raw"), C.base_name(F.col("source_file")).alias("line"))
-    lines = names.unionByName(config_lines(sources))
+    lines = names.unionByName(_lines(sources, lines))
     hits = F.array(*(F.when(F.col("line").rlike(r.java), F.struct(F.lit(k).alias("rule_no"), F.lit(r.kind).alias("type"))) for k, r in enumerate(SERVERS)))
     rows = lines.withColumn("m", F.explode(F.array_compact(hits))).select(*lines.columns, "m.*").withColumn("seq", F.struct("source_file", "line_no", "rule_no"))
     rows = rows.withColumn("confidence", F.when(F.col("line_no") == 0, "low").otherwise("medium")).withColumn("evidence", _evidence(F.col("type")))
     return merge_evidence(rows, ["bundle_id", "type"], first=("confidence",))
 
 
-def listeners(sources: DataFrame) -> DataFrame:
-    lines = config_lines(sources)
+def listeners(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    lines = _lines(sources, lines)
     rows = _matched(lines, LISTENERS, ["value"]).select(*lines.columns, "kind", "value", "seq").unionByName(_option_rows(lines, "-p", True).select(*lines.columns, "kind", "value", "seq"))
     rows = rows.withColumn("at", C.address_and_port(F.col("value"))).where("at.port IS NOT NULL")
     rows = rows.select("*", C.clean_value(F.col("at.address")).alias("address"), F.col("at.port").alias("port"), F.when(F.col("line").rlike(r"(?iuU)\bssl\b|\bhttps\b"), "https").otherwise("http").alias("protocol")).withColumn("evidence", _evidence(F.col("kind")))
     return merge_evidence(rows, ["bundle_id", "address", "port", "protocol"])
 
 
-def document_roots(sources: DataFrame) -> DataFrame:
-    lines = config_lines(sources)
+def document_roots(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    lines = _lines(sources, lines)
     rows = _matched(lines, ROOTS, ["value"]).select(*lines.columns, F.col("kind").alias("root_type"), "value", "seq")
     rows = rows.unionByName(_option_rows(lines, "-h", True).select(*lines.columns, F.lit("document_root").alias("root_type"), "value", "seq"))
     return merge_evidence(rows.withColumn("path", C.clean_value(F.col("value"))).withColumn("evidence", _evidence(F.col("root_type"))), ["bundle_id", "root_type", "path"])
 
 
-def aliases(sources: DataFrame) -> DataFrame:
+def aliases(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """An alias of a location block has the block's prefix; a closing brace ends the block."""
     opened = F.nullif(F.regexp_extract("line", r"(?iuU)^\s*location\s+(\S+)\s*\{?\s*$", 1), F.lit(""))
     event = F.when(F.col("line").contains("}"), F.struct(F.lit(None).cast("string").alias("prefix"))).when(opened.isNotNull(), F.struct(C.clean_value(opened).alias("prefix")))
     order = Window.partitionBy("bundle_id", "source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = config_lines(sources).withColumn("location", F.last(event, ignorenulls=True).over(order)["prefix"])
+    lines = _lines(sources, lines).withColumn("location", F.last(event, ignorenulls=True).over(order)["prefix"])
     rows = _matched(lines, ALIASES, ["prefix", "path"]).withColumn("url_prefix", F.when(F.col("kind") == "alias;", F.col("location")).otherwise(C.clean_value(F.col("prefix"))))
     rows = rows.withColumn("filesystem_path", C.clean_value(F.col("path"))).withColumn("mapping_type", F.lit("alias")).withColumn("evidence", _evidence(F.col("kind")))
     return merge_evidence(rows, ["bundle_id", "url_prefix", "filesystem_path", "mapping_type"])
 
 
-def cgi_mappings(sources: DataFrame) -> DataFrame:
-    rows = _matched(config_lines(sources), CGI, ["a", "b"]).withColumn("a", C.clean_value(F.col("a"))).withColumn("b", C.clean_value(F.col("b")))
+def cgi_mappings(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    rows = _matched(_lines(sources, lines), CGI, ["a", "b"]).withColumn("a", C.clean_value(F.col("a"))).withColumn("b", C.clean_value(F.col("b")))
     kind, a, b = F.col("kind"), F.col("a"), F.col("b")
     named = kind.isin("add_handler", "add_type", "cgi_assign")
     rows = rows.select(
@@ -151,14 +155,14 @@ def cgi_mappings(sources: DataFrame) -> DataFrame:
     return merge_evidence(rows, ["bundle_id", "mapping_type", "url_prefix", "filesystem_path", "handler", "extension"])
 
 
-def auth_rules(sources: DataFrame) -> DataFrame:
-    rows = _matched(config_lines(sources), AUTH, ["value"]).withColumn("value", C.clean_value(F.col("value"))).withColumnRenamed("kind", "rule_type").withColumn("path_or_scope", F.lit(None).cast("string"))
+def auth_rules(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    rows = _matched(_lines(sources, lines), AUTH, ["value"]).withColumn("value", C.clean_value(F.col("value"))).withColumnRenamed("kind", "rule_type").withColumn("path_or_scope", F.lit(None).cast("string"))
     return merge_evidence(rows.withColumn("evidence", _evidence(F.col("rule_type"))), ["bundle_id", "rule_type", "path_or_scope", "value"])
 
 
-def startup_commands(sources: DataFrame) -> DataFrame:
+def startup_commands(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     likely = F.lower("line").rlike("busybox|" + "|".join(V.SERVER_COMMANDS))
-    rows = with_argv(config_lines(sources).where(likely)).withColumn("lower", F.transform("argv", F.lower))
+    rows = with_argv(_lines(sources, lines).where(likely)).withColumn("lower", F.transform("argv", F.lower))
     box = F.array_position("lower", F.lit("busybox"))
     command = F.when((box > 0) & (F.get("lower", box.cast("int")) == "httpd"), "busybox httpd")
     for name in V.SERVER_COMMANDS:
@@ -169,25 +173,25 @@ def startup_commands(sources: DataFrame) -> DataFrame:
     return merge_evidence(rows, ["bundle_id", "command", "config_path", "document_root", "port"], first=("argv", "error_log", "auth_realm"))
 
 
-def config_references(sources: DataFrame) -> DataFrame:
-    lines = config_lines(sources)
+def config_references(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    lines = _lines(sources, lines)
     rows = _matched(lines, INCLUDES, ["value"]).select(*lines.columns, F.col("kind").alias("reference_type"), "value", "seq")
     for option in ("-c", "-f"):
         rows = rows.unionByName(_option_rows(lines, option, False).select(*lines.columns, F.lit("command_option").alias("reference_type"), "value", "seq"))
     return merge_evidence(rows.withColumn("path", C.clean_value(F.col("value"))).withColumn("evidence", _evidence(F.col("reference_type"))), ["bundle_id", "reference_type", "path"])
 
 
-def routes(sources: DataFrame) -> DataFrame:
+def routes(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Derived: prefixes of aliases, and prefixes or else extensions of CGI mappings."""
-    own = aliases(sources).select("bundle_id", F.col("url_prefix").alias("route"), F.lit("alias").alias("route_type"), "evidence")
-    cgi = cgi_mappings(sources).select("bundle_id", F.coalesce(F.nullif("url_prefix", F.lit("")), "extension").alias("route"), F.lit("cgi_mapping").alias("route_type"), "evidence")
+    own = aliases(sources, lines).select("bundle_id", F.col("url_prefix").alias("route"), F.lit("alias").alias("route_type"), "evidence")
+    cgi = cgi_mappings(sources, lines).select("bundle_id", F.coalesce(F.nullif("url_prefix", F.lit("")), "extension").alias("route"), F.lit("cgi_mapping").alias("route_type"), "evidence")
     rows = own.unionByName(cgi).where("route IS NOT NULL AND route <> ''").withColumn("item", F.explode("evidence"))
     return merge_evidence(rows.select("bundle_id", "route", "route_type", F.struct("item.source_file", "item.line", "item.pattern").alias("seq"), F.col("item").alias("evidence")), ["bundle_id", "route", "route_type"])
 
 
-def path_references(sources: DataFrame) -> DataFrame:
+def path_references(sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Derived: paths of document roots and of configuration references."""
-    rows = document_roots(sources).select("bundle_id", "path", F.lit("document_root").alias("reference_type")).unionByName(config_references(sources).select("bundle_id", "path", "reference_type"))
+    rows = document_roots(sources, lines).select("bundle_id", "path", F.lit("document_root").alias("reference_type")).unionByName(config_references(sources, lines).select("bundle_id", "path", "reference_type"))
     return rows.where("path IS NOT NULL AND path <> ''").distinct()
 
 
@@ -195,17 +199,20 @@ TABLES = {"servers": servers, "listeners": listeners, "document_roots": document
 
 
 def facts(sources: DataFrame) -> dict[str, DataFrame]:
-    """All fact tables of configuration bundles, each fused over the files of its bundle."""
-    return {name: extract(sources) for name, extract in TABLES.items()}
+    """All fact tables of configuration bundles, each fused over the files of its bundle. Lines are split once and written; the tables read them."""
+    lines = stored(config_lines(sources))
+    return {name: extract(sources, lines) for name, extract in TABLES.items()}
 
 
 def summary(sources: DataFrame) -> DataFrame:
     """bundle_id, server types and ports, sorted, and the number of each table's facts."""
-    out = servers(sources).groupBy("bundle_id").agg(F.array_join(F.sort_array(F.collect_set("type")), "|").alias("server_types"))
-    ports = listeners(sources).groupBy("bundle_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("port")), lambda p: p.cast("string")), "|").alias("ports"))
-    counts = None
-    for name, table in TABLES.items():
-        part = table(sources).select("bundle_id", F.lit(name).alias("table"))
-        counts = part if counts is None else counts.unionAll(part)
-    counts = counts.groupBy("bundle_id").pivot("table", list(TABLES)).agg(F.count(F.lit(1))).na.fill(0)
-    return counts.join(out, "bundle_id", "left").join(ports, "bundle_id", "left")
+    found = facts(sources)
+    rows = None
+    for name, table in found.items():
+        kind = F.col("type") if name == "servers" else F.lit(None).cast("string")
+        port = F.col("port") if name == "listeners" else F.lit(None).cast("int")
+        part = table.select("bundle_id", F.lit(name).alias("table"), kind.alias("type"), port.alias("port"))
+        rows = part if rows is None else rows.unionAll(part)
+    types = F.array_join(F.sort_array(F.collect_set("type")), "|").alias("server_types")
+    ports = F.array_join(F.transform(F.sort_array(F.collect_set("port")), lambda p: p.cast("string")), "|").alias("ports")
+    return rows.groupBy("bundle_id").agg(types, ports, *(F.count_if(F.col("table") == name).alias(name) for name in found))

@@ -609,7 +609,7 @@ def binary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_merge_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten pieces of evidence of each supplier, in order."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("seq"), F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 40).cast("string")).alias("evidence"))
-    return fuse.merge_evidence(rows, ["l_suppkey"], cap=10).select("l_suppkey", F.array_join("evidence", ",").alias("evidence"))
+    return fuse.merge_evidence(rows, ["l_suppkey"], cap=10, bounded=True).select("l_suppkey", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("N3 A11 A12", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM r WHERE n = 1")

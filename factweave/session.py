@@ -39,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The same rows, written to a new shared folder and read again."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows read from files, for work that is long for each row: over all cores where the files give fewer partitions."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

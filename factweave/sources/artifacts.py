@@ -10,18 +10,21 @@ from the inputs' paths, by layout:
 
 | layout   | file                                                                  | beside it |
 |----------|-----------------------------------------------------------------------|-----------|
-| frontend | one array of all documents, `web_frontend_artifacts.json`              |           |
+| frontend | `<path of the page in one piece>_<digest>.web_frontend_artifacts.json`  |           |
 | config   | `<folder of the input>.web_server_config_artifacts.json`               |           |
 | backend  | `<folder of the input>.<name without .readable.json>.artifacts.json`   | `manifest.json`, for several inputs |
 | binary   | `<name without .preprocessed.json>.web_backend_binary_artifacts.json`  | `status_summary.json` |
 
-A target that ends in .json is the file itself, for a single input (config, backend) or all of them (frontend).
+A target that ends in .json is the file itself: a single input's (config, backend), or an array of all pages (frontend), whose
+documents the committing process copies end to end as streams; many pages are better left as files.
 Two inputs of one place are an error, found before anything is moved.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +48,8 @@ def place_of(layout: str, path: str) -> str:
     """Name of the file for an input."""
     own = PurePosixPath(path)
     if layout == "frontend":
-        return "web_frontend_artifacts.json"
+        slug = re.sub(r"[^A-Za-z0-9._-]+", "_", path).strip("_")[-120:]
+        return f"{slug}_{hashlib.sha1(path.encode()).hexdigest()[:10]}.web_frontend_artifacts.json"
     if layout == "config":
         return f"{own.parent.name}.web_server_config_artifacts.json"
     if layout == "backend":
@@ -114,6 +118,7 @@ class ArtifactWriter(DataSourceWriter):
         self.layout, self.target = options["layout"], options["path"].rstrip("/")
         self.sections = [(name, many) for name, many in json.loads(options["sections"])]
         self.single = self.target.endswith(".json")
+        self.array = self.single and self.layout == "frontend"
         self.folder = str(PurePosixPath(self.target).parent) if self.single else self.target
         self.job, self.overwrite = uuid.uuid4().hex, overwrite
 
@@ -133,7 +138,7 @@ class ArtifactWriter(DataSourceWriter):
                     stream.close()
                 last, staged = row["input"], f"{own}/{len(files)}.json"
                 stream = store.open_output_stream(staged)
-                document = Document(stream, self.sections, 1 if self.layout == "frontend" else 0)
+                document = Document(stream, self.sections, 1 if self.array else 0)
                 files.append((last, staged, {}))
             document.item(row["section_no"], row["item"])
             if self.sections[row["section_no"]][0] in ("summary", "binary"):
@@ -146,11 +151,11 @@ class ArtifactWriter(DataSourceWriter):
     def places(self, files: list[tuple[str, str, dict]]) -> list[tuple[str, str, str, dict]]:
         """input, staged file, place and status, by input; each place once."""
         _, folder = self.store()
-        if self.single and self.layout != "frontend" and len(files) > 1:
+        if self.single and not self.array and len(files) > 1:
             raise ValueError(f"{len(files)} inputs for one file")
         name = lambda path: PurePosixPath(self.target).name if self.single else place_of(self.layout, path)
         out = [(path, staged, f"{folder}/{name(path)}", status) for path, staged, status in sorted(files, key=lambda f: f[0])]
-        if self.layout != "frontend" and len({p for _, _, p, _ in out}) < len(out):
+        if not self.array and len({p for _, _, p, _ in out}) < len(out):
             raise ValueError("several inputs have one place")
         return out
 
@@ -158,9 +163,9 @@ class ArtifactWriter(DataSourceWriter):
         store, folder = self.store()
         try:
             found = self.places([f for m in messages if m is not None for f in m.files])
-            if self.layout == "frontend":
+            if self.array:
                 self.join(store, found)
-            for _, staged, place, _ in found if self.layout != "frontend" else []:
+            for _, staged, place, _ in [] if self.array else found:
                 store.move(staged, place)
             if self.layout == "backend" and not self.single:
                 results = [{"input": path, "output": place} for path, _, place, _ in found]
@@ -183,7 +188,7 @@ class ArtifactWriter(DataSourceWriter):
                     while block := part.read(1 << 20):
                         out.write(block)
             out.write(b"\n]" if found else b"]")
-        store.move(whole, self.target if self.single else f"{folder}/{place_of(self.layout, '')}")
+        store.move(whole, f"{folder}/{PurePosixPath(self.target).name}")
 
     @staticmethod
     def save(store: fs.FileSystem, path: str, content: dict) -> None:
@@ -314,7 +319,7 @@ def config_layout(parsed: DataFrame) -> Layout:
 
 
 def frontend_layout(parsed: DataFrame) -> Layout:
-    """Documents of pages, all in one array."""
+    """Documents of pages."""
     sources = parsed.where("warning IS NULL").select(F.col("source_file"), "content")
     inputs = sources.select(F.col("source_file").alias("input")).distinct()
     parts = constants(inputs, version="1.0") + [(("source_file", False), inputs.select("input", as_text("input").alias("item")))]

@@ -107,6 +107,15 @@ def test_fusion_does_not_depend_on_partitions(spark):
     assert fuse.first_wins(once.withColumn("seq", F.lit(0)), ["evidence"]).count() == once.count() == 15
 
 
+def test_evidence_of_a_key_that_all_rows_share(spark):
+    facts = spark.range(100_000).selectExpr("IF(id % 1000 = 7, NULL, 'hot') AS key", "id % 3 AS part", "struct(99999 - id AS n) AS seq", "'e' || (id % 5000) AS evidence", "IF(id % 2 = 0, 'low', 'high') AS confidence", "IF(id % 10 = 9, CAST(id AS STRING), NULL) AS value")
+    options = {"known": ("value",), "confidence": "confidence", "cap": 10}
+    shown = lambda frame: sorted(map(str, frame.select("key", "part", "value", "confidence", "evidence").collect()))
+    bounded = fuse.merge_evidence(facts, ["key", "part"], bounded=True, **options)
+    assert shown(bounded) == shown(fuse.merge_evidence(facts, ["key", "part"], **options)) and bounded.count() == 6
+    assert "WindowGroupLimit" in bounded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_crawl_stops_at_the_page_limit(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "a"), ("d", "e")], "url string, link string")
     start = spark.createDataFrame([("a",)], "url string")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from collections import deque
 from pathlib import Path
 
@@ -152,11 +153,15 @@ def test_config_and_page_artifacts(spark, tmp_path):
     assert one["summary"]["server_types"] == ["boa"] and one["summary"]["listeners_count"] == 1 and one["source_input"].endswith("dev1/c.json")
     assert two["servers"] == [] and len(two["parse_warnings"]) == 1 == two["summary"]["parse_warnings_count"] and two["summary"]["server_types"] == []
     put(tmp_path, **{"www/a.htm": "<title>A</title><form action=/x.cgi></form>", "www/b.htm": ""})
-    artifacts.frontend_layout(inputs.read_inputs(spark, "frontend", str(tmp_path / "www"))).write(spark, str(tmp_path / "pages"))
-    (pages,) = documents(tmp_path / "pages").values()
+    layout = artifacts.frontend_layout(inputs.read_inputs(spark, "frontend", str(tmp_path / "www")))
+    layout.write(spark, str(tmp_path / "pages"))
+    single = documents(tmp_path / "pages")
+    assert sorted(re.sub("_[0-9a-f]{10}[.]", ".", n)[-35:] for n in single) == [f"www_{x}.htm.web_frontend_artifacts.json"[-35:] for x in "ab"]
+    layout.write(spark, str(tmp_path / "array/all.json"))
+    (pages,) = documents(tmp_path / "array").values()
     assert [Path(p["source_file"]).name for p in pages] == ["a.htm", "b.htm"] and pages[0]["routes"][0]["url"] == "/x.cgi" and pages[1]["routes"] == []
-    text = (tmp_path / "pages/web_frontend_artifacts.json").read_text()
-    assert text == json.dumps(pages, ensure_ascii=False, indent=2)
+    assert pages == [single[n] for n in sorted(single, key=lambda n: single[n]["source_file"])]
+    assert (tmp_path / "array/all.json").read_text() == json.dumps(pages, ensure_ascii=False, indent=2)
 
 
 def pieces(spark, rows):
