@@ -68,9 +68,14 @@ def forms(pages: DataFrame, events: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("risky", C.any_word(words, V.MUTATING_WORDS) | (F.col("method") != "GET")).withColumn("seed_values", F.map_from_entries(entries))
 
 
+def templates(found: DataFrame) -> DataFrame:
+    """One template for each form of forms(): kind, target, method, risky, source_page, form_id and seed_values."""
+    return found.select(F.lit("form_template").alias("kind"), F.col("action").alias("target"), "method", "risky", F.col("url").alias("source_page"), "form_id", "seed_values")
+
+
 def seed_templates(pages: DataFrame) -> DataFrame:
-    """One template for each form: target, method, risky, source_page, form_id and seed_values."""
-    return forms(pages).select(F.lit("form").alias("kind"), F.col("action").alias("target"), "method", "risky", F.col("url").alias("source_page"), "form_id", "seed_values")
+    """One template for each form of the pages."""
+    return templates(forms(pages))
 
 
 def endpoints(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -89,6 +94,22 @@ def endpoints(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     )
 
 
+def records(pages: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """One row for each page: url, status_code, content_type, title, links, scripts, forms and snapshot_file. pages: url, html and, if they were
+    recorded, status_code and content_type."""
+    events = page_events(pages) if events is None else events
+    given = lambda c, kind: F.col(c).cast(kind) if c in pages.columns else F.lit(None).cast(kind)
+    linked = links(pages, events).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("l")).select("url", F.transform("l", lambda x: x["link"]).alias("links"))
+    titles = events.where("kind = 'title'").groupBy(F.col("source_file").alias("url")).agg(F.max("text").alias("title"))
+    found = forms(pages, events)
+    filled = found.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("form_no", "form_id", "action", "method", "enctype", "risky", "fields"))).alias("forms"))
+    rows = pages.select("url", given("status_code", "int").alias("status_code"), given("content_type", "string").alias("content_type")).join(titles, "url", "left").join(linked, "url", "left").join(filled, "url", "left")
+    none = F.array().cast("array<string>")
+    whole = rows.withColumn("links", F.coalesce("links", none)).withColumn("scripts", F.filter("links", lambda x: C.url_path(x).endswith(".js")))
+    empty = F.array().cast(filled.schema["forms"].dataType)
+    return whole.select("url", "status_code", "content_type", F.coalesce("title", F.lit("")).alias("title"), "links", "scripts", F.coalesce("forms", empty).alias("forms"), C.snapshot_name(F.col("url")).alias("snapshot_file"))
+
+
 def counts(pages: DataFrame) -> DataFrame:
     """One row: pages, endpoints and forms."""
     found = forms(pages)
@@ -152,4 +173,4 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
 
 def report(pages: DataFrame, top: int = 20) -> DataFrame:
     """The first endpoints by method and path, as lines of a report."""
-    return endpoints(pages).orderBy("method", "path").limit(top).select(F.concat_ws(" ", F.lit("-"), "method", "path").alias("value"))
+    return endpoints(pages).orderBy("method", "path").limit(top).select(F.concat_ws(" ", F.lit("-"), "method", "path", F.when(F.col("risky"), "risky")).alias("value"))

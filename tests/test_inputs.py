@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import backend, binary, crawl, frontend, htmlevents, ranking, serverconfig
-from factweave.sources import artifacts, inputs
+from factweave.sources import artifacts, inputs, sinks
 
 
 def put(folder: Path, **files: str | bytes) -> None:
@@ -215,6 +215,21 @@ def test_a_killed_task_is_not_in_the_manifest(tmp_path):
     assert [Path(r["input"]).parent.name for r in found["manifest.json"]["results"]] == ["b", "lost"] and len(found) == 3
 
 
+def test_what_a_crawl_leaves(spark, tmp_path):
+    pages = [("http://h/a.asp", "<title>A</title><a href=b.asp></a><script src=s.js></script><form action=/go.cgi method=post id=f><input name=x type=text value=1></form>", 200), ("http://h/b.asp", "", None)]
+    sinks.write_crawl(spark.createDataFrame(pages, "url string, html string, status_code int"), str(tmp_path), "http://h/")
+    lines = lambda name: sorted((json.loads(x) for p in (tmp_path / name).glob("*.json") for x in p.read_text().splitlines()), key=str)
+    one, two = sorted(lines("pages"), key=lambda r: r["url"])
+    assert (one["title"], one["links"], one["scripts"], one["status_code"], len(one["forms"])) == ("A", ["http://h/b.asp", "http://h/s.js"], ["http://h/s.js"], 200, 1)
+    assert (two["title"], two["links"], two["forms"], two["status_code"], two["content_type"]) == ("", [], [], None, None)
+    (template,) = lines("seed_templates")
+    assert list(template) == ["kind", "target", "method", "risky", "source_page", "form_id", "seed_values"] and template["seed_values"] == {"x": "1"} and template["kind"] == "form_template"
+    (summary,) = lines("summary")
+    assert (summary["page_count"], summary["endpoint_count"], summary["form_template_count"]) == (2, 3, 1) and summary["generated_at"] > 1_000_000_000
+    (report,) = (tmp_path / "report").glob("*.txt")
+    assert report.read_text().splitlines() == ["Base URL: http://h/", "Proxy URL: ", "Pages crawled: 2", "Endpoints discovered: 3", "Form templates: 1", "", "Top endpoints:", "- GET /a.asp", "- GET /b.asp", "- POST /go.cgi risky"]
+
+
 # --- crawl order, ranges, caps -----------------------------------------------------------------------------------------------
 
 
