@@ -37,15 +37,20 @@ def taken_turns(conv_id: Column) -> Column:
 def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, pos, symbol, size) and lengths (conv_id, length) of the rebuilt conversations."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), turn_name(role, text).alias("symbol"), F.length(text).cast("long").alias("size"))
+    rows = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), turn_name(role, text).alias("symbol"), F.length(text).cast("long").alias("size")
+    )
     placed = places(rows, "conv_id", ["turn", "role", "symbol"]).select("conv_id", "pos", "symbol", "size")
-    convs = placed.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("most", taken_turns(F.col("conv_id"))).withColumn("base", F.col("conv_id") - F.col("conv_id") % SHARE)
+    convs = placed.groupBy("conv_id").agg(F.count("*").alias("n"))
+    convs = convs.withColumn("most", taken_turns(F.col("conv_id"))).withColumn("base", F.col("conv_id") - F.col("conv_id") % SHARE)
     bases = convs.where("conv_id = base").select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
-    lengths = convs.join(bases, "base", "left").withColumn("taken", F.least("most", F.coalesce("base_n", F.lit(0)))).withColumn("own", F.greatest(F.col("n") - F.col("most"), F.lit(0)))
+    lengths = convs.join(bases, "base", "left").withColumn("taken", F.least("most", F.coalesce("base_n", F.lit(0))))
+    lengths = lengths.withColumn("own", F.greatest(F.col("n") - F.col("most"), F.lit(0)))
     lengths = stored(lengths.withColumn("length", F.col("taken") + F.col("own")))
     first = placed.where((F.col("pos") < MOST) & (F.col("conv_id") % SHARE == 0)).withColumnRenamed("conv_id", "base")
     head = lengths.join(first, "base").where("pos < taken").select("conv_id", "pos", "symbol", "size")
-    rest = placed.where(F.col("pos") >= taken_turns(F.col("conv_id"))).join(lengths.select("conv_id", "taken", "most"), "conv_id").select("conv_id", (F.col("pos") - F.col("most") + F.col("taken")).alias("pos"), "symbol", "size")
+    rest = placed.where(F.col("pos") >= taken_turns(F.col("conv_id"))).join(lengths.select("conv_id", "taken", "most"), "conv_id")
+    rest = rest.select("conv_id", (F.col("pos") - F.col("most") + F.col("taken")).alias("pos"), "symbol", "size")
     return stored(head.unionByName(rest)), lengths.select("conv_id", "length")
 
 
@@ -53,7 +58,8 @@ def named_blocks(turns: DataFrame, rounds: int) -> list[DataFrame]:
     """For each k below `rounds`: conv_id, block and name of every whole block of 2^k turns."""
     blocks = [turns.select("conv_id", F.col("pos").alias("block"), F.col("symbol").alias("name"))]
     for _ in range(1, rounds):
-        halves = blocks[-1].groupBy("conv_id", F.shiftright("block", 1).alias("half")).agg(F.min_by("name", "block").alias("first"), F.max_by("name", "block").alias("second"), F.count("*").alias("n"))
+        pairs = blocks[-1].groupBy("conv_id", F.shiftright("block", 1).alias("half"))
+        halves = pairs.agg(F.min_by("name", "block").alias("first"), F.max_by("name", "block").alias("second"), F.count("*").alias("n"))
         blocks.append(stored(halves.where("n = 2").select("conv_id", F.col("half").alias("block"), name(F.col("first"), F.col("second")).alias("name"))))
     return blocks
 
@@ -69,7 +75,8 @@ def cut(sequences: DataFrame, blocks: DataFrame, k: int) -> tuple[DataFrame, Dat
     half = 2**k
     runs = sequences.where(F.col("until") >= F.col("depth") + half).withColumn("block", F.shiftright("depth", k))
     runs = stored(runs.join(blocks, ["conv_id", "block"]).withColumn("node", name(F.col("root"), F.col("name"))).drop("name", "block"))
-    upper = runs.groupBy("root", "depth", "node").agg(F.min("conv_id").alias("conv_id"), F.sum("n").alias("n")).select("root", "depth", "conv_id", (F.col("depth") + half).alias("until"), F.col("node").alias("end"), "n")
+    upper = runs.groupBy("root", "depth", "node").agg(F.min("conv_id").alias("conv_id"), F.sum("n").alias("n"))
+    upper = upper.select("root", "depth", "conv_id", (F.col("depth") + half).alias("until"), F.col("node").alias("end"), "n")
     lower = runs.where(F.col("until") > F.col("depth") + half).select(F.col("node").alias("root"), (F.col("depth") + half).alias("depth"), "conv_id", "until", "end", "n")
     short = sequences.where(F.col("until") < F.col("depth") + half)
     ended = runs.where((F.col("until") == F.col("depth") + half) & F.col("end").isNull()).select("conv_id", "node")
@@ -114,7 +121,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     turns, lengths = rebuilt(conversations)
     rounds = int(lengths.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]).bit_length()
     blocks = named_blocks(turns, rounds)
-    sequences = lengths.where("length > 0").select(F.lit(ROOT).alias("root"), F.lit(0).cast("long").alias("depth"), "conv_id", F.col("length").alias("until"), F.lit(None).cast("binary").alias("end"), F.lit(1).cast("long").alias("n"))
+    sequences = lengths.where("length > 0").select(
+        F.lit(ROOT).alias("root"), F.lit(0).cast("long").alias("depth"), "conv_id", F.col("length").alias("until"), F.lit(None).cast("binary").alias("end"), F.lit(1).cast("long").alias("n")
+    )
     ended = lengths.where("length = 0").select("conv_id", F.lit(ROOT).alias("node"))
     jumps = []
     for k in reversed(range(rounds)):
@@ -123,8 +132,10 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         jumps.insert(0, sequences.where("end IS NOT NULL").select(F.col("end").alias("node"), F.col("root").alias("up")))
     # each sequence is one turn now, from a node's parent to the node
     found = sequences.join(turns.select("conv_id", F.col("pos").alias("depth"), "size"), ["conv_id", "depth"])
-    found = found.select(F.col("end").alias("node"), F.col("root").alias("up"), "conv_id", (F.col("depth") + 1).alias("depth"), "n", ((F.col("n") - 1) * F.col("size")).alias("saved"))
-    top = lengths.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).where("n > 0").select(F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("up"), "conv_id", F.lit(0).cast("long").alias("depth"), "n", F.lit(0).cast("long").alias("saved"))
+    saved = (F.col("n") - 1) * F.col("size")
+    found = found.select(F.col("end").alias("node"), F.col("root").alias("up"), "conv_id", (F.col("depth") + 1).alias("depth"), "n", saved.alias("saved"))
+    top = lengths.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n")).where("n > 0")
+    top = top.select(F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("up"), "conv_id", F.lit(0).cast("long").alias("depth"), "n", F.lit(0).cast("long").alias("saved"))
     nodes = stored(found.unionByName(top))
     children = nodes.where("up IS NOT NULL").groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n_children"))
     nodes = stored(nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
@@ -132,4 +143,5 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     parents = nodes.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id"))
     lists = digests(ended.withColumn("piece", F.col("conv_id").cast("string")), "node", ["conv_id"], ",")
     out = nodes.drop("saved").join(totals, "node").join(lists, "node", "left").join(parents, "up", "left")
-    return out.select("conv_id", "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+    ends = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return out.select("conv_id", "depth", "parent_conv_id", F.col("n").alias("n_convs"), "n_children", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"), ends)

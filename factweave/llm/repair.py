@@ -134,7 +134,9 @@ def illegal_pairs(initials: str) -> int:
 def damaged(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role and text of the rows after damage."""
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_of("role").alias("role"), text_of("text").alias("text")
+    )
     fate = F.crc32(F.encode(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")), "utf-8")) % 20
     text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
     rows = rows.withColumn("fate", fate).where("fate <> 0").withColumn("text", text).withColumn("role", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")))
@@ -144,7 +146,8 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def judged(rows: DataFrame) -> DataFrame:
     """conv_id, turn, pos, name, letter and fault (blank, duplicate, truncated or null) of every row."""
     tail = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
-    narrow = rows.select("conv_id", "turn", "role", turn_name(F.col("role"), F.col("text")).alias("name"), F.when(tail == "", "blank").when(tail.isin(".", "!", "?"), "none").otherwise("truncated").alias("fault"))
+    own = F.when(tail == "", "blank").when(tail.isin(".", "!", "?"), "none").otherwise("truncated")
+    narrow = rows.select("conv_id", "turn", "role", turn_name(F.col("role"), F.col("text")).alias("name"), own.alias("fault"))
     placed = places(narrow, "conv_id", ["turn", "role", "name"])
     # the first row of each role and text, joined by its place, of which there is one
     first = placed.groupBy(F.col("conv_id").alias("of"), "name").agg(F.min("pos").alias("at")).select("of", "at", F.lit(True).alias("first"))
@@ -182,7 +185,9 @@ def fix_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start.append(again)
             moved.append(again != known)
         kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "chunk", "letters", "follow")), pa.array(rest, kind), pa.array(start, kind), pa.array(moved, pa.bool_())], ["conv_id", "chunk", "letters", "follow", "rest", "start", "moved"])
+        same = ["conv_id", "chunk", "letters", "follow"]
+        new_columns = [pa.array(rest, kind), pa.array(start, kind), pa.array(moved, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), *new_columns], [*same, "rest", "start", "moved"])
 
 
 def led_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +243,8 @@ def converged(chunks: DataFrame) -> DataFrame:
 def edited(chunks: DataFrame) -> DataFrame:
     """conv_id, chunk, audit, edits, tail, cost and illegal (pairs of rows) of each chunk."""
     several = (F.col("chunk") > 0) | (F.col("follow") != "")
-    plain = chunks.where(~several).select("conv_id", "chunk", "letters", "follow", F.array(*map(F.lit, END)).cast("array<long>").alias("rest"), F.lit(0).cast("long").alias("state"))
+    at_end = F.array(*map(F.lit, END)).cast("array<long>")
+    plain = chunks.where(~several).select("conv_id", "chunk", "letters", "follow", at_end.alias("rest"), F.lit(0).cast("long").alias("state"))
     stitched = converged(chunks.where(several))
     ways = stitched.mapInArrow(led_to, "conv_id long, chunk long, to array<long>")
     states = renamed(ways.groupBy("conv_id").applyInArrow(border_states, "conv_id long, chunk long, state long"), "states")
@@ -281,7 +287,8 @@ def repair(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     edits = stored(edited(chunks))
     count = lambda fault: F.count_if(F.col("fault") == fault).alias(fault)
     counts = marked.groupBy("conv_id").agg(count("blank"), count("duplicate"), count("truncated"), (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"))
-    audits = edits.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "audit"))), lambda c: c["audit"]), "").alias("audit"), F.sum("cost").alias("cost"), F.sum("illegal").alias("illegal"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "audit"))), lambda c: c["audit"])
+    audits = edits.groupBy("conv_id").agg(F.array_join(in_order, "").alias("audit"), F.sum("cost").alias("cost"), F.sum("illegal").alias("illegal"))
     shas = digests(repaired_turns(rows, chunks, edits, chunk), "conv_id", ["pos"], "\n").withColumnRenamed("sha256", "repaired_sha256")
     whole = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     for part in (counts, audits, shas):
