@@ -139,7 +139,7 @@ def facts(sources: DataFrame, table: str) -> DataFrame:
 
 def file_counts(sources: DataFrame) -> DataFrame:
     """source_file, bucket and matches before deduplication, for every file and bucket that has any. Each line is read once for all."""
-    line, low = F.col("line"), F.col("low_")
+    line, low = "line", "low_"
     lines = source_lines(sources).withColumn("low_", F.lower("line"))
     lines = lines.withColumn("linked", first_match(line, HANDLERS, ["route", "handler"], low))
     having = lambda found, field: F.size(F.filter(found, lambda m: m[field].isNotNull()))

@@ -57,8 +57,13 @@ def has(name: str) -> Column:
 
 def rendered(tag: Column, names: list[str]) -> Column:
     """A tag with some of its attributes, as evidence."""
-    shown = [F.when(F.try_element_at("attrs", F.lit(n)) == BARE, F.lit(n)).when(has(n), F.concat(F.lit(f"{n}="), C.quoted(F.try_element_at("attrs", F.lit(n))))) for n in names]
-    return F.concat(F.lit("<"), F.concat_ws(" ", tag, *shown), F.lit(">"))
+
+    def shown(name: Column) -> Column:
+        value = F.try_element_at("attrs", name)
+        return F.when(value == BARE, name).when(value.isNotNull(), F.concat(name, F.lit("="), C.quoted(value)))
+
+    own = F.array_compact(F.transform(F.array(*map(F.lit, names)), shown))
+    return F.concat(F.lit("<"), F.array_join(F.concat(F.array(tag), own), " "), F.lit(">"))
 
 
 def _name() -> Column:
@@ -107,7 +112,7 @@ def script_rows(sources: DataFrame, families: list[str]) -> DataFrame:
     confidence, evidence and seq. Requests without an address give none."""
 
     def tagged(family: str) -> Column:
-        found = every_match(F.col("content"), FAMILIES[family], MATCH_FIELDS, F.col("low"))
+        found = every_match("content", FAMILIES[family], MATCH_FIELDS, "low")
         return F.transform(found, lambda m: F.struct(F.lit(family).alias("family"), m.alias("m")))
 
     rows = sources.select("source_file", "content", F.lower("content").alias("low"))
@@ -153,9 +158,9 @@ TITLE_ROW = "\0title"
 
 
 def _param(name: Column, location: Column, confidence: Column, evidence: Column, **more: Column) -> Column:
-    """A parameter as a struct; what isn't given is null, and the source is that of mined names."""
+    """A parameter as a struct; what isn't given is null, the type to be told by the name, and the source that of mined names."""
     kinds = {"inferred_type": "string", "default": "string", "required": "boolean", "options": "array<string>", "route": "string", "source": "string"}
-    given = {"inferred_type": C.inferred_type(name, F.lit("text")), "options": F.array().cast("array<string>"), "source": F.lit("param_name_miner")} | more
+    given = {"options": F.array().cast("array<string>"), "source": F.lit("param_name_miner")} | more
     rest = [given.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
     return F.struct(name.alias("name"), location.alias("location"), confidence.alias("confidence"), evidence.alias("evidence"), *rest)
 
@@ -186,7 +191,7 @@ def params(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:
     form = _query_structs(F.col("form_action"), F.lit("high"), "html_form_parser")
     found = F.when((own == "form") & F.col("form_action").isNotNull(), form).when((own == "field") & (name != ""), F.array(field)).when((own == "select") & (name != ""), F.array(select)).otherwise(none)
     markup = events.where("kind IN ('form', 'field', 'select')").withColumn("p", F.explode(found)).select("source_file", _seq(0, "pos").alias("seq"), "p.*")
-    rows = script_rows(sources, ["call", "literal", "append", "getter"])
+    matched = script_rows(sources, ["call", "literal", "append", "getter"])
     family, url, data, evidence = F.col("family"), F.col("url"), F.col("data"), F.col("evidence")
     valid = lambda names: F.filter(names, C.is_param_name)
     queries = F.when(family.isin("call", "literal") & C.looks_like_route(url), _query_structs(url, F.col("confidence"), "param_name_miner")).otherwise(none)
@@ -195,8 +200,9 @@ def params(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:
     encoded = F.transform(valid(F.regexp_extract_all(data, F.lit(URLENCODED), F.lit(1))), lambda n: _param(n, F.lit("body"), F.lit("medium"), evidence, route=url))
     sent = F.when((family == "call") & ~F.col("kind").isin("open", "object"), F.concat(objects, encoded)).otherwise(none)
     one = F.when(~F.coalesce(C.is_param_name(F.col("name")), F.lit(False)), none).when(family == "append", F.array(_param(F.col("name"), F.col("kind"), F.lit("medium"), evidence))).when(family == "getter", F.array(_param(F.col("name"), F.lit("template"), F.lit("low"), evidence, source=F.lit("template_parser")))).otherwise(none)
-    mined = rows.withColumn("p", F.explode(F.concat(queries, sent, F.coalesce(one, none)))).select("source_file", "seq", "p.*")
-    return merge_evidence(markup.unionByName(mined), ["source_file", "name", "location", "route"], first=("inferred_type",), known=("default", "required"), sources="source", confidence="confidence", lists=("options",), cap=10)
+    mined = matched.withColumn("p", F.explode(F.concat(queries, sent, F.coalesce(one, none)))).select("source_file", "seq", "p.*")
+    rows = markup.unionByName(mined).withColumn("inferred_type", F.coalesce("inferred_type", C.inferred_type(F.col("name"), F.lit("text"))))
+    return merge_evidence(rows, ["source_file", "name", "location", "route"], first=("inferred_type",), known=("default", "required"), sources="source", confidence="confidence", lists=("options",), cap=10)
 
 
 def constraints(sources: DataFrame, events: DataFrame | None = None) -> DataFrame:

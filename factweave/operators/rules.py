@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,44 +61,45 @@ def needed(pattern: str) -> list[str] | None:
     return sorted(found) if 0 < len(found) <= MOST_TEXTS else None
 
 
-def might_match(low: Column, text: Column, rule: Rule) -> Column | None:
+def _sql(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def might_match(low: str, text: str, rule: Rule) -> str | None:
     """Whether a text, whose lower case is `low`, holds what the rule needs; other letters than ASCII may fold into it, so texts that have
     such are always searched. Null: no way to tell."""
     texts = needed(rule.pattern)
     if texts is None:
         return None
-    plain = F.octet_length(text) == F.length(text)
-    return ~plain | reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in texts))
-
+    return " OR ".join([f"octet_length({text}) <> length({text})", *(f"contains({low}, {_sql(x)})" for x in texts)])
 
-def _matches(text: Column, rules: list[Rule], fields: list[str], low: Column | None, every: bool) -> Column:
-    low = F.lower(text) if low is None else low
 
-    def of(number: int, rule: Rule) -> Column:
-        pattern = F.lit(rule.java)
-
-        def row(matched: Column, i: Column) -> Column:
-            value = lambda f: F.nullif(F.regexp_extract(matched, rule.java, rule.fields[f]), F.lit("")) if f in rule.fields else F.lit(None).cast("string")
-            return F.struct(F.lit(rule.kind).alias("kind"), F.lit(number).alias("rule_no"), i.alias("match_no"), matched.alias("matched"), *(value(f).alias(f) for f in fields))
-
-        found = F.regexp_extract_all(text, pattern, F.lit(0)) if every else F.array_compact(F.array(F.regexp_substr(text, pattern)))
+def _matches(text: str, rules: list[Rule], fields: list[str], low: str | None, every: bool) -> Column:
+    low, found = low or f"lower({text})", []
+    for number, rule in enumerate(rules):
+        pattern = _sql(rule.java)
+        values = [f"nullif(regexp_extract(m, {pattern}, {rule.fields[f]}), '')" if f in rule.fields else "CAST(NULL AS STRING)" for f in fields]
+        row = ", ".join([f"'kind', {_sql(rule.kind)}, 'rule_no', {number}, 'match_no', i, 'matched', m", *(f"{_sql(f)}, {v}" for f, v in zip(fields, values, strict=True))])
+        matched = f"regexp_extract_all({text}, {pattern}, 0)" if every else f"array_compact(array(regexp_substr({text}, {pattern})))"
         likely = might_match(low, text, rule)
-        return F.transform(found if likely is None else F.when(likely, found).otherwise(F.array().cast("array<string>")), row)
-
-    return F.flatten(F.array(*(of(k, r) for k, r in enumerate(rules))))
+        if likely is not None:
+            matched = f"IF({likely}, {matched}, CAST(array() AS ARRAY<STRING>))"
+        found.append(f"transform({matched}, (m, i) -> named_struct({row}))")
+    return F.expr(f"flatten(array({', '.join(found)}))")
 
 
-def every_match(text: Column, rules: list[Rule], fields: list[str], low: Column | None = None) -> Column:
-    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule; groups that took no part, or matched empty
-    text, are null.
+def every_match(text: str, rules: list[Rule], fields: list[str], low: str | None = None) -> Column:
+    """array<struct<kind, rule_no, match_no, matched, *fields>>: each match of each rule in a column; groups that took no part, or matched
+    empty text, are null.
 
     A text is searched for a rule only where it holds a text that the rule needs, and once; groups are read from what matched. low: the
-    text in lower case, if there is a column of it.
+    column of the text in lower case, if there is one.
     """
     return _matches(text, rules, fields, low, True)
 
 
-def first_match(text: Column, rules: list[Rule], fields: list[str], low: Column | None = None) -> Column:
+def first_match(text: str, rules: list[Rule], fields: list[str], low: str | None = None) -> Column:
     """The same with the first match of each rule only; the search ends there."""
     return _matches(text, rules, fields, low, False)
 
@@ -112,5 +112,5 @@ def source_lines(sources: DataFrame) -> DataFrame:
 
 def matches(rows: DataFrame, text: str, rules: list[Rule], fields: list[str], *, every: bool = True) -> DataFrame:
     """A row for each match, with the columns of `rows`. Each row's text is read once for all rules."""
-    found = (every_match if every else first_match)(F.col(text), rules, fields, F.col("low_"))
+    found = (every_match if every else first_match)(text, rules, fields, "low_")
     return rows.withColumn("low_", F.lower(text)).withColumn("m", F.explode(found)).select(*rows.columns, "m.*")

@@ -94,7 +94,7 @@ def _evidence(pattern: Column) -> Column:
 
 
 def _matched(lines: DataFrame, rules: list[Rule], fields: list[str]) -> DataFrame:
-    return lines.withColumn("m", F.explode(first_match(F.col("line"), rules, fields))).select(*lines.columns, "m.*").withColumn("seq", F.struct("source_file", "line_no", F.lit(0).alias("part"), "rule_no"))
+    return lines.withColumn("m", F.explode(first_match("line", rules, fields))).select(*lines.columns, "m.*").withColumn("seq", F.struct("source_file", "line_no", F.lit(0).alias("part"), "rule_no"))
 
 
 def _option_rows(lines: DataFrame, option: str, glued: bool) -> DataFrame:

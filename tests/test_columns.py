@@ -113,9 +113,9 @@ def test_needed_texts_never_hide_a_match(spark):
     assert len(lists) > 15
     for own in lists:
         fields = sorted({f for r in own for f in r.fields})
-        with_all = [rules.every_match(F.col("line"), own, fields).alias("a"), rules.first_match(F.col("line"), own, fields).alias("b")]
+        with_all = [rules.every_match("line", own, fields).alias("a"), rules.first_match("line", own, fields).alias("b")]
         kept, rules.MOST_TEXTS = rules.MOST_TEXTS, 0
-        without = [rules.every_match(F.col("line"), own, fields).alias("c"), F.filter(rules.every_match(F.col("line"), own, fields), lambda m: m["match_no"] == 0).alias("d")]
+        without = [rules.every_match("line", own, fields).alias("c"), F.filter(rules.every_match("line", own, fields), lambda m: m["match_no"] == 0).alias("d")]
         rules.MOST_TEXTS = kept
         for r in lines.select("line", *with_all, *without).collect():
             assert r.a == r.c and r.b == r.d, r.line
