@@ -48,7 +48,7 @@ def is_page(name: str) -> bool:
 
 def text_of(raw: bytes) -> str:
     """UTF-8 without a byte order mark; bytes that are none go."""
-    return raw.decode("utf-8", "ignore").removeprefix("﻿")
+    return raw.decode("utf-8", "ignore").removeprefix("\ufeff")
 
 
 def warned(kind: str, message: str, at: int = -1) -> Entry:

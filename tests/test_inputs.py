@@ -73,7 +73,7 @@ def test_default_places(spark, tmp_path):
 def test_contexts(spark, tmp_path):
     with pytest.raises(Exception, match="no .*preprocessed.json below"):
         inputs.read_inputs(spark, "contexts", str(tmp_path)).collect()
-    put(tmp_path, **{"x/b.preprocessed.json": "﻿" + json.dumps({"binary": "b"}), "a.json": "{}"})
+    put(tmp_path, **{"x/b.preprocessed.json": "\ufeff" + json.dumps({"binary": "b"}), "a.json": "{}"})
     (row,) = shown(inputs.read_inputs(spark, "contexts", str(tmp_path)))
     assert json.loads(row[3]) == {"binary": "b"}
 
