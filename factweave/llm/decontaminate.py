@@ -34,8 +34,10 @@ SLICE_TOKENS = 500_000
 #: Equal tokens that a stretch needs, or this share of an item's tokens if that is less.
 MATCHED, SHARE = 10, 0.8
 SIEVE_BITS = 22
-#: Hits made at once, before equal diagonals are told apart.
-HITS = 500_000
+#: Bytes of text searched at once.
+BLOCK_BYTES = 2_000_000
+#: Hits made at once, before equal diagonals are told apart; tokens of diagonals compared at once.
+HITS = 200_000
 #: Diagonals of a text and an item that are looked at first.
 FIRST_DIAGONALS = 16
 
@@ -214,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def search(part: Benchmark) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in ta.blocks(batches):
+            for block in ta.blocks(batches, most=BLOCK_BYTES):
                 pairs = part.pairs(block.column("text"))
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([block.column("doc_id").take(pa.array(pairs[:, 0])), part.ids.take(pa.array(pairs[:, 1])), *(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2, 6))], names)
@@ -234,7 +236,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for last, part in slices(benchmark):
 
         def work(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            for block in ta.blocks(batches):
+            for block in ta.blocks(batches, most=BLOCK_BYTES):
                 keep = np.ones(block.num_rows, bool)
                 keep[part.pairs(block.column("text"))[:, 0]] = False
                 yield block.filter(pa.array(keep))
