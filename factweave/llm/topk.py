@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.shared import shared_folder
+from factweave.llm.shared import shared_folder, stored
 
 SCHEMA = "query_id long, vec_id long, score long"
 #: Queries that a task holds at once; their vectors are what is sent to every task.
@@ -101,7 +101,7 @@ def matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def top_k(vectors: DataFrame, *, is_query: str, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k best candidates of every row for which `is_query`, an SQL condition on vec_id."""
     rows = whole_vectors(vectors, id_column, vector_column, scale)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = stored(rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     folder = found = None
     for b in range(n_blocks):
