@@ -573,7 +573,7 @@ def symbol_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses derived from order prices and the functions, derived from parts, that contain them."""
     functions = table(spark, sf_dir, "part").where("p_size > 0").selectExpr("0 AS doc_id", "p_partkey AS name", "p_partkey * 100 AS start", "p_partkey * 100 + p_size AS stop")
-    addresses = table(spark, sf_dir, "orders").selectExpr("0 AS doc_id", "o_orderkey AS ea_key", "CAST(round(o_totalprice) AS BIGINT) AS ea")
+    addresses = table(spark, sf_dir, "orders").selectExpr("0 AS doc_id", "o_orderkey AS ea_key", "CAST(rint(o_totalprice) AS BIGINT) AS ea")
     return binary.functions_at(addresses, functions).select("ea_key", "name")
 
 
