@@ -6,7 +6,7 @@ interfaces are dimension tables of fixed size, so they may be broadcast; everyth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import columns as C
@@ -205,27 +205,53 @@ def resolved_symbols(wanted: DataFrame, names: DataFrame, shortest: int = 3) ->
     return best
 
 
-#: Cells that hold ranges are 2^0, 2^2, 2^4 ... addresses wide.
+#: Cells of level k are 4^k addresses wide.
 CELL_BITS, ADDRESS_BITS = 2, 64
+TOP = ADDRESS_BITS // CELL_BITS - 1
+
+
+def cells_of(functions: DataFrame) -> DataFrame:
+    """The ranges with level and cell: aligned cells that lie in a range, do not overlap, and together make it up; of each level six at most.
+
+    At each level a range keeps what its whole cells of the next level leave at its two ends.
+    """
+    bits = f"{CELL_BITS} * level"
+    down = lambda x, by: f"shiftright({x}, CAST({by} AS INT))"
+    up = lambda x, by: f"({down(x, by)} + IF(shiftleft({down(x, by)}, CAST({by} AS INT)) < {x}, 1, 0))"
+    rows = functions.where("start < stop").withColumn("level", F.expr(f"explode(sequence(0, least({TOP}, CAST(length(bin(try_subtract(stop, start))) DIV {CELL_BITS} AS INT))))"))
+    rows = rows.withColumns({"lo_": F.expr(up("start", bits)), "hi_": F.expr(down("stop", bits))}).where("lo_ < hi_")
+    rows = rows.withColumns({"in_": F.expr(f"IF(level = {TOP}, hi_, {up('start', f'least({ADDRESS_BITS - CELL_BITS}, {bits} + {CELL_BITS})')})"), "out_": F.expr(f"IF(level = {TOP}, hi_, {down('stop', f'least({ADDRESS_BITS - CELL_BITS}, {bits} + {CELL_BITS})')})")})
+    rows = rows.withColumns({"in_": F.expr(f"IF(level = {TOP} OR in_ >= out_, hi_, in_ * {1 << CELL_BITS})"), "out_": F.expr(f"IF(level = {TOP} OR in_ >= out_, hi_, out_ * {1 << CELL_BITS})")})
+    return rows.withColumn("cell", F.expr("explode(concat(filter(transform(sequence(0, 5), i -> try_add(lo_, i)), c -> c < in_), filter(transform(sequence(-3, -1), i -> try_add(hi_, i)), c -> c >= out_)))")).drop("lo_", "hi_", "in_", "out_")
+
+
+def _levels(cells: DataFrame, addresses: DataFrame) -> DataFrame:
+    """A row for each address and each level that cells have, with the address's cell there. The driver gets the levels, 32 at most."""
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())
+    return addresses.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cell", F.expr(f"shiftright(ea, CAST({CELL_BITS} * level AS INT))"))
 
 
 def functions_at(addresses: DataFrame, functions: DataFrame) -> DataFrame:
     """Each address with every function that contains it (start <= ea < stop).
 
-    addresses: doc_id, ea; functions: doc_id, name, start, stop. A range lies in the one or two cells of the smallest width that is no
-    smaller than its own, whatever its length, so it adds two rows at most. An address looks into its cell of each width that ranges
-    have; those are 32 at most and the one thing that the driver gets.
+    addresses: doc_id, ea; functions: doc_id, name, start, stop. An address lies in one cell of a range that holds it and in none of any
+    other, so the rows that meet are those that are returned, whatever the ranges' lengths.
+    """
+    cells = cells_of(functions)
+    return _levels(cells, addresses).join(cells, ["doc_id", "level", "cell"]).drop("level", "cell")
+
+
+def totals_at(addresses: DataFrame, functions: DataFrame, sums: dict[str, Column], least: dict[str, Column]) -> DataFrame:
+    """Each address that a function contains, with sums and smallest values over all functions that contain it; no pairs are made.
+
+    addresses: doc_id, ea and more; functions: doc_id, start, stop and what the columns read. Each cell is summed up once, and each
+    different address takes up its one cell of each level.
     """
-    sizes = F.col("stop") - F.col("start")
-    width = F.when(sizes <= 1, 0)
-    for k in range(1, ADDRESS_BITS // CELL_BITS):
-        width = width.when(sizes <= F.lit(1 << min(CELL_BITS * k, 62)), k)
-    placed = functions.where("start < stop").withColumn("width", F.coalesce(width, F.lit(ADDRESS_BITS // CELL_BITS - 1)))
-    cell = lambda x: F.expr(f"shiftright({x}, CAST({CELL_BITS} * width AS INT))")
-    cells = placed.withColumn("cell", F.explode(F.array_distinct(F.array(cell("start"), cell("stop - 1")))))
-    widths = sorted(r[0] for r in placed.select("width").distinct().collect())
-    here = addresses.withColumn("width", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("cell", cell("ea"))
-    return here.join(cells, ["doc_id", "width", "cell"]).where("start <= ea AND ea < stop").drop("width", "cell")
+    cells = cells_of(functions)
+    of_cell = cells.groupBy("doc_id", "level", "cell").agg(*(F.sum(c).alias(k) for k, c in sums.items()), *(F.min(c).alias(k) for k, c in least.items()))
+    points = _levels(cells, addresses.select("doc_id", "ea").distinct())
+    found = points.join(of_cell, ["doc_id", "level", "cell"]).groupBy("doc_id", "ea").agg(*(F.sum(k).alias(k) for k in sums), *(F.min(k).alias(k) for k in least))
+    return addresses.join(found, ["doc_id", "ea"])
 
 
 def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:

@@ -50,3 +50,8 @@ def spread(rows: DataFrame) -> DataFrame:
     """Rows read from files, for work that is long for each row: over all cores where the files give fewer partitions."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows from which long work for each follows: over all cores, some tasks for each, however few row groups their files have."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)

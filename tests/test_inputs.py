@@ -284,6 +284,27 @@ def test_containing_functions_at_any_width(spark):
     assert sorted((r.doc_id, r.ea, r.name) for r in found.collect()) == expected
 
 
+def test_ranges_meet_only_the_addresses_they_hold(spark):
+    rng = random.Random(5)
+    ends = [(a, a + w) for a, w in ((rng.randrange(-(2**30), 2**30), rng.choice([1, 2, 3, 5, 6, 7, 63, 64, 1000, 2**20 + 1, 2**40])) for _ in range(60))]
+    ends += [(-(2**63), 2**63 - 1), (-(2**63), -(2**63) + 1), (2**63 - 2, 2**63 - 1), (-(2**62), 2**62), (7, 7), (9, 3), (-5, 2**62 + 5)]
+    ranges = spark.createDataFrame([(0, k, a, b) for k, (a, b) in enumerate(ends)], "doc_id int, name long, start long, stop long")
+    points = sorted({min(max(x, -(2**63)), 2**63 - 1) for a, b in ends for x in (a - 1, a, (a + b) // 2, b - 1, b)})
+    places = {}
+    for r in binary.cells_of(ranges).collect():
+        places.setdefault(r.name, []).append((r.cell << 2 * r.level, (r.cell + 1) << 2 * r.level))
+    for name, (a, b) in enumerate(ends):
+        cells = sorted(places.get(name, []))
+        assert len(cells) <= 6 * 32 and all(x[1] == y[0] for x, y in zip(cells, cells[1:], strict=False))
+        assert (cells[0][0], cells[-1][1]) == (a, b) if a < b else not cells
+    addresses = spark.createDataFrame([(0, x, k) for k, x in enumerate(points)] + [(1, 0, -1)], "doc_id int, ea long, key long")
+    pairs = sorted((k, n) for k, x in enumerate(points) for n, (a, b) in enumerate(ends) if a <= x < b)
+    assert sorted((r.key, r.name) for r in binary.functions_at(addresses, ranges).collect()) == pairs
+    found = binary.totals_at(addresses, ranges, {"n": F.lit(1), "names": F.col("name")}, {"first": F.col("name")})
+    expected = {k: [n for j, n in pairs if j == k] for k, _ in pairs}
+    assert {r.key: (r.n, r.names, r.first) for r in found.collect()} == {k: (len(v), sum(v), min(v)) for k, v in expected.items()}
+
+
 def plain_edges(calls, candidates, cap):
     """Function by function, by address; a function is walked through once for each candidate address in it."""
     seen, out = set(), []
