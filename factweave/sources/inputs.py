@@ -33,6 +33,8 @@ from factweave.sources.bundles import INPUT_TYPES
 SCHEMA = "input string, entry int, source_file string, content string, warning string, message string"
 #: Bytes of inputs in a partition.
 PARTITION_BYTES = 32 << 20
+#: Characters of bundles whose entries leave Python together; a longer bundle goes alone.
+BATCH_CHARS = 4 << 20
 # Where inputs lie by default, below a root; later lists are used where the earlier ones find nothing.
 DEFAULT_GLOBS = {
     "config": [["output/web_json/*/web_server_config_sources.readable.json", "collector/output/web_json/*/web_server_config_sources.readable.json"]],
@@ -207,6 +209,26 @@ def read_inputs(spark: SparkSession, kind: str, path: str | None = None, **optio
     return reader.load(path) if path is not None else reader.load()
 
 
+def bundle_batches(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """The rows of many bundles in one batch, as many as BATCH_CHARS of their texts give."""
+    types = (pa.string(), pa.int32(), *[pa.string()] * 4)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["input", "entry", "source_file", "content", "warning", "message"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py() or ""
+            if rows and held + len(text) > BATCH_CHARS:
+                yield packed(rows)
+                rows, held = [], 0
+            rows += [(name, *entry) for entry in bundle_entries(text, kind)]
+            held += len(text)
+    if rows:
+        yield packed(rows)
+
+
 def parsed_bundles(bundles: DataFrame, kind: str, pages: DataFrame | None = None) -> DataFrame:
     """The same rows from a table of bundles: input, content (their text).
 
@@ -214,12 +236,7 @@ def parsed_bundles(bundles: DataFrame, kind: str, pages: DataFrame | None = None
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(name, *entry) for entry in bundle_entries(text.as_py() or "", kind)]
-                columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), *[pa.string()] * 4), strict=True)] if rows else []
-                if columns:
-                    yield pa.RecordBatch.from_arrays(columns, ["input", "entry", "source_file", "content", "warning", "message"])
+        return bundle_batches(batches, kind)
 
     rows = bundles.select(F.col("input").cast("string"), F.regexp_replace("content", "^\\uFEFF", "").alias("content")).mapInArrow(work, SCHEMA)
     if pages is not None:
