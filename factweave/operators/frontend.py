@@ -226,26 +226,25 @@ def constraints(sources: DataFrame, events: DataFrame | None = None) -> DataFram
 
 
 def hints(sources: DataFrame, words: dict[str, str], events: DataFrame | None = None) -> DataFrame:
-    """source_file, kind, value, source: texts, names and addresses that speak of the given keywords."""
+    """source_file, kind, value, source: texts, names and addresses that speak of the given keywords. Pages are parsed and searched once."""
     events = html_events(sources) if events is None else events
-    event = lambda frame, text, source, confidence, evidence: frame.select("source_file", text.alias("value"), source.alias("source"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"), _seq(0, "pos").alias("seq"))
-    refs = events.where("kind = 'ref' AND text <> '' AND NOT startswith(text, '#')")
-    fields = events.where("kind = 'field'").withColumn("name", _name()).where("name <> ''").withColumn("shown", rendered(F.col("tag"), FIELD_KEYS))
-    secret = fields.where((F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower("name"), V.SECRET_WORDS))
-    calls = script_calls(sources).where(C.looks_like_route(F.col("url")))
-    rows = [
-        event(refs, F.col("text"), F.concat_ws(":", "tag", "text"), "medium", F.col("text")),
-        event(events.where("kind = 'meta' AND text <> ''"), F.col("text"), rendered(F.lit("meta"), ["name", "http-equiv", "content"]), "medium", F.col("text")),
-        event(events.where("kind = 'text'"), F.col("text"), F.concat("tag", F.lit(" text:"), "text"), "medium", F.col("text")),
-        event(fields, F.col("name"), F.concat(F.lit("param:"), "name"), "high", F.col("shown")),
-        event(fields.where(F.coalesce(attribute("value"), F.lit("")) != ""), attribute("value"), F.concat(F.lit("default:"), "name"), "medium", F.col("shown")),
-        calls.select("source_file", F.col("url").alias("value"), F.when(F.col("kind") == "object", "js_object_route_miner").otherwise("js_api_parser").alias("source"), F.when(F.col("kind") == "object", "medium").otherwise("high").alias("confidence"), "evidence", _seq(2, "rule_no", "match_no").alias("seq")),
-    ]
+    own, text, name, shown = F.col("kind"), F.col("text"), _name(), rendered(F.col("tag"), FIELD_KEYS)
+    hint = lambda value, source, confidence, evidence: F.struct(value.alias("value"), source.alias("source"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))
+    of_field = [hint(name, F.concat(F.lit("param:"), name), "high", shown), F.when(F.coalesce(attribute("value"), F.lit("")) != "", hint(attribute("value"), F.concat(F.lit("default:"), name), "medium", shown))]
     if words is V.AUTH_WORDS:
-        rows.append(event(secret, F.col("name"), F.concat(F.lit("input:"), "name"), "high", F.col("shown")))
-    whole = rows[0]
-    for part in rows[1:]:
-        whole = whole.unionByName(part)
+        secret = (F.lower(F.coalesce(attribute("type"), F.lit("text"))) == "hidden") & C.any_word(F.lower(name), V.SECRET_WORDS)
+        of_field.append(F.when(secret, hint(name, F.concat(F.lit("input:"), name), "high", shown)))
+    of_event = (
+        F.when((own == "ref") & (text != "") & ~F.startswith(text, F.lit("#")), F.array(hint(text, F.concat_ws(":", "tag", "text"), "medium", text)))
+        .when((own == "meta") & (text != ""), F.array(hint(text, rendered(F.lit("meta"), ["name", "http-equiv", "content"]), "medium", text)))
+        .when(own == "text", F.array(hint(text, F.concat("tag", F.lit(" text:"), "text"), "medium", text)))
+        .when((own == "field") & (name != ""), F.array_compact(F.array(*of_field)))
+    )
+    of_markup = events.where("kind IN ('ref', 'meta', 'text', 'field')").withColumn("h", F.explode(of_event)).select("source_file", "h.*", _seq(0, "pos").alias("seq"))
+    calls = script_calls(sources).where(C.looks_like_route(F.col("url")))
+    mined = F.col("kind") == "object"
+    of_script = calls.select("source_file", F.col("url").alias("value"), F.when(mined, "js_object_route_miner").otherwise("js_api_parser").alias("source"), F.when(mined, "medium").otherwise("high").alias("confidence"), "evidence", _seq(2, "rule_no", "match_no").alias("seq"))
+    whole = of_markup.unionByName(of_script)
     whole = whole.withColumn("kind", C.keyword_kind(F.col("value"), words)).where("kind IS NOT NULL")
     return merge_evidence(whole, ["source_file", "kind", "value", "source"], confidence="confidence", cap=10)
 

@@ -14,7 +14,7 @@ from factweave.functions import columns as C
 from factweave.functions import vocabulary as V
 from factweave.operators import backend, binary, crawl, frontend, fuse, rules, serverconfig
 from factweave.plans import corpora
-from factweave.session import ensure_checkpoints, spread
+from factweave.session import dealt, ensure_checkpoints, spread
 from factweave.sources import bundles
 from factweave.streaming import arrivals
 
@@ -362,7 +362,7 @@ def page_auth_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_state_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hints at state changes in links, captions and meta tags derived from orders."""
     text = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN '<a href="/reboot.asp">x</a>' WHEN 1 THEN '<button>Save all</button>' ELSE '<meta content="0; url=/upgrade">' END""")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_file"), text.alias("content"))
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").cast("string").alias("source_file"), text.alias("content"))
     return frontend.hints(rows, V.STATE_WORDS).select(F.col("source_file").cast("long").alias("source_file"), "kind", "source")
 
 
