@@ -287,12 +287,27 @@ def stage_counts(contexts: DataFrame) -> DataFrame:
 
 def summary(contexts: DataFrame) -> DataFrame:
     """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category. Contexts are read once and
-    written; the tables read what they need of them."""
+    written; of what was written strings, references and texts of functions are searched once for all tables that they fill. A fact is
+    told by the keys of its table, so all but candidate functions are counted as different rows."""
     contexts = stored(contexts)
-    tables = {"routes": tagged(contexts, "route"), "auth_hints": tagged(contexts, "auth"), "state_hints": tagged(contexts, "state"), "response_strings": tagged(contexts, "response"), "strings": first_wins(strings_of(contexts).select("doc_id", "addr", F.col("pos").alias("seq")), ["doc_id", "addr"]), "handlers": handlers(contexts), "route_mappings": route_mappings(contexts), "params": params(contexts), "config_accesses": config_accesses(contexts), "sinks": sinks(contexts), "constraints": constraints(contexts), "references": string_references(contexts), "functions": candidate_functions(contexts)}
-    rows = None
-    for name, table in tables.items():
-        part = table.select("doc_id", F.lit(name).alias("table"))
-        rows = part if rows is None else rows.unionAll(part)
-    counts = rows.groupBy("doc_id").pivot("table", list(tables)).agg(F.count(F.lit(1))).na.fill(0)
+    tables = ["routes", "auth_hints", "state_hints", "response_strings", "strings", "handlers", "route_mappings", "params", "config_accesses", "sinks", "constraints", "references", "functions"]
+    nothing = F.lit(None).cast("string")
+    fact = lambda table, *keys: F.struct(F.lit(table).alias("table"), *(k.cast("string").alias(f"k{n}") for n, k in enumerate([*keys, *[nothing] * 4][:4])))
+    c = F.col
+    tags = {"route": "routes", "auth": "auth_hints", "state": "state_hints", "response": "response_strings"}
+    of_string = [F.when(F.array_contains("tags", tag), fact(table, c("value"))) for tag, table in tags.items()] + [fact("strings", c("addr")), F.when(C.is_reference(c("value")), fact("references", c("value")))]
+    texts = functions_of(contexts).select("doc_id", c("name").alias("function"), "text")
+    found = matches(texts, "text", PARAM_CALLS + CONFIG_CALLS + CONSTRAINTS, ["api", "args", "target", "operator", "value"]).withColumn("literals", C.c_strings(c("args")))
+    key, config_at, constraint_at = F.get("literals", F.lit(0)), len(PARAM_CALLS), len(PARAM_CALLS) + len(CONFIG_CALLS)
+    of_match = (
+        F.when(c("rule_no") >= constraint_at, fact("constraints", c("function"), c("kind"), F.coalesce("target", F.lit("")), F.coalesce("value", "api", F.lit(""))))
+        .when(c("rule_no") >= config_at, fact("config_accesses", c("function"), c("api"), key))
+        .when(F.size("literals") > 0, fact("params", c("function"), c("api"), key))
+    )
+    of_use = F.when(c("use") == "param", fact("params", c("function"), c("api"), c("api"))).when(c("use") == "config", fact("config_accesses", c("function"), c("api"), nothing)).otherwise(fact("sinks", c("api"), c("function"), c("function_addr"), c("xref_addr")))
+    facts = strings_of(contexts).select("doc_id", F.explode(F.array_compact(F.array(*of_string))).alias("f"))
+    facts = facts.unionAll(found.select("doc_id", of_match.alias("f")).where("f IS NOT NULL")).unionAll(import_uses(contexts).select("doc_id", of_use))
+    facts = facts.unionAll(handlers(contexts).select("doc_id", fact("handlers", c("name"), c("addr")))).unionAll(route_mappings(contexts).select("doc_id", fact("route_mappings", c("route"), c("handler"), c("handler_addr"))))
+    rows = facts.select("doc_id", "f.*").distinct().select("doc_id", "table").unionAll(candidate_functions(contexts).select("doc_id", F.lit("functions")))
+    counts = rows.groupBy("doc_id").pivot("table", tables).agg(F.count(F.lit(1))).na.fill(0)
     return counts.withColumn("hint_categories", F.create_map(F.lit("auth"), F.col("auth_hints"), F.lit("state"), F.col("state_hints"), F.lit("response"), F.col("response_strings")))

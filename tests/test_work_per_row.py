@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factweave.functions import vocabulary as V
-from factweave.operators import frontend
+from factweave.operators import binary, frontend
 from factweave.plans import corpora, intake
 from factweave.sources import inputs
 
@@ -40,3 +40,8 @@ def test_narrow_tables_in_one_file_are_dealt_over_all_cores(spark):
 def test_contexts_meet_in_one_shuffle_of_keys(spark):
     plan = corpora.contexts(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_summary_reads_contexts_for_all_tables_together(spark):
+    plan = binary.summary(corpora.contexts(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 13
