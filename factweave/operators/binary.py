@@ -188,11 +188,17 @@ def call_edges(calls: DataFrame, per_function: int = 32, visits: DataFrame | Non
     return once.select(out).unionByName(again.where(F.col("rank_") <= per_function * F.col("visits_")).select(out))
 
 
-def call_counts(edges: DataFrame) -> DataFrame:
-    """doc_id, addr, callers (call sites) and callees (distinct functions)."""
-    calls = edges.groupBy("doc_id", F.col("callee_addr").alias("addr")).agg(F.count("*").alias("callers"))
-    called = edges.groupBy("doc_id", F.col("caller_addr").alias("addr")).agg(F.count_distinct("callee_addr").alias("callees"))
-    return calls.join(called, ["doc_id", "addr"], "full").na.fill(0, ["callers", "callees"])
+def call_counts(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, addr, callers (call sites) and callees (distinct functions).
+
+    Both ends of a call are rows of one shuffle by function, so no task holds more groups than its part of the rows. parts: how many
+    there are, for callers who know the size of their edges; else Spark chooses.
+    """
+    ends = edges.select("doc_id", F.explode(F.array(F.struct(F.col("callee_addr").alias("addr"), F.lit(None).cast(edges.schema["callee_addr"].dataType).alias("callee"), F.lit(True).alias("called")), F.struct(F.col("caller_addr").alias("addr"), F.col("callee_addr").alias("callee"), F.lit(False).alias("called")))).alias("e")).select("doc_id", "e.*")
+    dealt = ends.repartition("doc_id", "addr") if parts is None else ends.repartition(parts, "doc_id", "addr")
+    pairs = dealt.groupBy("doc_id", "addr", "callee", "called").agg(F.count("*").alias("n"))
+    apart = F.when(F.col("addr").isNull(), F.col("called")).alias("apart")  # ends without an address are not one function
+    return pairs.groupBy("doc_id", "addr", apart).agg(F.sum(F.when(F.col("called"), F.col("n")).otherwise(0)).alias("callers"), F.count(F.when(~F.col("called"), F.col("callee"))).alias("callees")).drop("apart")
 
 
 def resolved_symbols(wanted: DataFrame, names: DataFrame, shortest: int = 3) -> DataFrame:

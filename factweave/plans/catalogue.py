@@ -558,7 +558,8 @@ def callgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P19 A20", f"WITH {EDGES}, i AS (SELECT doc_id, callee_addr AS addr, count(*) AS callers FROM e GROUP BY ALL), o AS (SELECT doc_id, caller_addr AS addr, count(DISTINCT callee_addr) AS callees FROM e GROUP BY ALL) SELECT doc_id, addr, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees FROM i FULL JOIN o USING (doc_id, addr)")
 def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call sites and called functions of every function."""
-    return binary.call_counts(corpora.call_graph(spark, sf_dir))
+    edges = corpora.call_graph(spark, sf_dir)
+    return binary.call_counts(edges, 16 * edges.rdd.getNumPartitions())  # files are split by size, so parts grow with them
 
 
 @query("P20 J8", "WITH w AS (SELECT DISTINCT 'sym' || (s_suppkey % 200) AS symbol FROM supplier), n AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_' END || 'sym' || p_partkey AS name, p_partkey AS pos FROM part) SELECT symbol, arg_min(name, (name <> symbol, pos)) AS name FROM w JOIN n ON ends_with(n.name, w.symbol) GROUP BY symbol")

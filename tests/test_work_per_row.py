@@ -45,3 +45,11 @@ def test_contexts_meet_in_one_shuffle_of_keys(spark):
 def test_summary_reads_contexts_for_all_tables_together(spark):
     plan = binary.summary(corpora.contexts(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 13
+
+
+def test_ends_of_calls_meet_in_one_shuffle(spark):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (0, 1, 3), (0, 2, 2), (1, 1, 1), (0, 5, None)], "doc_id int, caller_addr int, callee_addr int")
+    found = binary.call_counts(edges, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted((r.doc_id, r.addr, r.callers, r.callees) for r in found.where("addr IS NOT NULL").collect()) == [(0, 1, 0, 2), (0, 2, 3, 1), (0, 3, 1, 0), (0, 5, 0, 0), (1, 1, 1, 1)]
