@@ -2,11 +2,13 @@
 
 Equal lines are one text. Two texts are linked if they are within `distance` edits (of characters).
 
-A text is cut into distance + 1 segments; the edits leave one of them whole. Segments are indexed by text length, number
-and content; a text probes, for each length from its own down to `distance` less, the substrings that the position and the
-edits left allow. A pair that shares a segment is a candidate unless its counts of letters differ more than the edits can
-change. Candidates are verified by a banded bit-parallel edit distance: for each number of edits, one bit for each
-diagonal of the band, moved on by one character of the text at a time.
+A text has distance + 1 segments that don't overlap; the edits leave one of them whole. Texts of a few neighbouring lengths
+have segments of one size, the first ones placed from the start and the others from the end, so one key stands for all of
+these lengths. Segments are indexed by lengths, number and content; a text probes, for its own lengths and those below that
+are within `distance`, the substrings that the position and the edits left allow. A pair that shares a segment and is
+close in length is a candidate unless its counts of letters differ more than the edits can change. Candidates are
+verified by a banded bit-parallel edit distance: for each number of edits, one bit for each diagonal of the band, moved
+on by one character of the text at a time.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
 
@@ -21,49 +23,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.shared import release, written
+from factweave.llm.shared import release, stored, written
 
-def segment(length: Column, number: int, of: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment of a text; the later segments take what doesn't divide evenly."""
-    size, over = F.floor(length / of).cast("int"), (length % of).cast("int")
-    longer = F.greatest(over - (of - number), F.lit(0))
-    return size * number + longer + 1, size + (over - (of - 1 - number) > 0).cast("int")
 
+def lengths_of(length: Column) -> Column:
+    """The smallest of the lengths whose texts have segments of one size."""
+    return F.when(length < 32, length).when(length < 64, length.bitwiseAND(-4)).otherwise(length.bitwiseAND(-8))
 
-def index_keys(text: Column, length: Column, distance: int) -> Column:
-    """A key for each segment of a text."""
-    keys = []
-    for i in range(distance + 1):
-        start, size = segment(length, i, distance + 1)
-        keys.append(F.xxhash64(length, F.lit(i), F.substr(text, start, size)))
-    return F.array(*keys)
 
+def shifts(number: int, less: int, distance: int) -> list[int]:
+    """How far a segment of a text may stand from its place in a text that is longer by `less` to `distance`.
+
+    Before the first segment that is whole with all in front of it there are at most as many edits as segments. Segments
+    of the second half are placed from the end. Of two texts of one length that two edits set apart, either's middle
+    segment stands where it was, or one of them has the other's further on: so it is not looked for before its place.
+    """
+    found = set()
+    for more in range(less, distance + 1):
+        for shift in range(max(-number, more - (distance - number)), min(number, more + (distance - number)) + 1):
+            if more or shift >= 0 or distance > 2:
+                found.add(shift if 2 * number <= distance else shift - more)
+    return sorted(found)
+
+
+def keyed(texts: DataFrame, distance: int, index: bool) -> DataFrame:
+    """h, length and letters of every text with a key for each of its segments (index) or for each substring that may equal a segment."""
+    kinds = [(less, i, shift) for less in range(1 if index else distance + 1) for i in range(distance + 1) for shift in ([0] if index else shifts(i, less, distance))]
+    kind = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("number"), F.lit(shift).alias("shift")) for less, i, shift in kinds))
+    length, less, number = F.col("length"), F.col("less"), F.col("number")
+    rows = texts.select("h", "line", "length", "letters", F.inline(kind))
+    lengths = lengths_of(length - less)
+    # lengths that have their keys from a text nearer in length need no more
+    rows = rows.where((less == 0) | ((length - less > distance) & (lengths != lengths_of(length - less + 1))))
+    size = F.expr(f"lengths div {distance + 1}").cast("int")
+    start = F.when(2 * number <= distance, number * size).otherwise(length - (distance + 1 - number) * size)
+    rows = rows.withColumn("lengths", lengths)
+    return rows.select("h", "length", "letters", F.xxhash64("lengths", "number", F.substr("line", start + F.col("shift") + 1, size)).alias("key"))
 
-def probe_keys(text: Column, length: Column, distance: int) -> Column:
-    """A key for each substring that may equal a segment of a text up to `distance` shorter."""
-    keys = []
-    for less in range(distance + 1):
-        other = (length - less).cast("int")
-        for i in range(distance + 1):
-            start, size = segment(other, i, distance + 1)
-            for shift in range(max(-i, less - (distance - i)), min(i, less + (distance - i)) + 1):
-                keys.append(F.when(other > distance, F.xxhash64(other, F.lit(i), F.substr(text, start + shift, size))))
-    return F.array_compact(F.array(*keys))
+
+def holds_text(text: Column) -> Column:
+    return F.ltrim(text, F.lit(" \t\n\x0b\f\r")) != ""
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """did, version (of the text), pos, line, and two independent hashes h and g for every line that isn't blank."""
     rows = docs.select(doc_key().alias("did"), F.xxhash64("text").alias("version"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike(r"[^\s]")).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
+    return rows.where(holds_text(F.col("line"))).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """h, g, line, length and first (its first place) of every distinct line."""
-    return line_rows(docs).groupBy("h", "g", "line").agg(F.min(F.struct("did", "version", "pos")).alias("first")).withColumn("length", F.length("line"))
+def firsts_of(lines: DataFrame) -> DataFrame:
+    """h, g, first (its first place) and copies of every distinct line."""
+    return lines.groupBy("h", "g").agg(F.min(F.struct("did", "version", "pos")).alias("first"), F.count("*").alias("copies"))
 
 
 #: Letters that are counted.
@@ -128,36 +142,46 @@ def within(a: Column, b: Column, distance: int) -> Column:
 
 
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """a, b, first_a, first_b and edits for each pair of different texts within the distance, once. a and b: h and g of a text.
+    """a, b, first_a, first_b and edits for each pair of different texts within the distance, once. a and b: h and g of a text."""
+    return links_of(docs, firsts_of(line_rows(docs)), distance)
+
+
+def links_of(docs: DataFrame, firsts: DataFrame, distance: int) -> DataFrame:
+    """line_links() with the first places at hand.
 
     The distinct texts are written once, as they are read for the index, for the probes and for verification.
     """
-    line, length = F.col("line"), F.col("length")
-    texts = written(texts_of(docs).where(length > distance).withColumn("letters", letters(line)))
-    index = texts.select(F.col("h").alias("a"), F.col("letters").alias("letters_a"), F.explode(index_keys(line, length, distance)).alias("key"))
-    probe = texts.select(F.col("h").alias("b"), F.col("letters").alias("letters_b"), F.explode(probe_keys(line, length, distance)).alias("key"))
-    close = (F.col("a") != F.col("b")) & may_be_close(F.col("letters_a"), F.col("letters_b"), distance)
+    texts = line_rows(docs).select("h", "g", "line").distinct().withColumn("length", F.length("line")).where(F.col("length") > distance)
+    texts = written(texts.withColumn("letters", letters(F.col("line"))))
+    index = keyed(texts, distance, index=True).withColumnsRenamed({"h": "a", "length": "length_a", "letters": "letters_a"})
+    probe = keyed(texts, distance, index=False).withColumnsRenamed({"h": "b", "length": "length_b", "letters": "letters_b"})
+    close = (F.col("a") != F.col("b")) & F.col("length_b").between(F.col("length_a"), F.col("length_a") + distance)
+    close &= may_be_close(F.col("letters_a"), F.col("letters_b"), distance)
     pairs = index.join(probe, "key").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     release(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    met = texts.select("h", "g", "line", "first").join(wanted, "h").checkpoint()
+    met = texts.select("h", "g", "line").join(wanted, "h").checkpoint()
     release(docs.sparkSession)
-    side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("g", "line", "first")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", within(F.col("line_a"), F.col("line_b"), distance))
-    return both.where("edits IS NOT NULL").select(F.struct(F.col("a").alias("h"), F.col("g_a").alias("g")).alias("a"), F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")).alias("b"), "first_a", "first_b", "edits")
+    side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("g", "line")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", within(F.col("line_a"), F.col("line_b"), distance)).where("edits IS NOT NULL")
+    links = both.select(F.struct(F.col("a").alias("h"), F.col("g_a").alias("g")).alias("a"), F.struct(F.col("b").alias("h"), F.col("g_b").alias("g")).alias("b"), "edits").checkpoint()
+    ends = links.select("a.*").unionAll(links.select("b.*")).distinct()
+    first = ends.join(firsts, ["h", "g"]).select(F.struct("h", "g").alias("end"), "first").checkpoint()
+    place = lambda name: first.select(F.col("end").alias(name), F.col("first").alias(f"first_{name}"))
+    return links.join(place("a"), "a").join(place("b"), "b").select("a", "b", "first_a", "first_b", "edits")
 
 
 def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:
     """All columns, `text` without the lines that go, n_lines (not blank), n_removed and n_links (of the document's lines to other texts)."""
     docs = docs.drop("n_lines", "n_removed", "n_links")
-    links = line_links(docs, distance).checkpoint()
+    lines = stored(line_rows(docs).select("did", "version", "pos", "h", "g"))
+    firsts = stored(firsts_of(lines))
+    links = links_of(docs, firsts, distance).checkpoint()
     release(docs.sparkSession)
     ends = links.select("a.*", (F.col("first_b") < F.col("first_a")).alias("goes")).unionAll(links.select("b.*", (F.col("first_a") < F.col("first_b")).alias("goes")))
     ends = ends.groupBy("h", "g").agg(F.max("goes").alias("goes"), F.count("*").alias("links"))
-    lines = line_rows(docs).select("did", "version", "pos", "h", "g")
-    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("did", "version", "pos")).alias("first"), F.count("*").alias("copies"))
     # texts that stand once and have no links decide nothing
-    told = firsts.join(ends, ["h", "g"], "left").where("copies > 1 OR links > 0")
+    told = stored(firsts.join(ends, ["h", "g"], "left").where("copies > 1 OR links > 0"))
     marked = lines.join(told, ["h", "g"]).withColumn("out", F.coalesce("goes", F.lit(False)) | (F.struct("did", "version", "pos") != F.col("first")))
     # a set, as a repeated row has the same lines again
     told_lines = F.collect_set(F.struct("pos", "out", F.coalesce("links", F.lit(0)).alias("links")))
@@ -172,11 +196,11 @@ def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.size("parts ") - 1), F.col("removed "))
     text = F.when(F.size("removed ") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts ", i)), "\n"))
     return keyed.select(
-        *(text.alias("text") if n == "text" else F.col(n) for n in names), F.coalesce(F.size(F.filter("parts ", lambda x: x.rlike(r"[^\s]"))), F.lit(0)).cast("long").alias("n_lines"), F.size("removed ").cast("long").alias("n_removed"), F.coalesce(F.col("links "), F.lit(0)).cast("long").alias("n_links")
+        *(text.alias("text") if n == "text" else F.col(n) for n in names), F.coalesce(F.size(F.filter("parts ", holds_text)), F.lit(0)).cast("long").alias("n_lines"), F.size("removed ").cast("long").alias("n_removed"), F.coalesce(F.col("links "), F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def keep_fresh(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The documents with their columns, without repeated lines; a document of which nothing is left goes."""
     out = dedup_lines(docs, distance)
-    return out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\s]"))).select(docs.columns)
+    return out.where(~((F.col("n_removed") > 0) & ~holds_text(F.col("text")))).select(docs.columns)

@@ -341,6 +341,43 @@ def test_short_lines_are_linked(spark):
     assert {tuple(sorted((r.first_a.did, r.first_b.did))) for r in found} == expected and len(found) == len(expected) >= 6
 
 
+@pytest.mark.parametrize("distance", [1, 2, 4])
+def test_lines_at_the_borders_of_lengths_are_linked(spark, distance):
+    rng = random.Random(8)
+    lines = []
+    for size in [*range(5, 13), 17, 18, *range(28, 38), 47, 48, 49, *range(61, 75), 79, 80, 81, 95, 96, 97]:
+        base = "".join(rng.choice("ab é\U0001f600") for _ in range(size))
+        lines.append(base)
+        for _ in range(6):
+            line = base
+            for _ in range(rng.randrange(1, distance + 1)):
+                i = rng.randrange(len(line))
+                line = rng.choice([line[:i] + line[i + 1 :], line[:i] + rng.choice("xa ") + line[i:], line[:i] + rng.choice("xa ") + line[i + 1 :]])
+            lines.append(line)
+        first, middle, last = base[: size // 3], base[size // 3 : -(size // 3)], base[-(size // 3) :]
+        lines += ["x" + first[1:] + middle + last[:-1] + "x", first[1:] + middle + last + "x", "x" + first + middle + last[:-1], "x" + first + middle + last + "x", first[1:] + middle + last[:-1]]
+    lines = [x for x in dict.fromkeys(lines) if x.strip()]
+    expected = {(a, b): n for a in range(len(lines)) for b in range(a + 1, len(lines)) if abs(len(lines[a]) - len(lines[b])) <= distance < min(len(lines[a]), len(lines[b])) and (n := edits(lines[a], lines[b])) <= distance}
+    found = linededup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), distance).collect()
+    assert len(found) == len(expected) > 100
+    assert {tuple(sorted((r.first_a.did, r.first_b.did))): r.edits for r in found} == expected
+
+
+def test_few_keys_for_a_line(spark):
+    texts = spark.range(24, 280).selectExpr("id AS h", "repeat('x', int(id)) AS line", "int(id) AS length", "0L AS letters")
+    keys = [linededup.keyed(texts, 2, index).groupBy("h").count().collect() for index in (True, False)]
+    assert {r["count"] for r in keys[0]} == {3}
+    assert sum(r["count"] for r in keys[1]) < 6 * 256  # 12 for each line before
+    assert {r["count"] for r in keys[1] if r.h >= 64} == {4, 7, 8}
+
+
+def test_kinds_of_white_space(spark):
+    blank = " \t\v\f\r "
+    text = f"{blank}\n\u00a0\n\n{blank}x\n{blank}\n\u00a0\n\u2028"
+    got = linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.text, got.n_lines, got.n_removed, got.n_links) == (f"{blank}\n\u00a0\n\n{blank}x\n{blank}\n\u2028", 4, 1, 0)
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in rng.normal(size=20)], 1) for k in range(300)]
