@@ -5,10 +5,11 @@ Equal lines are one text. Two texts are linked if they are within `distance` edi
 A text has distance + 1 segments that don't overlap; the edits leave one of them whole. Texts of a few neighbouring lengths
 have segments of one size, the first ones placed from the start and the others from the end, so one key stands for all of
 these lengths. Segments are indexed by lengths, number and content; a text probes, for its own lengths and those below that
-are within `distance`, the substrings that the position and the edits left allow. A pair that shares a segment and is
-close in length is a candidate unless its counts of letters differ more than the edits can change. Candidates are
-verified by a banded bit-parallel edit distance: for each number of edits, one bit for each diagonal of the band, moved
-on by one character of the text at a time.
+are within `distance`, the substrings that the position and the edits left allow. Keys that stand once are left out before
+letters are counted, so that only texts with a shared key have theirs counted. A pair that shares a segment and is close in
+length is a candidate unless its counts of letters differ more than the edits can change. Candidates are verified by a
+banded bit-parallel edit distance: for each number of edits, one bit for each diagonal of the band, moved on by one
+character of the text at a time.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
 
@@ -20,7 +21,7 @@ give no rows. Extra columns pass through; `n_lines`, `n_removed` and `n_links` o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.shared import release, stored, written
@@ -47,18 +48,19 @@ def shifts(number: int, less: int, distance: int) -> list[int]:
 
 
 def keyed(texts: DataFrame, distance: int, index: bool) -> DataFrame:
-    """h, length and letters of every text with a key for each of its segments (index) or for each substring that may equal a segment."""
+    """h of every text with a key for each of its segments (index) or for each substring that may equal a segment; own: it is a segment of the text itself."""
     kinds = [(less, i, shift) for less in range(1 if index else distance + 1) for i in range(distance + 1) for shift in ([0] if index else shifts(i, less, distance))]
     kind = F.array(*(F.struct(F.lit(less).alias("less"), F.lit(i).alias("number"), F.lit(shift).alias("shift")) for less, i, shift in kinds))
     length, less, number = F.col("length"), F.col("less"), F.col("number")
-    rows = texts.select("h", "line", "length", "letters", F.inline(kind))
+    rows = texts.select("h", "line", "length", F.inline(kind))
     lengths = lengths_of(length - less)
     # lengths that have their keys from a text nearer in length need no more
     rows = rows.where((less == 0) | ((length - less > distance) & (lengths != lengths_of(length - less + 1))))
     size = F.expr(f"lengths div {distance + 1}").cast("int")
     start = F.when(2 * number <= distance, number * size).otherwise(length - (distance + 1 - number) * size)
     rows = rows.withColumn("lengths", lengths)
-    return rows.select("h", "length", "letters", F.xxhash64("lengths", "number", F.substr("line", start + F.col("shift") + 1, size)).alias("key"))
+    own = (less == 0) & (F.col("shift") == 0)
+    return rows.select("h", F.xxhash64("lengths", "number", F.substr("line", start + F.col("shift") + 1, size)).alias("key"), own.alias("own"))
 
 
 def holds_text(text: Column) -> Column:
@@ -149,18 +151,19 @@ def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
 def links_of(docs: DataFrame, firsts: DataFrame, distance: int) -> DataFrame:
     """line_links() with the first places at hand.
 
-    The distinct texts are written once, as they are read for the index, for the probes and for verification.
+    The distinct texts are written once, as they are read for their keys and for verification.
     """
-    texts = line_rows(docs).select("h", "g", "line").distinct().withColumn("length", F.length("line")).where(F.col("length") > distance)
-    texts = written(texts.withColumn("letters", letters(F.col("line"))))
-    index = keyed(texts, distance, index=True).withColumnsRenamed({"h": "a", "length": "length_a", "letters": "letters_a"})
-    probe = keyed(texts, distance, index=False).withColumnsRenamed({"h": "b", "length": "length_b", "letters": "letters_b"})
-    close = (F.col("a") != F.col("b")) & F.col("length_b").between(F.col("length_a"), F.col("length_a") + distance)
-    close &= may_be_close(F.col("letters_a"), F.col("letters_b"), distance)
-    pairs = index.join(probe, "key").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    texts = written(line_rows(docs).select("h", "g", "line").distinct().withColumn("length", F.length("line")).where(F.col("length") > distance))
+    # what a text looks up includes its own segments, so the index needs no keys besides
+    shared = written(keyed(texts, distance, index=False).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
+    met = texts.join(shared.select("h").distinct(), "h").withColumn("letters", letters(F.col("line"))).checkpoint()
     release(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    met = texts.select("h", "g", "line").join(wanted, "h").checkpoint()
+    keys = shared.join(met.select("h", "length", "letters"), "h")
+    index = keys.where("own").select("key", *(F.col(c).alias(f"{c}_a") for c in ("h", "length", "letters")))
+    probe = keys.select("key", *(F.col(c).alias(f"{c}_b") for c in ("h", "length", "letters")))
+    close = (F.col("h_a") != F.col("h_b")) & F.col("length_b").between(F.col("length_a"), F.col("length_a") + distance)
+    close &= may_be_close(F.col("letters_a"), F.col("letters_b"), distance)
+    pairs = index.join(probe, "key").where(close).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct().checkpoint()
     release(docs.sparkSession)
     side = lambda name: met.select(F.col("h").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("g", "line")))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", within(F.col("line_a"), F.col("line_b"), distance)).where("edits IS NOT NULL")

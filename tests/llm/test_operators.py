@@ -371,6 +371,21 @@ def test_few_keys_for_a_line(spark):
     assert {r["count"] for r in keys[1] if r.h >= 64} == {4, 7, 8}
 
 
+def test_letters_of_lines_that_share_nothing_are_not_counted(spark, monkeypatch):
+    counted = linededup.letters
+    monkeypatch.setattr(linededup, "letters", lambda text: F.when(text.startswith("alone"), F.raise_error(F.lit("counted")).cast("long")).otherwise(counted(text)))
+    lines = ["alone in the first of lines", "alone, and of another kind 7", "two of these stand close", "two of these stood close", "=" * 40, "=" * 41]
+    found = linededup.line_links(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {(*sorted((r.first_a.did, r.first_b.did)), r.edits) for r in found} == {(2, 3, 2), (4, 5, 1)} and len(found) == 2
+
+
+@pytest.mark.parametrize("distance", [1, 2, 4])
+def test_own_keys_are_the_index(spark, distance):
+    texts = spark.range(distance + 1, 200).selectExpr("id AS h", "substr(repeat(sha2(string(id), 256), 4), 1, int(id)) AS line", "int(id) AS length")
+    own, index = (sorted(map(tuple, rows.select("h", "key").collect())) for rows in (linededup.keyed(texts, distance, False).where("own"), linededup.keyed(texts, distance, True)))
+    assert own == index and len(own) == (distance + 1) * (199 - distance)
+
+
 def test_kinds_of_white_space(spark):
     blank = " \t\v\f\r "
     text = f"{blank}\n\u00a0\n\n{blank}x\n{blank}\n\u00a0\n\u2028"
