@@ -9,7 +9,7 @@ are within `distance`, the substrings that the position and the edits left allow
 letters are counted, so that only texts with a shared key have theirs counted. A pair that shares a segment and is close in
 length is a candidate unless its counts of letters differ more than the edits can change. Candidates are verified by a
 banded bit-parallel edit distance: for each number of edits, one bit for each diagonal of the band, moved on by one
-character of the text at a time.
+character of the text at a time. What both texts begin or end with is compared in long runs and takes no part in it.
 
 A line goes if its text, or one within the distance, stands earlier (by doc_id, then line). So the first of a group stays.
 
@@ -21,6 +21,8 @@ give no rows. Extra columns pass through; `n_lines`, `n_removed` and `n_links` o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,22 @@ def may_be_close(a: Column, b: Column, distance: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * distance
 
 
+#: Lengths of runs that are compared whole, the longest first.
+RUNS = [2**k for k in range(20, 2, -1)]
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, wherever the expression ends up."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def same_run(a: Column, b: Column, room: Column, front: bool) -> Column:
+    """How many characters, of `room` at most, two texts have in common in front, or at the end; the rest that is less than the shortest of RUNS is left."""
+    part = lambda text, done, size: F.substr(text, done + 1, size) if front else F.substr(text, F.length(text) - done - size + 1, size)
+    longer = lambda done, size: F.when((done + size <= room) & (part(a, done, size) == part(b, done, size)), done + size).otherwise(done)
+    return F.aggregate(F.array(*map(F.lit, RUNS)), F.lit(0), longer)
+
+
 def within(a: Column, b: Column, distance: int) -> Column:
     """The edit distance of two texts if it is at most `distance`, else null.
 
@@ -115,7 +133,6 @@ def within(a: Column, b: Column, distance: int) -> Column:
     # in front of a and behind it as many blanks as the band is wide to either side: none equals a character of b
     none = F.array_repeat(F.lit(""), distance)
     chars = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    long, own = F.concat(none, chars(a), none), chars(b)
     start = F.struct(*(F.lit((2 ** (e + 1) - 1) << distance & full).alias(f"r{e}") for e in range(distance + 1)))
 
     def equals(chars: Column, c: Column, j: Column) -> Column:
@@ -138,9 +155,15 @@ def within(a: Column, b: Column, distance: int) -> Column:
             out = F.when(F.get(F.array(*(F.lit(1 << k) for k in range(width))), apart + distance).bitwiseAND(state[f"r{e}"]) > 0, e).otherwise(out)
         return out
 
-    # a variable of a lambda holds the characters, so that they are taken apart once
-    runs = F.transform(F.array(long), lambda held: F.aggregate(F.transform(own, lambda c, j: equals(held, c, j)), start, step, told))
-    return F.when(F.abs(apart) <= distance, F.get(runs, 0))
+    def run(before: Column, behind: Column) -> Column:
+        middle = lambda text: F.substr(text, before + 1, F.length(text) - before - behind)
+        long, own = F.concat(none, chars(middle(a)), none), chars(middle(b))
+        return bound(long, lambda held: F.aggregate(F.transform(own, lambda c, j: equals(held, c, j)), start, step, told))
+
+    # what both begin and end with takes no edits
+    room = F.least(F.length(a), F.length(b))
+    runs = bound(same_run(a, b, room, True), lambda before: bound(same_run(a, b, room - before, False), lambda behind: run(before, behind)))
+    return F.when(F.abs(apart) <= distance, runs)
 
 
 def line_links(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -196,8 +219,10 @@ def dedup_lines(docs: DataFrame, distance: int = 2) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumns({"did ": doc_key(), "version ": F.xxhash64("text")}).join(removed.select(F.col("did").alias("did "), F.col("version").alias("version "), F.col("removed").alias("removed "), F.col("n_links").alias("links ")), ["did ", "version "], "left")
     keyed = keyed.withColumns({"parts ": F.split(F.col("text").cast("string"), "\n"), "removed ": F.coalesce("removed ", F.array().cast("array<int>"))})
-    left = F.array_except(F.sequence(F.lit(0), F.size("parts ") - 1), F.col("removed "))
-    text = F.when(F.size("removed ") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts ", i)), "\n"))
+    left_of = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed "))
+    # a caller's condition on the text brings the split along: bound, a text is not split anew for each of its lines
+    kept = bound(F.col("parts "), lambda parts: F.array_join(F.transform(left_of(parts), lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.size("removed ") == 0, F.col("text")).otherwise(kept)
     return keyed.select(
         *(text.alias("text") if n == "text" else F.col(n) for n in names), F.coalesce(F.size(F.filter("parts ", holds_text)), F.lit(0)).cast("long").alias("n_lines"), F.size("removed ").cast("long").alias("n_removed"), F.coalesce(F.col("links "), F.lit(0)).cast("long").alias("n_links")
     )

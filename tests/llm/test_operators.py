@@ -327,6 +327,28 @@ def test_edit_distance_in_a_band(spark, distance):
     assert [r.n for r in got] == [n if (n := edits(a, b)) <= distance else None for a, b in pairs]
 
 
+@pytest.mark.parametrize("distance", [1, 2])
+def test_equal_ends_take_no_part_in_verification(spark, distance):
+    """Runs of one letter, whose equal ends overlap, and texts around the lengths of runs."""
+    rng = random.Random(5)
+    pairs = [("a" * m, "a" * n) for m in range(14) for n in range(14)]
+    pairs += [("a" * i + "b" + "a" * j, "a" * k + "b" + "a" * n) for i, j, k, n in (rng.choices(range(12), k=4) for _ in range(150))]
+    for n in (15, 16, 17, 64, 65, 130):
+        text = "".join(rng.choice("ab") for _ in range(n))
+        pairs += [(text, text[:i] + rng.choice(["", "x", "\u00e9a"]) + text[i + rng.randrange(3) :]) for i in range(0, n, 3)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within(F.col("a"), F.col("b"), distance).alias("n")).collect()
+    assert all(r.n == (n if (n := edits(r.a, r.b)) <= distance else None) for r in got)
+
+
+def test_a_text_is_not_split_anew_for_each_of_its_lines(spark):
+    lines = [f"line number {k} of a long document" + "!" * (k % 7) * 5 for k in range(400)]
+    frame = spark.createDataFrame([(1, "the same line stands twice here"), (2, "\n".join([lines[0], "the same line stands twice here", *lines[1:]]))], "doc_id long, text string")
+    fresh = linededup.keep_fresh(frame, 1)
+    assert "lambdafunction(split(" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    kept = {r.doc_id: r.text.split("\n") for r in fresh.collect()}
+    assert kept[1] == ["the same line stands twice here"] and kept[2] == [x for x in lines if x in set(kept[2])] and len(kept[2]) > 1
+
+
 def test_repeated_rows_count_once(spark):
     one = "a line that stands here\nand another one that stands"
     rows = [(1, one), (1, one), (2, "a line that stands hero"), (2, "a line that stands hero")]
