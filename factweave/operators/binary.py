@@ -241,23 +241,24 @@ def functions_at(addresses: DataFrame, functions: DataFrame) -> DataFrame:
     """Each address with every function that contains it (start <= ea < stop).
 
     addresses: doc_id, ea; functions: doc_id, name, start, stop. An address lies in one cell of a range that holds it and in none of any
-    other, so the rows that meet are those that are returned, whatever the ranges' lengths.
+    other, so the rows that meet are those that are returned, whatever the ranges' lengths. Cells are many more than the functions, by
+    whose size Spark would broadcast them, so both sides are shuffled.
     """
     cells = cells_of(functions)
-    return _levels(cells, addresses).join(cells, ["doc_id", "level", "cell"]).drop("level", "cell")
+    return _levels(cells, addresses).join(cells.hint("merge"), ["doc_id", "level", "cell"]).drop("level", "cell")
 
 
 def totals_at(addresses: DataFrame, functions: DataFrame, sums: dict[str, Column], least: dict[str, Column]) -> DataFrame:
     """Each address that a function contains, with sums and smallest values over all functions that contain it; no pairs are made.
 
     addresses: doc_id, ea and more; functions: doc_id, start, stop and what the columns read. Each cell is summed up once, and each
-    different address takes up its one cell of each level.
+    different address takes up its one cell of each level. Neither cells nor totals pass the driver.
     """
     cells = cells_of(functions)
     of_cell = cells.groupBy("doc_id", "level", "cell").agg(*(F.sum(c).alias(k) for k, c in sums.items()), *(F.min(c).alias(k) for k, c in least.items()))
     points = _levels(cells, addresses.select("doc_id", "ea").distinct())
-    found = points.join(of_cell, ["doc_id", "level", "cell"]).groupBy("doc_id", "ea").agg(*(F.sum(k).alias(k) for k in sums), *(F.min(k).alias(k) for k in least))
-    return addresses.join(found, ["doc_id", "ea"])
+    found = points.join(of_cell.hint("merge"), ["doc_id", "level", "cell"]).groupBy("doc_id", "ea").agg(*(F.sum(k).alias(k) for k in sums), *(F.min(k).alias(k) for k in least))
+    return addresses.join(found.hint("merge"), ["doc_id", "ea"])
 
 
 def data_references(references: DataFrame, strings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import vocabulary as V
 from factweave.operators import binary, frontend
-from factweave.plans import corpora, intake
+from factweave.plans import catalogue, corpora, intake
 from factweave.sources import inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,6 +47,14 @@ def test_summary_reads_contexts_for_all_tables_together(spark):
     assert plan.count("Relation [") <= 13
 
 
+def test_cells_and_totals_of_ranges_do_not_pass_the_driver(spark):
+    for name in ("nested_ranges", "address_ranges"):
+        rows = catalogue.QUERIES[name](spark, FOLDER)
+        assert rows.count() and "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+        rows.collect()
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ends_of_calls_meet_in_one_shuffle(spark):
     edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (0, 1, 3), (0, 2, 2), (1, 1, 1), (0, 5, None)], "doc_id int, caller_addr int, callee_addr int")
     found = binary.call_counts(edges, 7)
