@@ -6,6 +6,8 @@ interfaces are dimension tables of fixed size, so they may be broadcast; everyth
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +45,43 @@ HANDLER_NAME = r"(?i)(?:^|_)(?:cgi|asp|ej|hnap|login|logout|apply|upgrade|reboot
 ROUTE_NAME = r"(?i)(cgi|asp|handler|login|logout|apply|upgrade|reboot|hnap)"
 
 
-def functions_of(contexts: DataFrame) -> DataFrame:
+class Listed(NamedTuple):
+    """Contexts taken apart: a row for each function, as functions_of() gives them, and for each string, as all_strings() does."""
+
+    functions: DataFrame
+    strings: DataFrame
+
+
+def listed(contexts: DataFrame) -> Listed:
+    """What strings, references, uses, handlers, routes and candidates are drawn from, written a row each.
+
+    A context of many functions is a row of megabytes, of which Spark reads thousands at once; rows of its parts stay small.
+    """
+    functions = functions_of(contexts).select("doc_id", "pos", "addr", "name", "size", "callers", "callees", "string_refs", "import_refs", "text")
+    return Listed(stored(functions), stored(all_strings(contexts)))
+
+
+def functions_of(contexts: DataFrame | Listed) -> DataFrame:
     """A row for each function: doc_id, pos, addr, name, size, its references, and text (pseudocode, else the disassembly)."""
+    if isinstance(contexts, Listed):
+        return contexts.functions
     rows = contexts.select("doc_id", F.posexplode("functions").alias("pos", "f"))
     listing = F.array_join(F.transform("f.disassembly", lambda d: F.coalesce(d["text"], F.lit(""))), "\n")
     text = F.coalesce(F.nullif("f.pseudocode", F.lit("")), listing, F.lit(""))
     return rows.select("doc_id", "pos", "f.addr", "f.name", "f.size", "f.callers", "f.callees", "f.string_refs", "f.import_refs", "f.disassembly", "f.pseudocode", text.alias("text"))
 
 
-def strings_of(contexts: DataFrame, max_strings: int | None = None) -> DataFrame:
-    """doc_id, pos, addr, value, tags and xrefs of every string that has a tag; of the first max_strings of a context, if given."""
-    listed = F.col("strings") if max_strings is None else F.slice("strings", 1, max_strings)
-    rows = contexts.select("doc_id", F.posexplode(listed).alias("pos", "s")).select("doc_id", "pos", "s.addr", "s.value", "s.xrefs")
+def all_strings(contexts: DataFrame | Listed, max_strings: int | None = None) -> DataFrame:
+    """doc_id, pos, addr, value and xrefs of every string; of the first max_strings of a context, if given."""
+    if isinstance(contexts, Listed):
+        return contexts.strings if max_strings is None else contexts.strings.where(F.col("pos") < max_strings)
+    found = F.col("strings") if max_strings is None else F.slice("strings", 1, max_strings)
+    return contexts.select("doc_id", F.posexplode(found).alias("pos", "s")).select("doc_id", "pos", "s.addr", "s.value", "s.xrefs")
+
+
+def strings_of(contexts: DataFrame | Listed, max_strings: int | None = None) -> DataFrame:
+    """all_strings() that have a tag, with their tags."""
+    rows = all_strings(contexts, max_strings)
     return rows.withColumn("tags", C.string_tags(F.coalesce("value", F.lit("")))).where(F.size("tags") > 0)
 
 
@@ -69,7 +96,7 @@ def string_references(contexts: DataFrame) -> DataFrame:
     return first_wins(rows, ["doc_id", "value", "reference_type"])
 
 
-def handlers(contexts: DataFrame) -> DataFrame:
+def handlers(contexts: DataFrame | Listed) -> DataFrame:
     """doc_id, name, addr, size of functions whose names say that they handle requests."""
     rows = functions_of(contexts).where(F.col("name").rlike(HANDLER_NAME)).select("doc_id", "name", "addr", "size", F.lit("function_name").alias("source"), F.col("pos").alias("seq"))
     return first_wins(rows, ["doc_id", "name", "addr"])
@@ -90,15 +117,15 @@ def api_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "api string, use string, category string")
 
 
-def import_uses(contexts: DataFrame) -> DataFrame:
+def import_uses(contexts: DataFrame | Listed) -> DataFrame:
     """doc_id, use, category, api, function, function_addr, xref_addr, snippet, seq: references to known interfaces."""
     refs = functions_of(contexts).select("doc_id", "pos", F.col("name").alias("function"), F.col("addr").alias("function_addr"), F.posexplode("import_refs").alias("ref_no", "r"))
     refs = refs.select("*", F.col("r.name").alias("api"), "r.xref_addr", "r.snippet", F.struct("pos", "ref_no").alias("seq")).drop("r")
-    known = F.broadcast(api_dimension(contexts.sparkSession).withColumnRenamed("api", "known"))
+    known = F.broadcast(api_dimension(refs.sparkSession).withColumnRenamed("api", "known"))
     return refs.join(known, F.when(F.col("use") == "sink", F.lower("api")).otherwise(F.col("api")) == F.col("known")).drop("known", "pos", "ref_no")
 
 
-def _calls(contexts: DataFrame, rules: list[Rule]) -> DataFrame:
+def _calls(contexts: DataFrame | Listed, rules: list[Rule]) -> DataFrame:
     rows = functions_of(contexts).select("doc_id", "pos", F.col("name").alias("function"), F.col("addr").alias("function_addr"), "text")
     found = matches(rows, "text", rules, ["api", "args"]).drop("text")
     return found.withColumn("literals", C.c_strings(F.col("args"))).withColumn("seq", F.struct("pos", "match_no"))
@@ -123,12 +150,12 @@ def sinks(contexts: DataFrame) -> DataFrame:
     return first_wins(rows, ["doc_id", "api", "function", "function_addr", "xref_addr"])
 
 
-def route_mappings(contexts: DataFrame) -> DataFrame:
+def route_mappings(contexts: DataFrame | Listed) -> DataFrame:
     """doc_id, route, handler, handler_addr: functions that refer to a route string, and registrations in their text."""
     rows = functions_of(contexts)
     refs = rows.select("doc_id", "pos", "name", "addr", F.posexplode("string_refs").alias("ref_no", "r")).withColumn("string_addr", F.col("r.string_addr"))
     # of several strings at one address the last counts
-    whole = contexts.select("doc_id", F.posexplode("strings").alias("at", "s")).groupBy("doc_id", F.col("s.addr").alias("string_addr")).agg(F.max_by("s.value", "at").alias("value"))
+    whole = all_strings(contexts).groupBy("doc_id", F.col("addr").alias("string_addr")).agg(F.max_by("value", "pos").alias("value"))
     used = refs.join(whole, ["doc_id", "string_addr"]).where(F.array_contains(C.string_tags(F.col("value")), "route"))
     used = used.select("doc_id", F.col("value").alias("route"), F.col("name").alias("handler"), F.col("addr").alias("handler_addr"), F.lit(None).cast("string").alias("registration_api"), F.lit("string_xref").alias("source"), F.when(F.col("name").rlike(ROUTE_NAME), "high").otherwise("medium").alias("confidence"), F.struct("pos", F.lit(0).alias("part"), F.col("ref_no").alias("no")).alias("seq"))
     made = _calls(contexts, REGISTER_CALLS).withColumn("route", F.get("literals", F.lit(0))).where("route IS NOT NULL AND route <> ''")
@@ -146,7 +173,7 @@ def constraints(contexts: DataFrame) -> DataFrame:
     return first_wins(found, ["doc_id", "function", "kind", "target", "value"])
 
 
-def candidates(contexts: DataFrame) -> DataFrame:
+def candidates(contexts: DataFrame | Listed) -> DataFrame:
     """doc_id and addr of functions that use a tagged string, a known interface, or a handler's name."""
     used = strings_of(contexts).select("doc_id", F.explode("xrefs").alias("x")).select("doc_id", F.col("x.function_addr").alias("addr")).where("addr IS NOT NULL AND addr <> ''")
     return used.unionAll(import_uses(contexts).select("doc_id", F.col("function_addr"))).unionAll(handlers(contexts).select("doc_id", "addr")).distinct()
@@ -157,7 +184,7 @@ def first_candidates(contexts: DataFrame, limit: int) -> DataFrame:
     return capped(candidates(contexts).withColumn("at", C.address_number(F.col("addr"))), ["doc_id"], limit, ["at", "addr"]).drop("at")
 
 
-def candidate_functions(contexts: DataFrame) -> DataFrame:
+def candidate_functions(contexts: DataFrame | Listed) -> DataFrame:
     rows = functions_of(contexts).select("doc_id", "name", "addr", "size", F.greatest(F.size("callers"), F.lit(0)).alias("caller_count"), F.greatest(F.size("callees"), F.lit(0)).alias("callee_count"))
     return rows.join(candidates(contexts), ["doc_id", "addr"])
 
@@ -293,10 +320,10 @@ def stage_counts(contexts: DataFrame) -> DataFrame:
 
 
 def summary(contexts: DataFrame) -> DataFrame:
-    """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category. Contexts are read once and
-    written; of what was written strings, references and texts of functions are searched once for all tables that they fill. A fact is
-    told by the keys of its table, so all but candidate functions are counted as different rows."""
-    contexts = stored(contexts)
+    """doc_id, the number of facts of each table, and hint_categories: the hints and responses by category. Contexts are taken apart
+    into functions and strings, which are written; strings, references and texts of functions are searched once for all tables that they
+    fill. A fact is told by the keys of its table, so all but candidate functions are counted as different rows."""
+    contexts = listed(contexts)
     tables = ["routes", "auth_hints", "state_hints", "response_strings", "strings", "handlers", "route_mappings", "params", "config_accesses", "sinks", "constraints", "references", "functions"]
     nothing = F.lit(None).cast("string")
     fact = lambda table, *keys: F.struct(F.lit(table).alias("table"), *(k.cast("string").alias(f"k{n}") for n, k in enumerate([*keys, *[nothing] * 4][:4])))

@@ -47,6 +47,15 @@ def test_summary_reads_contexts_for_all_tables_together(spark):
     assert plan.count("Relation [") <= 13
 
 
+def test_summary_writes_a_row_for_each_function_and_string(spark, monkeypatch):
+    """Not one for each context, of which thousands are read at once."""
+    written, kept = [], binary.stored
+    monkeypatch.setattr(binary, "stored", lambda rows: written.append(kept(rows)) or written[-1])
+    assert binary.summary(corpora.contexts(spark, FOLDER)).count() == 10
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    assert [t.count() for t in written] == [items.count(), items.select("l_suppkey", "l_partkey").distinct().count()]
+
+
 def test_cells_and_totals_of_ranges_do_not_pass_the_driver(spark):
     for name in ("nested_ranges", "address_ranges"):
         rows = catalogue.QUERIES[name](spark, FOLDER)
