@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm import textarrays as ta
 from factweave.llm.components import stars
-from factweave.llm.shared import release
+from factweave.llm.shared import release, written
 
 K = 64
 #: Sets of up to so many values are listed by single values, too.
@@ -193,8 +193,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 5) -> Dat
     blocks = stars(pivots.where("node <> v").select(F.col("node").alias("u"), "v"))
     members = blocks.unionAll(blocks.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("root", "block")
     members = members.join(members.groupBy("block").agg(F.count("*").alias("size")), "block")
-    members = members.join(nodes.select("node", "first_id"), "node").checkpoint()
-    release(docs.sparkSession)
+    # written with their size, by which Spark may spare the texts a shuffle
+    members = written(members.join(nodes.select("node", "first_id"), "node"))
 
     def take_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in ta.blocks(batches):
@@ -220,6 +220,6 @@ def keep_first(docs: DataFrame, threshold: int = 80, width: int = 5) -> DataFram
 
     Rows with a null doc_id stay. Of several rows with the kept doc_id all stay.
     """
-    gone = near_duplicates(docs, threshold, width).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct().checkpoint()
-    release(docs.sparkSession)
+    gone = near_duplicates(docs, threshold, width).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -170,9 +170,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns.
 
-    The text is scored where it is read, so it is not shuffled; a document's own columns pass through.
+    The text is scored where it is read, so it is not shuffled; a document's own columns pass through. Only documents that
+    may teach have statistics taken for the model.
     """
-    model = fit(with_statistics(docs).checkpoint(), labels, ~held_out(F.col("doc_id")))
+    teaches = ~held_out(F.col("doc_id").cast("long"))
+    model = fit(with_statistics(docs.where(teaches)).checkpoint(), labels, teaches)
     if model is None:
         return docs
 

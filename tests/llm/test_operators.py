@@ -507,6 +507,21 @@ def test_quality(spark, docs, none):
     assert quality.classify(docs, labels).count() == docs.count()
 
 
+def test_only_documents_that_may_teach_have_statistics_for_the_model(spark, docs, monkeypatch):
+    seen, taken = [], quality.with_statistics
+    monkeypatch.setattr(quality, "with_statistics", lambda rows: seen.append(rows) or taken(rows))
+    quality.keep_good(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    ids = {r.doc_id for r in docs.select("doc_id").collect() if r.doc_id is not None}
+    assert {r.doc_id for r in seen[0].where("doc_id IS NOT NULL").select("doc_id").collect()} == {i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2} != ids
+
+
+def test_texts_meet_few_duplicates_without_a_shuffle(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(40)]
+    kept = minhash.keep_first(spark.createDataFrame([*rows, (99, rows[3][1])], "doc_id long, text string"))
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id for r in kept.collect()} == set(range(40))
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
